@@ -81,3 +81,9 @@ def align(p: Column, source_classes: list[str], target_classes: list[str], stric
     return F.array(*[
         F.get(p, F.lit(position[label])) if label in position else F.lit(0.0) for label in target_classes
     ])
+
+
+def scale(p: Column, factor) -> Column:
+    """factor * p."""
+    f = factor if isinstance(factor, Column) else F.lit(float(factor))
+    return F.transform(p, lambda x: x * f)
