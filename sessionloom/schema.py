@@ -151,7 +151,7 @@ def strings(values) -> Column:
 
 def doubles(values) -> Column:
     """A literal array of doubles."""
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
 
 
 def lookup(mapping: dict) -> Column:
