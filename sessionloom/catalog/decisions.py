@@ -141,7 +141,7 @@ conf AS (SELECT value, y, {amax('m')} AS pred, count(*) AS n FROM r GROUP BY ALL
 """, f1_ctes("conf", ["value"]), select=f"SELECT value, round(sum(f) / {D(K)}, 6) AS macro_f1 FROM f1 GROUP BY value"))
 def bias_grid_step(spark, folder):
     lp = decided(spark, folder).select("y", calibration.log_clipped(F.col("raw")).alias("logp"))
-    counts = bias_search.step_counts(lp, [], STEP_CLASS, doubles(VALUES), doubles([0.0] * K))
+    counts = bias_search.step_counts(lp, [], F.lit(STEP_CLASS), doubles(VALUES), doubles([0.0] * K))
     # Apply every value to the count table.
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("vi"), F.lit(v).alias("value")) for i, v in enumerate(VALUES)]))
     conf = (
@@ -353,7 +353,6 @@ def sweep_candidate_blend(spark, folder):
 @query("decision_stack", sql(SCORES, BLEND, _GATE, select=f"""
 SELECT id, domain, {LBL}[final + 1] AS action, vec_id AS row_no FROM fin"""))
 def decision_stack(spark, folder):
-    from sessionloom.operators.keys import decode_label
     from sessionloom.plans.decision import decide_batch
 
     scores = derived.class_scores(spark, folder)

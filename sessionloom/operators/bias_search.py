@@ -31,21 +31,27 @@ def absolute_grid(low: float = -0.8, high: float = 0.8, step: float = 0.1) -> li
     return [round(low + i * step, 10) for i in range(n)]
 
 
-def _best_other(lp: Column, cls: int) -> Column:
+def _best_other(lp: Column, cls: Column) -> Column:
     """(index, value) of the largest entry apart from one class, first index on ties."""
     others = F.transform(lp, lambda x, i: F.when(i == cls, F.lit(float("-inf"))).otherwise(x))
     return let(others, lambda o: F.struct((F.array_position(o, F.array_max(o)) - 1).cast("int").alias("i"), F.array_max(o).alias("v")))
 
 
-def step_counts(lp: DataFrame, by: list[str], cls: int, values: Column, bias: Column) -> DataFrame:
+def step_counts(lp: DataFrame, by: list[str], cls: Column, values: Column, bias: Column) -> DataFrame:
     """Counts (by, y, other, lost): at how many ascending candidate values the class loses.
 
     lp: by columns, y, logp. bias: current bias vector; values: candidate values of the class.
     """
     shifted = F.zip_with(F.col("logp"), bias, lambda x, b: x + b)
-    own = F.get(F.col("logp"), F.lit(cls))
-    facts = lp.select(*by, "y", _best_other(shifted, cls).alias("o"), own.alias("own"), values.alias("vals"))
-    wins = lambda v: (F.col("own") + v > F.col("o.v")) | ((F.col("own") + v == F.col("o.v")) & (F.lit(cls) < F.col("o.i")))
+    facts = lp.select(
+        *by, "y", cls.alias("cls"), _best_other(shifted, cls).alias("o"), F.get(F.col("logp"), cls).alias("own"),
+        values.alias("vals"),
+    )
+
+    def wins(v: Column) -> Column:
+        score = F.col("own") + v
+        return (score > F.col("o.v")) | ((score == F.col("o.v")) & (F.col("cls") < F.col("o.i")))
+
     return (
         facts.select(*by, "y", F.col("o.i").alias("other"), F.size(F.filter("vals", lambda v: ~wins(v))).alias("lost"))
         .groupBy(*by, "y", "other", "lost")
@@ -73,20 +79,16 @@ def log_table(df: DataFrame, proba: str, carry: list[str]) -> DataFrame:
     return stage(df.select(*carry, "y", log_clipped(normalise(F.col(proba))).alias("logp")), "bias-logp")
 
 
-def _collect_step(lp: DataFrame, cls: int, values: list[float], bias: list[float]) -> list[tuple[int, int, int, int]]:
-    rows = step_counts(lp, [], cls, doubles(values), doubles(bias)).collect()
-    return [(r["y"], r["other"], r["lost"], r["n"]) for r in rows]
-
-
 def grid_search(lp: DataFrame, k: int, grid: list[float] | None = None, passes: int = 2) -> tuple[list[float], float]:
     """Absolute-grid search, class by class; a value is kept when it scores strictly better."""
     grid = sorted(grid or absolute_grid())
     bias, best = [0.0] * k, None
+    rows = lp.select(F.lit(0).alias("fit"), "y", "logp")
     for _ in range(passes):
         improved = False
         for cls in range(k):
             values = sorted({*grid, bias[cls]})
-            scores = score_values(_collect_step(lp, cls, values, bias), cls, len(values), k)
+            scores = score_values(_step(rows, cls, {0: values}, {0: bias}).get(0, []), cls, len(values), k)
             current = scores[values.index(bias[cls])]
             best = current if best is None else best
             choice, top = bias[cls], current
@@ -124,7 +126,7 @@ def coordinate_fit(
                 if not active:
                     break
                 values = {f: sorted({round(bias[f][cls] + d, 12) for d in grid} | {bias[f][cls]}) for f in active}
-                counts = _grouped_step(rows, cls, values, {f: bias[f] for f in active})
+                counts = _step(rows, cls, values, {f: bias[f] for f in active})
                 for f in active:
                     scores = score_values(counts.get(f, []), cls, len(values[f]), k)
                     at_current = scores[values[f].index(bias[f][cls])]
@@ -144,15 +146,19 @@ def coordinate_fit(
     return {f: ([b - sum(bias[f]) / k for b in bias[f]], best[f]) for f in fits}
 
 
-def _grouped_step(rows: DataFrame, cls: int, values: dict, bias: dict) -> dict:
-    key = F.col("fit")
-    vals, current = doubles([]), doubles([])
-    for f in values:
-        vals = F.when(key == F.lit(f), doubles(values[f])).otherwise(vals)
-        current = F.when(key == F.lit(f), doubles(bias[f])).otherwise(current)
-    active = rows.where(key.isin(*values))
+def _step(rows: DataFrame, cls: int, values: dict, bias: dict) -> dict:
+    """One job: counts of every active fit for one class.
+
+    The step's numbers come in through a table with one row per fit, so the plan is the
+    same for every step and its generated code is reused.
+    """
+    params = rows.sparkSession.createDataFrame(
+        [(f, cls, [float(v) for v in values[f]], [float(b) for b in bias[f]]) for f in values],
+        "fit int, cls int, vals array<double>, bias array<double>",
+    )
+    joined = rows.join(F.broadcast(params), "fit")
     out: dict = {}
-    for r in step_counts(active, ["fit"], cls, vals, current).collect():
+    for r in step_counts(joined, ["fit"], F.col("cls"), F.col("vals"), F.col("bias")).collect():
         out.setdefault(r["fit"], []).append((r["y"], r["other"], r["lost"], r["n"]))
     return out
 

@@ -28,7 +28,7 @@ def apply_bias(p: Column, bias: Column) -> Column:
     return softmax(biased(p, bias))
 
 
-def decide(
+def base_decision(
     scores: DataFrame,
     k: int,
     sim_weights: Sequence[float] = STACK["sim_weights"],
@@ -36,7 +36,7 @@ def decide(
     sim_bias: Sequence[float] = CLASS_BIAS_SIM,
     au_bias: Sequence[float] = CLASS_BIAS_AU,
 ) -> DataFrame:
-    """Add raw blend, its margin, each model's choice and the biased base decision."""
+    """Add raw blend of a and b, its margin, each choice and the biased base decision."""
     sim = F.col("domain") == "sim"
     weight = lambda i: F.when(sim, sim_weights[i]).otherwise(au_weights[i])
     bias = F.when(sim, doubles(sim_bias[:k])).otherwise(doubles(au_bias[:k]))
@@ -45,16 +45,19 @@ def decide(
         .withColumns({
             "pa": argmax(F.col("a")),
             "pb": argmax(F.col("b")),
-            "pc": argmax(F.col("c")),
             "pr": argmax(F.col("raw")),
             "mg": margin(F.col("raw")),
-            "cc": F.array_max("c"),
             "lp": biased(F.col("raw"), bias),
         })
         .withColumn("base", argmax(F.col("lp")))
     )
 
 
+def decide(scores: DataFrame, k: int) -> DataFrame:
+    """base_decision plus choice and confidence of the third model c."""
+    return base_decision(scores, k).withColumns({"pc": argmax(F.col("c")), "cc": F.array_max("c")})
+
+
 def tie_break(
     decided: DataFrame, margin_lt: float = STACK["margin_lt"], confidence_ge: float = STACK["confidence_ge"]
 ) -> DataFrame:

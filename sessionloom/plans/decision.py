@@ -22,20 +22,19 @@ def decide_batch(scores: DataFrame, template: DataFrame, classes: int) -> DataFr
     The third model is read only for close sim disagreements: its probabilities are
     joined to the candidates alone, after the filter.
     """
-    base = calibration.decide(scores.drop("c").withColumn("c", F.array().cast("array<double>")), classes).drop("c", "pc", "cc")
-    candidates = base.where((F.col("domain") == "sim") & (F.col("pa") != F.col("pb")) & (F.col("mg") < calibration.STACK["margin_lt"]))
-    third = scores.select("id", "c")
-    ruled = candidates.select("id", "pa", "pb").join(third, "id").select(
+    base = calibration.base_decision(scores.drop("c"), classes)
+    close = (F.col("domain") == "sim") & (F.col("pa") != F.col("pb")) & (F.col("mg") < calibration.STACK["margin_lt"])
+    ruled = base.where(close).select("id", "pa", "pb").join(scores.select("id", "c"), "id").select(
         "id", "pa", "pb", argmax(F.col("c")).alias("pc"), F.array_max("c").alias("cc")
     )
-    accepted = ruled.where(
-        ((F.col("pc") == F.col("pa")) | (F.col("pc") == F.col("pb"))) & (F.col("cc") >= calibration.STACK["confidence_ge"])
-    ).select("id", F.col("pc").alias("override"))
+    agrees = (F.col("pc") == F.col("pa")) | (F.col("pc") == F.col("pb"))
+    accepted = ruled.where(agrees & (F.col("cc") >= calibration.STACK["confidence_ge"])).select(
+        "id", F.col("pc").alias("override")
+    )
     final = base.join(accepted, "id", "left").select(
-        "id", "domain", keys.decode_label(F.coalesce("override", "base")).alias("action")
+        "id", keys.decode_label(F.coalesce("override", "base")).alias("action")
     )
-    filled = fill_template(template, final)
-    return filled.join(base.select("id", "domain"), "id") if "domain" not in filled.columns else filled
+    return fill_template(template, final).withColumn("domain", keys.domain(F.col("id")))
 
 
 def calibration_report(df: DataFrame, proba: str, bias: Column, shrinks: Sequence[float]) -> DataFrame:

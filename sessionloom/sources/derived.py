@@ -297,3 +297,15 @@ def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit('{"a": '), doc.cast("string"), F.lit("}"))
     )
     return table(spark, folder, "documents").select("doc_id", planted.alias("text"), payload.alias("payload"))
+
+
+VECTOR_DIM = 64
+
+
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector rows with class and session-safe fold."""
+    root = F.floor(F.col("vec_id") / 4)
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").alias("y"), (root % 5).cast("int").alias("fold"),
+        F.col("embedding").alias("vec"),
+    )
