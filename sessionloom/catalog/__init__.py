@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["priors", "metrics", "keys", "sequences", "scalars", "views", "decisions", "neighbours"]
+MODULES = ["priors", "metrics", "keys", "sequences", "scalars", "views", "decisions", "neighbours", "texts", "quality", "files"]
 
 
 def load():
