@@ -17,7 +17,9 @@ from sessionloom.schema import CLASS_BIAS_AU, CLASS_BIAS_SIM, LABELS
 from sessionloom.sources import derived, files
 from sessionloom.sources.staging import fresh_path
 
-H = F.col("history")
+
+def _history():
+    return F.col("history")
 
 
 @query("src_jsonl_roundtrip", sql(SESS, O.FEAT, select=f"""
@@ -29,7 +31,7 @@ def src_jsonl_roundtrip(spark, folder):
     ws = F.col("session_meta.workspace")
     return files.read_sessions(spark, path).select(
         "id", F.md5("current_prompt").alias("prompt_key"), F.size("history").cast("long").alias("history_len"),
-        E.last_args(H, 180).alias("last_args"), E.last_result(H).alias("last_result"), "session_meta.user_tier",
+        E.last_args(_history(), 180).alias("last_args"), E.last_result(_history()).alias("last_result"), "session_meta.user_tier",
         F.col("session_meta.budget_tokens_remaining").alias("budget"),
         F.coalesce(F.size(ws["language_mix"]), F.lit(0)).cast("long").alias("n_langs"),
         F.size(ws["open_files"]).cast("long").alias("n_open"),
@@ -68,12 +70,15 @@ def src_manifest_ids(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+BATCHES = 25
+
+
 def _batches(spark, folder):
-    """Batches of 40 pairs; batch 3n+1 has no second file, batch 7 disagrees in one row."""
+    """25 batches of pairs; batch 3n+1 has no second file, batches ending in 8 disagree in one row."""
     pairs = derived.paraphrase_pairs(spark, folder)
     rows = pairs.select(
-        F.floor(F.col("doc_id") / 40).cast("int").alias("batch"), (F.col("doc_id") % 40).alias("idx"), "id", "action", "original",
-        "paraphrase",
+        (F.col("doc_id") % BATCHES).cast("int").alias("batch"), F.floor(F.col("doc_id") / BATCHES).alias("idx"), "id", "action",
+        "original", "paraphrase",
     )
     para = rows.where(F.col("batch") % 3 != 1).withColumn(
         "action", F.when((F.col("batch") % 10 == 8) & (F.col("idx") == 5), "ask_user").otherwise(F.col("action"))
@@ -84,10 +89,10 @@ def _batches(spark, folder):
     return files.read_batches(spark, path)
 
 
+_VALID = "bool_and(NOT (batch % 10 = 8 AND idx = 5 AND action <> 'ask_user'))"
 _BATCH = f"""
-bt AS (SELECT *, (doc_id // 40)::INTEGER AS batch FROM pairs),
-bv AS (SELECT batch, count(*) AS rows, count(*) FILTER (batch % 3 <> 1) AS para_rows,
-  bool_and(NOT (batch % 10 = 8 AND doc_id % 40 = 5 AND action <> 'ask_user')) AS valid FROM bt GROUP BY batch)
+bt AS (SELECT *, (doc_id % {BATCHES})::INTEGER AS batch, doc_id // {BATCHES} AS idx FROM pairs),
+bv AS (SELECT batch, count(*) AS rows, count(*) FILTER (batch % 3 <> 1) AS para_rows, {_VALID} AS valid FROM bt GROUP BY batch)
 """
 
 
@@ -100,14 +105,12 @@ def src_batch_pairing(spark, folder):
 
 
 _ASM = f"""
-bt AS (SELECT doc_id, (doc_id // 40)::INTEGER AS batch, action FROM pairs),
-bv AS (SELECT batch, bool_and(NOT (batch % 10 = 8 AND doc_id % 40 = 5 AND action <> 'ask_user')) AS valid FROM bt WHERE batch % 3 <> 1 GROUP BY batch),
-tp AS (SELECT pairs.* REPLACE (trim(paraphrase) AS paraphrase) FROM pairs JOIN bt USING (doc_id) JOIN bv USING (batch) WHERE valid)
+tp AS (SELECT pairs.* REPLACE (trim(pairs.paraphrase) AS paraphrase) FROM pairs JOIN bt USING (doc_id) JOIN bv ON bv.batch = bt.batch WHERE valid AND para_rows > 0)
 """
 
 
-@query("paraphrase_assembly", sql(pairs_sql(), _ASM, _V2.replace("FROM pairs", "FROM tp"), select="""
-SELECT id, (doc_id // 40)::INTEGER AS batch, qc, qc_reason, CASE WHEN qc = 'OK' THEN paraphrase ELSE original END AS current_prompt FROM q2"""))
+@query("paraphrase_assembly", sql(pairs_sql(), _BATCH, _ASM, _V2.replace("FROM pairs", "FROM tp"), select=f"""
+SELECT id, (doc_id % {BATCHES})::INTEGER AS batch, qc, qc_reason, CASE WHEN qc = 'OK' THEN paraphrase ELSE original END AS current_prompt FROM q2"""))
 def paraphrase_assembly(spark, folder):
     base, para = _batches(spark, folder)
     pairs = derived.paraphrase_pairs(spark, folder)

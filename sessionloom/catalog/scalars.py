@@ -22,8 +22,22 @@ from sessionloom.schema import CI_STATES, LANG_PREFS, PRIMARY_LANGS, SHORT_NAME,
 from sessionloom.sources import derived
 from sessionloom.sources.tables import table
 
-H, META, PROMPT = F.col("history"), F.col("session_meta"), F.col("current_prompt")
-WS = META["workspace"]
+
+def _history():
+    return F.col("history")
+
+
+def _meta():
+    return F.col("session_meta")
+
+
+def _prompt():
+    return F.col("current_prompt")
+
+
+def _ws():
+    return _meta()["workspace"]
+
 
 
 def long(c):
@@ -55,24 +69,24 @@ SELECT id, {O.band('turn_index', [2, 5, 10, 20])} AS step_band, {O.band_float('e
   CASE WHEN turn_index <= 2 THEN 'early' WHEN turn_index <= 6 THEN 'mid' WHEN turn_index <= 12 THEN 'late' ELSE 'deep' END AS phase,
   CASE WHEN budget < 5000 THEN 1 ELSE 0 END AS critical, {O.band("TRY_CAST(language_pref AS DOUBLE)", [1])} AS not_a_number FROM sess"""))
 def fn_buckets(spark, folder):
-    share = F.get(F.map_values(WS["language_mix"]), F.lit(0))
+    share = F.get(F.map_values(_ws()["language_mix"]), F.lit(0))
     return derived.sessions(spark, folder).select(
         "id",
-        B.band(META["turn_index"], [2, 5, 10, 20]).alias("step_band"),
-        B.band_float(META["elapsed_session_sec"], [120, 300, 900, 1800]).alias("elapsed_band"),
-        B.band_float(META["budget_tokens_remaining"], [1000, 5000, 10000, 30000], missing="unknown").alias("budget_band"),
+        B.band(_meta()["turn_index"], [2, 5, 10, 20]).alias("step_band"),
+        B.band_float(_meta()["elapsed_session_sec"], [120, 300, 900, 1800]).alias("elapsed_band"),
+        B.band_float(_meta()["budget_tokens_remaining"], [1000, 5000, 10000, 30000], missing="unknown").alias("budget_band"),
         B.band_unknown(share, [0.05, 0.1, 0.25, 0.5, 0.75, 1.0]).alias("share_band"),
-        B.bin_floor(META["budget_tokens_remaining"], 10000).alias("budget_bin"),
-        B.band(WS["loc"], R.COUNT_CUTS).alias("count_band"),
-        B.turn_phase(META["turn_index"]).alias("phase"),
-        B.budget_critical(META["budget_tokens_remaining"]).alias("critical"),
-        B.band(META["language_pref"], [1]).alias("not_a_number"),
+        B.bin_floor(_meta()["budget_tokens_remaining"], 10000).alias("budget_bin"),
+        B.band(_ws()["loc"], R.COUNT_CUTS).alias("count_band"),
+        B.turn_phase(_meta()["turn_index"]).alias("phase"),
+        B.budget_critical(_meta()["budget_tokens_remaining"]).alias("critical"),
+        B.band(_meta()["language_pref"], [1]).alias("not_a_number"),
     )
 
 
 @query("fn_prompt_band", sql(SESS, select=f"SELECT id, {O.prompt_band(words('current_prompt'))} AS band FROM sess"))
 def fn_prompt_band(spark, folder):
-    return derived.sessions(spark, folder).select("id", B.prompt_band(PROMPT).alias("band"))
+    return derived.sessions(spark, folder).select("id", B.prompt_band(_prompt()).alias("band"))
 
 
 _EVENTS = """
@@ -145,18 +159,18 @@ def fn_onehot(spark, folder):
     digits = lambda v: F.array_join(v.cast("array<int>").cast("array<string>"), "")
     return derived.sessions(spark, folder).select(
         "id",
-        digits(S.one_hot(META["user_tier"], TIERS)).alias("tier"),
-        digits(S.one_hot(META["language_pref"], LANG_PREFS)).alias("pref"),
-        digits(S.one_hot(WS["last_ci_status"], CI_STATES)).alias("ci"),
-        digits(S.one_hot_other(META["language_pref"], TRACE_LANG_PREFS)).alias("pref_other"),
-        digits(S.one_hot_other(META["user_tier"], TIERS)).alias("tier_other"),
+        digits(S.one_hot(_meta()["user_tier"], TIERS)).alias("tier"),
+        digits(S.one_hot(_meta()["language_pref"], LANG_PREFS)).alias("pref"),
+        digits(S.one_hot(_ws()["last_ci_status"], CI_STATES)).alias("ci"),
+        digits(S.one_hot_other(_meta()["language_pref"], TRACE_LANG_PREFS)).alias("pref_other"),
+        digits(S.one_hot_other(_meta()["user_tier"], TIERS)).alias("tier_other"),
     )
 
 
 @query("fn_primary_language", sql(SESS, select=f"""
 SELECT id, {O.primary_language(PRIMARY_LANGS)} AS known, {O.primary_language()} AS low, {O.primary_language(None, 'unknown', False)} AS exact FROM sess"""))
 def fn_primary_language(spark, folder):
-    mix = WS["language_mix"]
+    mix = _ws()["language_mix"]
     return derived.sessions(spark, folder).select(
         "id", E.primary_language(mix, PRIMARY_LANGS).alias("known"), E.primary_language(mix).alias("low"),
         E.top_language(mix).alias("exact"),
@@ -174,7 +188,7 @@ def fn_paths(spark, folder):
     p = F.col("p")
     odd = F.array(p, F.upper(p), F.replace(p, F.lit("/"), F.lit("\\")), F.concat(F.lit(" "), p, F.lit("/")), F.lit(".env"),
                   F.lit("src/.env"), F.lit("Makefile"), F.lit("a.tar.gz"), F.concat(p, F.lit(".")))
-    rows = derived.sessions(spark, folder).select("id", F.explode(E.open_files(META)).alias("p"))
+    rows = derived.sessions(spark, folder).select("id", F.explode(E.open_files(_meta())).alias("p"))
     path = F.col("path")
     return rows.select("id", F.explode(odd).alias("path")).select(
         "id", "path", E.norm_path(path).alias("norm"), E.base_name(path).alias("name"), E.extension(path).alias("ext"),
@@ -186,8 +200,8 @@ def fn_paths(spark, folder):
 SELECT id, {join(O.symbols('current_prompt', 12))} AS symbols12, {join(O.symbols('current_prompt', 1000))} AS symbols_all FROM sess"""))
 def fn_symbols(spark, folder):
     return derived.sessions(spark, folder).select(
-        "id", F.array_join(E.symbols(PROMPT, 12), " ").alias("symbols12"),
-        F.array_join(E.symbols(PROMPT, 1000), " ").alias("symbols_all"),
+        "id", F.array_join(E.symbols(_prompt(), 12), " ").alias("symbols12"),
+        F.array_join(E.symbols(_prompt(), 1000), " ").alias("symbols_all"),
     )
 
 
@@ -195,7 +209,7 @@ def fn_symbols(spark, folder):
 SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN {has('current_prompt', w)} THEN {q(n)} END" for n, w in KW.KEYWORD_GROUPS.items())}],
   lambda x: x IS NOT NULL), ' ') AS tokens FROM sess"""))
 def fn_keyword_tokens(spark, folder):
-    return derived.sessions(spark, folder).select("id", KW.keyword_tokens(PROMPT).alias("tokens"))
+    return derived.sessions(spark, folder).select("id", KW.keyword_tokens(_prompt()).alias("tokens"))
 
 
 def _flag_sql(test):
@@ -232,17 +246,17 @@ def hints_sql():
 def heads_columns(rows):
     """Intermediate columns of the sectioned text: paths, patterns, commands, targets, signals."""
     rows = rows.withColumns({
-        "an": E.action_names(H),
-        "lr": E.last_result(H),
-        "lus": E.last_user(H, need_content=True),
-        "paths": E.recent_paths(H, META, 8, "heads"),
-        "pats": E.recent_patterns(H, PROMPT, 6, "heads"),
-        "cmds": E.arg_values(H, ["cmd", "command", "script"], 6, 120, 160),
-        "targets": E.arg_values(H, ["target", "scope", "command", "cmd", "name"], 6, 120, 160),
+        "an": E.action_names(_history()),
+        "lr": E.last_result(_history()),
+        "lus": E.last_user(_history(), need_content=True),
+        "paths": E.recent_paths(_history(), _meta(), 8, "heads"),
+        "pats": E.recent_patterns(_history(), _prompt(), 6, "heads"),
+        "cmds": E.arg_values(_history(), ["cmd", "command", "script"], 6, 120, 160),
+        "targets": E.arg_values(_history(), ["target", "scope", "command", "cmd", "name"], 6, 120, 160),
     })
     recent = F.array_join(E.last_items(F.col("an"), 16), " ")
     return rows.withColumns({
-        "prompt_signal": F.concat_ws(" ", T.compact(PROMPT, 1200), "lus"),
+        "prompt_signal": F.concat_ws(" ", T.compact(_prompt(), 1200), "lus"),
         "context_signal": F.concat_ws(" ", *[F.array_join(c, " ") for c in ("paths", "pats", "cmds", "targets")], "lr", recent),
         "rtype": R.result_type(E.nth_last(F.col("an"), 1), F.col("lr")),
     })
@@ -252,7 +266,7 @@ def hints(rows_with_columns):
     n = lambda c: F.size(F.col(c))
     return KW.hint_flags(
         F.col("prompt_signal"), F.col("context_signal"), F.col("rtype"), n("paths"), n("pats"), n("cmds"),
-        F.size(E.open_files(META)),
+        F.size(E.open_files(_meta())),
     )
 
 
@@ -316,12 +330,12 @@ ins6 AS (SELECT *, list_filter(flatten([
 
 @query("fn_inspect_tokens", sql(SESS, O.FEAT, INSPECT_CTE, select=f"SELECT id, {join('itokens')} AS tokens FROM ins5"))
 def fn_inspect_tokens(spark, folder):
-    return derived.sessions(spark, folder).select("id", F.array_join(KW.inspect_tokens(PROMPT, H), " ").alias("tokens"))
+    return derived.sessions(spark, folder).select("id", F.array_join(KW.inspect_tokens(_prompt(), _history()), " ").alias("tokens"))
 
 
 @query("fn_state_tokens", sql(SESS, O.FEAT, INSPECT_CTE, select=f"SELECT id, {join('stokens')} AS tokens FROM ins6"))
 def fn_state_tokens(spark, folder):
-    return derived.sessions(spark, folder).select("id", F.array_join(KW.state_tokens(PROMPT, H, META), " ").alias("tokens"))
+    return derived.sessions(spark, folder).select("id", F.array_join(KW.state_tokens(_prompt(), _history(), _meta()), " ").alias("tokens"))
 
 
 @query("fn_compact_value", sql(SESS, select="""
@@ -339,9 +353,9 @@ def fn_count_band(spark, folder):
     from sessionloom.operators.keys import action_group
 
     short = lambda a: F.coalesce(F.try_element_at(lookup(SHORT_NAME), a), F.replace(a, F.lit("_"), F.lit("")))
-    an = E.action_names(H)
+    an = E.action_names(_history())
     return derived.sessions(spark, folder).select(
-        "id", B.count_band(F.size(H)).alias("history_band"),
+        "id", B.count_band(F.size(_history())).alias("history_band"),
         F.array_join(F.transform(an, lambda a: action_group(a)), " ").alias("groups"),
         F.array_join(F.transform(an, short), " ").alias("short_names"),
     )
@@ -355,9 +369,9 @@ def fn_scaled_log(spark, folder):
     import math
 
     return derived.sessions(spark, folder).select(
-        "id", rounded(B.scaled_log(WS["loc"], 12.0)).alias("loc_log"), rounded(B.scaled_log(META["turn_index"], 4.0)).alias("turn_log"),
-        rounded(B.scaled_log_clipped(META["budget_tokens_remaining"], math.log1p(200000.0))).alias("budget_clip"),
-        rounded(B.scaled_log_clipped(WS["loc"], math.log1p(1000.0))).alias("loc_clip"),
+        "id", rounded(B.scaled_log(_ws()["loc"], 12.0)).alias("loc_log"), rounded(B.scaled_log(_meta()["turn_index"], 4.0)).alias("turn_log"),
+        rounded(B.scaled_log_clipped(_meta()["budget_tokens_remaining"], math.log1p(200000.0))).alias("budget_clip"),
+        rounded(B.scaled_log_clipped(_ws()["loc"], math.log1p(1000.0))).alias("loc_clip"),
     )
 
 
@@ -410,7 +424,7 @@ def fn_sentence_count_protected(spark, folder):
 
 @query("fn_has_hangul", sql(SESS, select="SELECT id, regexp_matches(current_prompt, '[가-힣]') AS hangul FROM sess"))
 def fn_has_hangul(spark, folder):
-    return derived.sessions(spark, folder).select("id", T.has_hangul(PROMPT).alias("hangul"))
+    return derived.sessions(spark, folder).select("id", T.has_hangul(_prompt()).alias("hangul"))
 
 
 _FILE_RX = q(r"[\p{L}\p{N}_./-]+\.[A-Za-z]{1,5}")

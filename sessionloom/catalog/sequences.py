@@ -13,7 +13,22 @@ from sessionloom.operators import keys
 from sessionloom.operators.ordered import last_items
 from sessionloom.sources import derived
 
-H, META, PROMPT = F.col("history"), F.col("session_meta"), F.col("current_prompt")
+
+def _history():
+    return F.col("history")
+
+
+def _meta():
+    return F.col("session_meta")
+
+
+def _prompt():
+    return F.col("current_prompt")
+
+
+def _ws():
+    return _meta()["workspace"]
+
 
 
 def text(values, sep=" "):
@@ -23,7 +38,7 @@ def text(values, sep=" "):
 @query("seq_last_prev_action", sql(SESS, O.FEAT, select=f"""
 SELECT id, {O.nth_last('an', 1)} AS last_action, {O.nth_last('an', 2)} AS prev_action, len(an) AS n_actions FROM feat"""))
 def seq_last_prev_action(spark, folder):
-    rows = derived.sessions(spark, folder).select("id", E.action_names(H).alias("an"))
+    rows = derived.sessions(spark, folder).select("id", E.action_names(_history()).alias("an"))
     an = F.col("an")
     return rows.select(
         "id", E.nth_last(an, 1).alias("last_action"), E.nth_last(an, 2).alias("prev_action"),
@@ -57,8 +72,8 @@ def seq_action_ngrams(spark, folder):
 SELECT id, lr AS last_result, lu AS last_user, lus AS last_user_said, {O.last_args(180)} AS last_args FROM feat"""))
 def seq_last_nonempty(spark, folder):
     return derived.sessions(spark, folder).select(
-        "id", E.last_result(H).alias("last_result"), E.last_user(H).alias("last_user"),
-        E.last_user(H, need_content=True).alias("last_user_said"), E.last_args(H, 180).alias("last_args"),
+        "id", E.last_result(_history()).alias("last_result"), E.last_user(_history()).alias("last_user"),
+        E.last_user(_history(), need_content=True).alias("last_user_said"), E.last_args(_history(), 180).alias("last_args"),
     )
 
 
@@ -89,7 +104,7 @@ def trace_lines(history, k=14):
 SELECT id, {join(O.event_lines(6), ' | ')} AS lines6, {join(_trace_sql(14), ' | ')} AS trace14 FROM sess"""))
 def seq_event_render(spark, folder):
     return derived.sessions(spark, folder).select(
-        "id", text(E.event_lines(H, 6), " | ").alias("lines6"), text(trace_lines(H), " | ").alias("trace14")
+        "id", text(E.event_lines(_history(), 6), " | ").alias("lines6"), text(trace_lines(_history()), " | ").alias("trace14")
     )
 
 
@@ -99,10 +114,10 @@ SELECT id, {join(O.arg_values(O.PATH_KEYS, 3))} AS paths3, {join(O.arg_values(O.
 def seq_recent_args(spark, folder):
     return derived.sessions(spark, folder).select(
         "id",
-        text(E.arg_values(H, E.PATH_KEYS, 3)).alias("paths3"),
-        text(E.arg_values(H, E.CMD_KEYS, 6)).alias("cmds"),
-        text(E.arg_values(H, E.TARGET_KEYS, 6)).alias("targets"),
-        text(E.arg_values(H, ["files", "path"], 2)).alias("files2"),
+        text(E.arg_values(_history(), E.PATH_KEYS, 3)).alias("paths3"),
+        text(E.arg_values(_history(), E.CMD_KEYS, 6)).alias("cmds"),
+        text(E.arg_values(_history(), E.TARGET_KEYS, 6)).alias("targets"),
+        text(E.arg_values(_history(), ["files", "path"], 2)).alias("files2"),
     )
 
 
@@ -112,7 +127,7 @@ _VALUES = "list_concat(list_concat(open_files, list_transform(open_files, lambda
 @query("seq_dedupe_tail", sql(SESS, select=f"""
 SELECT id, {join(O.dedupe(_VALUES, 3))} AS folded, {join(O.dedupe(_VALUES, 8, fold_case=False))} AS exact FROM sess"""))
 def seq_dedupe_tail(spark, folder):
-    opened = E.open_files(META)
+    opened = E.open_files(_meta())
     values = F.concat(opened, F.transform(opened, lambda p: F.upper(p)), F.array(F.lit(""), F.lit(" x  y ")), F.slice(opened, 1, 1))
     return derived.sessions(spark, folder).select(
         "id", text(E.dedupe_tail(values, 3)).alias("folded"), text(E.dedupe_tail(values, 8, fold_case=False)).alias("exact")
@@ -125,10 +140,10 @@ SELECT id, {join(O.recent_paths(2))} AS paths2, {join(O.recent_paths(10))} AS pa
 def seq_recent_paths(spark, folder):
     return derived.sessions(spark, folder).select(
         "id",
-        text(E.recent_paths(H, META, 2)).alias("paths2"),
-        text(E.recent_paths(H, META, 10)).alias("paths10"),
-        text(E.recent_paths(H, META, 8, "heads")).alias("heads8"),
-        text(E.recent_paths(H, META, 10, "inspect")).alias("inspect10"),
+        text(E.recent_paths(_history(), _meta(), 2)).alias("paths2"),
+        text(E.recent_paths(_history(), _meta(), 10)).alias("paths10"),
+        text(E.recent_paths(_history(), _meta(), 8, "heads")).alias("heads8"),
+        text(E.recent_paths(_history(), _meta(), 10, "inspect")).alias("inspect10"),
     )
 
 
@@ -138,9 +153,9 @@ SELECT id, {join(O.recent_patterns(6))} AS patterns6, {join(O.recent_patterns(6,
 def seq_recent_patterns(spark, folder):
     return derived.sessions(spark, folder).select(
         "id",
-        text(E.recent_patterns(H, PROMPT, 6)).alias("patterns6"),
-        text(E.recent_patterns(H, PROMPT, 6, "heads")).alias("heads6"),
-        text(E.recent_patterns(H, PROMPT, 8, "inspect")).alias("inspect8"),
+        text(E.recent_patterns(_history(), _prompt(), 6)).alias("patterns6"),
+        text(E.recent_patterns(_history(), _prompt(), 6, "heads")).alias("heads6"),
+        text(E.recent_patterns(_history(), _prompt(), 8, "inspect")).alias("inspect8"),
     )
 
 
@@ -148,11 +163,11 @@ def seq_recent_patterns(spark, folder):
 SELECT id, {join('list_sort(' + O.READ_PATHS + ')')} AS read_paths, {O.overlaps('paths', O.READ_PATHS)} AS already_read,
   {O.overlaps('paths', 'open_files')} AS is_open FROM pp"""))
 def seq_path_flags(spark, folder):
-    rows = derived.sessions(spark, folder).select("id", "history", "session_meta", E.recent_paths(H, META, 6).alias("paths"))
-    reads = E.read_paths(H)
+    rows = derived.sessions(spark, folder).select("id", "history", "session_meta", E.recent_paths(_history(), _meta(), 6).alias("paths"))
+    reads = E.read_paths(_history())
     return rows.select(
         "id", text(F.array_sort(reads)).alias("read_paths"), E.overlaps(F.col("paths"), reads).alias("already_read"),
-        E.overlaps(F.col("paths"), E.open_files(META)).alias("is_open"),
+        E.overlaps(F.col("paths"), E.open_files(_meta())).alias("is_open"),
     )
 
 
@@ -161,15 +176,15 @@ SELECT id, {O.sorted_counts('an')} AS counts, {O.USER_TURNS} AS user_turns, {O.F
   {O.count_of('an', 'apply_patch', 'edit_file', 'write_file')} AS patches, {O.count_of('an', 'run_tests')} AS tests,
   {O.failure_terms()} AS failure_terms, len(evs) AS history_len FROM feat"""))
 def seq_history_counters(spark, folder):
-    rows = derived.sessions(spark, folder).select("id", "history", E.action_names(H).alias("an"))
+    rows = derived.sessions(spark, folder).select("id", "history", E.action_names(_history()).alias("an"))
     an = F.col("an")
     n = lambda c: c.cast("long")
     return rows.select(
-        "id", E.sorted_counts(an).alias("counts"), n(E.user_turns(H)).alias("user_turns"),
-        n(E.failed_results(H)).alias("failed_results"),
+        "id", E.sorted_counts(an).alias("counts"), n(E.user_turns(_history())).alias("user_turns"),
+        n(E.failed_results(_history())).alias("failed_results"),
         n(E.count_of(an, "apply_patch", "edit_file", "write_file")).alias("patches"),
-        n(E.count_of(an, "run_tests")).alias("tests"), n(E.failure_terms(H)).alias("failure_terms"),
-        n(F.size(H)).alias("history_len"),
+        n(E.count_of(an, "run_tests")).alias("tests"), n(E.failure_terms(_history())).alias("failure_terms"),
+        n(F.size(_history())).alias("history_len"),
     )
 
 
@@ -177,7 +192,7 @@ def seq_history_counters(spark, folder):
 SELECT id, {join(tail('open_files', 2))} AS newest2, {join('list_transform(open_files, lambda p: ' + O.base_name('p') + ')')} AS names,
   {join(O.sorted_exts('open_files'))} AS exts FROM sess"""))
 def seq_open_files(spark, folder):
-    opened = E.open_files(META)
+    opened = E.open_files(_meta())
     return derived.sessions(spark, folder).select(
         "id", text(last_items(opened, 2)).alias("newest2"), text(F.transform(opened, E.base_name)).alias("names"),
         text(E.sorted_extensions(opened)).alias("exts"),

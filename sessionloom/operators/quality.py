@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.functions import scalars as S
 from sessionloom.functions.text import SPACE, as_text, collapse, has_hangul
-from sessionloom.operators import joins, metrics
+from sessionloom.operators import joins
+from sessionloom.sources.staging import small, stage
 
 
 def _reasons(**tests: Column) -> Column:
@@ -130,7 +131,7 @@ def pair_batches(base: DataFrame, para: DataFrame) -> DataFrame:
         F.count("in_para").alias("para_rows"),
         F.bool_and(equal & F.col("in_base").isNotNull() & F.col("in_para").isNotNull()).alias("valid"),
     )
-    return rows.join(F.broadcast(verdict), "batch").where(F.col("para_rows") > 0)
+    return rows.join(small(stage(verdict, "batch-verdicts")), "batch").where(F.col("para_rows") > 0)
 
 
 def assemble(paired: DataFrame, labels: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -26,11 +26,26 @@ from sessionloom.schema import (
     TRACE_PRIMARY_LANGS, doubles, lookup, strings,
 )
 
-H, META, PROMPT = F.col("history"), F.col("session_meta"), F.col("current_prompt")
-WS = META["workspace"]
 C = F.col
 
 
+def _history():
+    return F.col("history")
+
+
+def _meta():
+    return F.col("session_meta")
+
+
+def _prompt():
+    return F.col("current_prompt")
+
+
+def _ws():
+    return _meta()["workspace"]
+
+
+
 def words(values: Column) -> Column:
     return F.array_join(values, " ")
 
@@ -54,37 +69,37 @@ def missing(value: Column, default: str = "unknown") -> Column:
 
 
 def dirty_low() -> Column:
-    return missing(WS["git_dirty"].cast("string"))
+    return missing(_ws()["git_dirty"].cast("string"))
 
 
 # name -> (columns it reads, expression)
 DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
-    "an": ((), lambda: E.action_names(H)),
+    "an": ((), lambda: E.action_names(_history())),
     "groups": (("an",), lambda: F.transform(C("an"), lambda a: keys.action_group(a))),
-    "lr": ((), lambda: E.last_result(H)),
-    "lu": ((), lambda: E.last_user(H)),
-    "lus": ((), lambda: E.last_user(H, need_content=True)),
+    "lr": ((), lambda: E.last_result(_history())),
+    "lu": ((), lambda: E.last_user(_history())),
+    "lus": ((), lambda: E.last_user(_history(), need_content=True)),
     "rtype": (("an", "lr"), lambda: R.result_type(E.nth_last(C("an"), 1), C("lr"))),
     "rtype_i": (("an", "lr"), lambda: R.result_type(E.nth_last(C("an"), 1), C("lr"), inspect=True)),
-    "events6": ((), lambda: E.event_lines(H, 6)),
-    "paths6": ((), lambda: E.recent_paths(H, META, 6)),
-    "paths10": ((), lambda: E.recent_paths(H, META, 10)),
-    "pats5": ((), lambda: E.recent_patterns(H, PROMPT, 5)),
-    "pats8": ((), lambda: E.recent_patterns(H, PROMPT, 8)),
+    "events6": ((), lambda: E.event_lines(_history(), 6)),
+    "paths6": ((), lambda: E.recent_paths(_history(), _meta(), 6)),
+    "paths10": ((), lambda: E.recent_paths(_history(), _meta(), 10)),
+    "pats5": ((), lambda: E.recent_patterns(_history(), _prompt(), 5)),
+    "pats8": ((), lambda: E.recent_patterns(_history(), _prompt(), 8)),
     "state": ((), lambda: state_text()),
     "last_line": (("an", "lr", "rtype"), lambda: last_line()),
     "summary": (("an", "groups"), lambda: action_summary(C("an"), C("groups"))),
-    "trace14": ((), lambda: trace_lines(H, 14)),
+    "trace14": ((), lambda: trace_lines(_history(), 14)),
     "sim": (("lr", "lu", "an", "last_line", "events6", "state", "paths10"), lambda: sim_text()),
     "au_train": (("lr", "lu", "an", "last_line", "state", "paths6", "pats5"), lambda: au_text(full_header=True)),
     "au_serve": (("lr", "lu", "an", "last_line", "state", "paths6", "pats5"), lambda: au_text(full_header=False)),
     # sectioned text
-    "h_paths": ((), lambda: E.recent_paths(H, META, 8, "heads")),
-    "h_files": ((), lambda: E.recent_paths(H, META, 20, "heads")),
-    "h_pats": ((), lambda: E.recent_patterns(H, PROMPT, 6, "heads")),
-    "h_cmds": ((), lambda: E.arg_values(H, ["cmd", "command", "script"], 6, 120, 160)),
-    "h_targets": ((), lambda: E.arg_values(H, ["target", "scope", "command", "cmd", "name"], 6, 120, 160)),
-    "prompt_signal": (("lus",), lambda: F.concat_ws(" ", compact(PROMPT, 1200), C("lus"))),
+    "h_paths": ((), lambda: E.recent_paths(_history(), _meta(), 8, "heads")),
+    "h_files": ((), lambda: E.recent_paths(_history(), _meta(), 20, "heads")),
+    "h_pats": ((), lambda: E.recent_patterns(_history(), _prompt(), 6, "heads")),
+    "h_cmds": ((), lambda: E.arg_values(_history(), ["cmd", "command", "script"], 6, 120, 160)),
+    "h_targets": ((), lambda: E.arg_values(_history(), ["target", "scope", "command", "cmd", "name"], 6, 120, 160)),
+    "prompt_signal": (("lus",), lambda: F.concat_ws(" ", compact(_prompt(), 1200), C("lus"))),
     "context_signal": (
         ("h_paths", "h_pats", "h_cmds", "h_targets", "lr", "an"),
         lambda: F.concat_ws(
@@ -96,15 +111,15 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
         ("prompt_signal", "context_signal", "rtype", "h_paths", "h_pats", "h_cmds"),
         lambda: KW.hint_flags(
             C("prompt_signal"), C("context_signal"), C("rtype"), F.size("h_paths"), F.size("h_pats"), F.size("h_cmds"),
-            F.size(E.open_files(META)),
+            F.size(E.open_files(_meta())),
         ),
     ),
     "common": (("lus", "an", "hints", "h_paths", "h_files", "h_pats", "h_cmds", "h_targets", "lr", "rtype"), lambda: common_text()),
     # inspect texts
-    "i_paths": ((), lambda: either(words(E.recent_paths(H, META, 10, "inspect")), "none")),
-    "i_pats": ((), lambda: either(words(E.recent_patterns(H, PROMPT, 8, "inspect")), "none")),
+    "i_paths": ((), lambda: either(words(E.recent_paths(_history(), _meta(), 10, "inspect")), "none")),
+    "i_pats": ((), lambda: either(words(E.recent_patterns(_history(), _prompt(), 8, "inspect")), "none")),
     "flow": (("an",), lambda: flow_text(C("an"))),
-    "tn": ((), lambda: E.trace_names(H)),
+    "tn": ((), lambda: E.trace_names(_history())),
 }
 
 
@@ -131,33 +146,33 @@ def header(source: str, full: bool = True, variant: int | None = None) -> Column
     parts = [F.lit("query:"), F.lit(f"[SRC={source}]")]
     if variant is not None:
         parts.append(F.lit(f"[AUG=v{variant}]"))
-    parts.append(F.concat(F.lit("[STEP="), B.band(META["turn_index"], [2, 5, 10, 20]), F.lit("]")))
+    parts.append(F.concat(F.lit("[STEP="), B.band(_meta()["turn_index"], [2, 5, 10, 20]), F.lit("]")))
     if full:
         parts += [
-            F.concat(F.lit("[PLEN="), B.prompt_band(PROMPT), F.lit("]")),
-            F.concat(F.lit("[BUDGET="), B.budget_band(META["budget_tokens_remaining"]), F.lit("]")),
+            F.concat(F.lit("[PLEN="), B.prompt_band(_prompt()), F.lit("]")),
+            F.concat(F.lit("[BUDGET="), B.budget_band(_meta()["budget_tokens_remaining"]), F.lit("]")),
             F.concat(F.lit("[LASTRES="), R.status_with_empty(C("lr")), F.lit("]")),
         ]
     return F.concat_ws(" ", *parts)
 
 
 def state_text() -> Column:
-    opened = E.open_files(META)
+    opened = E.open_files(_meta())
     return pairs(
         open_count=B.band(F.size(opened), [0, 1, 2, 5, 10]),
         open_exts=either(words(E.sorted_extensions(opened)), "none"),
         git_dirty=dirty_low(),
-        ci=missing(WS["last_ci_status"]),
-        lang=E.primary_language(WS["language_mix"], PRIMARY_LANGS),
-        loc=B.band(WS["loc"], [1000, 5000, 20000, 50000]),
-        turn=B.band(META["turn_index"], [2, 5, 10, 20]),
+        ci=missing(_ws()["last_ci_status"]),
+        lang=E.primary_language(_ws()["language_mix"], PRIMARY_LANGS),
+        loc=B.band(_ws()["loc"], [1000, 5000, 20000, 50000]),
+        turn=B.band(_meta()["turn_index"], [2, 5, 10, 20]),
     )
 
 
 def last_line() -> Column:
     return pairs(
         action=E.nth_last(C("an"), 1),
-        args=E.last_args(H, 160),
+        args=E.last_args(_history(), 160),
         result_type=C("rtype"),
         status=R.status(C("lr")),
         hint=compact(C("lr"), 120),
@@ -218,11 +233,11 @@ def hint_block() -> Column:
             ),
         )
 
-    combined = F.concat_ws(" ", compact(PROMPT, 900), C("lu"))
+    combined = F.concat_ws(" ", compact(_prompt(), 900), C("lu"))
     return F.concat_ws(
         " ",
         let(F.struct(combined.alias("text"), C("paths6").alias("recent")), block),
-        F.concat(F.lit("cmds="), words(E.arg_values(H, E.CMD_KEYS, 5))),
+        F.concat(F.lit("cmds="), words(E.arg_values(_history(), E.CMD_KEYS, 5))),
         F.concat(F.lit("patterns="), words(C("pats5"))),
     )
 
@@ -237,10 +252,10 @@ def quoted_parts(text: Column) -> Column:
 
 def sim_text() -> Column:
     exts = either(words(E.sorted_extensions(C("paths10"))), "none")
-    signal = F.concat_ws(" ", compact(PROMPT, 1000), C("lu"), words(C("paths10")))
+    signal = F.concat_ws(" ", compact(_prompt(), 1000), C("lu"), words(C("paths10")))
     return lines(
         header("sim"),
-        "[CURRENT_PROMPT]", compact(PROMPT, 1000), "",
+        "[CURRENT_PROMPT]", compact(_prompt(), 1000), "",
         "[ACTION_TAIL]", E.tail_text(C("an"), 6), "",
         "[LAST]", C("last_line"), "",
         "[FLOW]", either(F.array_join("events6", "\n"), "START"), "",
@@ -252,14 +267,14 @@ def sim_text() -> Column:
 
 def au_text(full_header: bool) -> Column:
     """full_header: the four-part header used for training; otherwise only the step part."""
-    visible = words(F.transform(last_items(E.open_files(META), 6), E.base_name))
+    visible = words(F.transform(last_items(E.open_files(_meta()), 6), E.base_name))
     state = F.concat_ws(
-        " ", C("state"), F.concat(F.lit("edited="), words(E.dedupe_tail(E.edited_files(H), 6))),
+        " ", C("state"), F.concat(F.lit("edited="), words(E.dedupe_tail(E.edited_files(_history()), 6))),
         F.concat(F.lit("visible="), visible),
     )
     return lines(
         header("au", full_header),
-        "[CURRENT_PROMPT]", compact(PROMPT, 700), "",
+        "[CURRENT_PROMPT]", compact(_prompt(), 700), "",
         "[DIRECT_HINTS]", hint_block(), "",
         "[ACTION_TAIL]", E.tail_text(C("an"), 3), "",
         "[LAST]", C("last_line"), "",
@@ -278,11 +293,11 @@ def augmented(source: str, variant: int) -> Column:
     if variant == 0:
         return base
     if source == "sim":
-        step, limit, light, route = B.band(META["turn_index"], [2, 5, 10, 20]), 900, 320, "[COMPACT_SIM_ROUTE]"
+        step, limit, light, route = B.band(_meta()["turn_index"], [2, 5, 10, 20]), 900, 320, "[COMPACT_SIM_ROUTE]"
     else:
-        step, limit, light, route = missing(whole_number(META["turn_index"]), "na"), 700, 260, "[COMPACT_AU_ROUTE]"
+        step, limit, light, route = missing(whole_number(_meta()["turn_index"]), "na"), 700, 260, "[COMPACT_AU_ROUTE]"
     head = F.concat(F.lit(f"query: [SRC={source}] [AUG=v{variant}] [STEP="), step, F.lit("]"))
-    prompt = compact(PROMPT, limit)
+    prompt = compact(_prompt(), limit)
     if variant == 1:
         parts = [
             head, "[CURRENT_PROMPT]", prompt, "[HISTORY_ACTION_TRACE]", either(F.array_join("trace14", "\n"), "START"),
@@ -294,8 +309,8 @@ def augmented(source: str, variant: int) -> Column:
             " ",
             F.concat(F.lit("paths="), words(C("paths10"))),
             F.concat(F.lit("patterns="), words(C("pats8"))),
-            F.concat(F.lit("cmds="), words(E.arg_values(H, E.CMD_KEYS, 6))),
-            F.concat(F.lit("targets="), words(E.arg_values(H, E.TARGET_KEYS, 6))),
+            F.concat(F.lit("cmds="), words(E.arg_values(_history(), E.CMD_KEYS, 6))),
+            F.concat(F.lit("targets="), words(E.arg_values(_history(), E.TARGET_KEYS, 6))),
         )
         result = pairs(status=R.status(C("lr")), type=C("rtype"), hint=compact(C("lr"), 180))
         return lines(
@@ -303,7 +318,7 @@ def augmented(source: str, variant: int) -> Column:
         )
     if variant == 3:
         place = pairs(
-            lang=E.primary_language(WS["language_mix"]), open=words(last_items(E.open_files(META), 8)), state=C("state")
+            lang=E.primary_language(_ws()["language_mix"]), open=words(last_items(E.open_files(_meta()), 8)), state=C("state")
         )
         return lines(head, route, C("summary"), "[PROMPT_LIGHT]", compact(prompt, light), "[WORKSPACE]", place)
     return lines(head, "[DIRECT]", base, "[TRACE_REPEAT_LIGHT]", C("summary"))
@@ -318,7 +333,7 @@ def by_variant(texts: list[Column]) -> Column:
 
 
 def args_light() -> Column:
-    patterns, cmds, targets = C("pats5"), E.arg_values(H, E.CMD_KEYS, 4), E.arg_values(H, E.TARGET_KEYS, 4)
+    patterns, cmds, targets = C("pats5"), E.arg_values(_history(), E.CMD_KEYS, 4), E.arg_values(_history(), E.TARGET_KEYS, 4)
 
     def named(name: str, values: Column, k: int, limit: int | None = None) -> Column:
         shown = (lambda v: compact(v, limit)) if limit else E.base_name
@@ -331,8 +346,8 @@ def args_light() -> Column:
             patterns_count=B.band(F.size(patterns), [0, 1, 2, 4]),
             cmds_count=B.band(F.size(cmds), [0, 1, 2, 4]),
             targets_count=B.band(F.size(targets), [0, 1, 2, 4]),
-            path_already_read=flag(E.overlaps(C("paths6"), E.read_paths(H))),
-            path_in_open_files=flag(E.overlaps(C("paths6"), E.open_files(META))),
+            path_already_read=flag(E.overlaps(C("paths6"), E.read_paths(_history()))),
+            path_in_open_files=flag(E.overlaps(C("paths6"), E.open_files(_meta()))),
         ),
         named("path", C("paths6"), 4), named("pattern", patterns, 3, 60), named("cmd", cmds, 3, 80),
         named("target", targets, 3, 60),
@@ -366,34 +381,34 @@ def action_trace() -> Column:
         last2_actions=F.concat(prev, F.lit("_"), last),
         tail=either(words(last_items(an, 8)), "NONE"),
         na=F.size(an),
-        nu=E.user_turns(H),
-        hlen=F.size(E.items(H)),
-        fail=E.failed_results(H),
+        nu=E.user_turns(_history()),
+        hlen=F.size(E.items(_history())),
+        fail=E.failed_results(_history()),
         patch=n(*edits),
         tests=n("run_tests"),
         read=n("read_file"),
         grep=n("grep_search"),
         bash=n("run_bash"),
-        plen=B.band(word_count(compact(PROMPT, 1000)), [4, 10, 30, 60]),
+        plen=B.band(word_count(compact(_prompt(), 1000)), [4, 10, 30, 60]),
         c_read=flag(n("read_file") > 0),
         c_edit=flag(n(*edits) > 0),
     )
 
 
 def meta_block() -> Column:
-    opened = E.open_files(META)
+    opened = E.open_files(_meta())
     return F.concat_ws(
         " ",
         pairs(
-            user_tier=missing(META["user_tier"]),
-            language_pref=missing(META["language_pref"]),
-            budget=B.band(META["budget_tokens_remaining"], [5000, 10000, 30000, 70000, 150000]),
-            turn=B.band(META["turn_index"], [2, 5, 10, 20]),
-            elapsed=B.band(META["elapsed_session_sec"], [120, 300, 900, 1800]),
-            loc=B.band(WS["loc"], [1000, 5000, 20000, 50000]),
+            user_tier=missing(_meta()["user_tier"]),
+            language_pref=missing(_meta()["language_pref"]),
+            budget=B.band(_meta()["budget_tokens_remaining"], [5000, 10000, 30000, 70000, 150000]),
+            turn=B.band(_meta()["turn_index"], [2, 5, 10, 20]),
+            elapsed=B.band(_meta()["elapsed_session_sec"], [120, 300, 900, 1800]),
+            loc=B.band(_ws()["loc"], [1000, 5000, 20000, 50000]),
             git_dirty=dirty_low(),
-            last_ci_status=missing(WS["last_ci_status"]),
-            lang=E.primary_language(WS["language_mix"], PRIMARY_LANGS),
+            last_ci_status=missing(_ws()["last_ci_status"]),
+            lang=E.primary_language(_ws()["language_mix"], PRIMARY_LANGS),
             open_files_count=B.band(F.size(opened), [0, 1, 2, 5, 10]),
         ),
         words(F.transform(last_items(opened, 4), lambda p: F.concat(F.lit("file="), E.base_name(p)))),
@@ -426,20 +441,20 @@ def trace_view() -> Column:
         " ",
         pairs(
             last_action=joined(1), last2_actions=joined(2), last3_actions=joined(3), tail=words(last_items(short, 6)),
-            na=band(F.size(tn)), nu=band(E.user_turns(H)), hlen=band(F.size(E.items(H))), fail=band(E.failure_terms(H)),
+            na=band(F.size(tn)), nu=band(E.user_turns(_history())), hlen=band(F.size(E.items(_history()))), fail=band(E.failure_terms(_history())),
             patch=band(n("apply_patch", "edit_file", "write_file")), tests=band(n("run_tests", "lint_or_typecheck")),
-            plen=B.band_unknown(word_count(PROMPT), [4, 8, 12, 20, 32, 64]),
+            plen=B.band_unknown(word_count(_prompt()), [4, 8, 12, 20, 32, 64]),
         ),
         *per_action,
     )
     mix = F.transform(
-        F.array_sort(F.coalesce(F.map_entries(WS["language_mix"]), F.array().cast("array<struct<key:string,value:double>>"))),
+        F.array_sort(F.coalesce(F.map_entries(_ws()["language_mix"]), F.array().cast("array<struct<key:string,value:double>>"))),
         lambda e: F.concat(
             F.lit("lang="), e["key"], F.lit(" lang_"), e["key"], F.lit("="),
             B.band_unknown(e["value"], [0.05, 0.1, 0.25, 0.5, 0.75, 1.0]),
         ),
     )
-    opened = E.open_files(META)
+    opened = E.open_files(_meta())
 
     def file_tokens(path: Column) -> Column:
         name = F.replace(E.base_name(stripped(path)), F.lit(" "), F.lit("_"))
@@ -451,36 +466,36 @@ def trace_view() -> Column:
     meta = F.concat_ws(
         " ",
         pairs(
-            user_tier=missing(META["user_tier"]),
-            language_pref=missing(META["language_pref"]),
-            budget=B.band_unknown(META["budget_tokens_remaining"], [1000, 5000, 10000, 30000, 70000, 150000]),
-            turn=B.band_unknown(META["turn_index"], [1, 3, 5, 10, 20, 40]),
-            elapsed=B.band_unknown(META["elapsed_session_sec"], [60, 300, 900, 1800, 3600, 7200]),
-            loc=B.band_unknown(WS["loc"], [100, 1000, 5000, 20000, 100000]),
+            user_tier=missing(_meta()["user_tier"]),
+            language_pref=missing(_meta()["language_pref"]),
+            budget=B.band_unknown(_meta()["budget_tokens_remaining"], [1000, 5000, 10000, 30000, 70000, 150000]),
+            turn=B.band_unknown(_meta()["turn_index"], [1, 3, 5, 10, 20, 40]),
+            elapsed=B.band_unknown(_meta()["elapsed_session_sec"], [60, 300, 900, 1800, 3600, 7200]),
+            loc=B.band_unknown(_ws()["loc"], [100, 1000, 5000, 20000, 100000]),
             git_dirty=dirty_low(),
-            last_ci_status=missing(WS["last_ci_status"]),
+            last_ci_status=missing(_ws()["last_ci_status"]),
         ),
         F.when(F.size(mix) > 0, words(mix)),
         pairs(open_files_count=B.band_unknown(F.size(opened), [0, 1, 2, 4, 8, 16])),
         F.when(F.size(opened) > 0, words(F.filter(F.transform(last_items(opened, 8), file_tokens), lambda t: t != ""))),
     )
     return stripped(
-        lines("[CURRENT_PROMPT]", stripped(PROMPT), "", "[ACTION_TRACE]", trace, "", "[SESSION_META]", meta)
+        lines("[CURRENT_PROMPT]", stripped(_prompt()), "", "[ACTION_TRACE]", trace, "", "[SESSION_META]", meta)
     )
 
 
 def inspect_text(variant: int) -> Column:
     """View 0..4 for choosing among the four inspect actions."""
-    lr, prompt = C("lr"), compact(PROMPT, 650)
-    opened = either(words(last_items(E.open_files(META), 10)), "none")
+    lr, prompt = C("lr"), compact(_prompt(), 650)
+    opened = either(words(last_items(E.open_files(_meta()), 10)), "none")
     band = B.band_float
     head = F.concat(
         F.lit(
             "query: choose inspection action from read_file grep_search glob_pattern list_directory "
             f"[SRC=sim] [AUG=v{variant}] [STEP="
         ),
-        band(META["turn_index"], [2, 5, 10, 20]), F.lit("] [PLEN="), B.prompt_band(PROMPT),
-        F.lit("] [BUDGET="), band(META["budget_tokens_remaining"], [5000, 12000, 20000]),
+        band(_meta()["turn_index"], [2, 5, 10, 20]), F.lit("] [PLEN="), B.prompt_band(_prompt()),
+        F.lit("] [BUDGET="), band(_meta()["budget_tokens_remaining"], [5000, 12000, 20000]),
         F.lit("] [LASTRES="), R.status_inspect(lr), F.lit("]"),
     )
     result = lambda n: pairs(status=R.status_inspect(lr), type=C("rtype_i"), hint=compact(lr, n))
@@ -492,7 +507,7 @@ def inspect_text(variant: int) -> Column:
     if variant == 1:
         return lines(
             head, "[PROMPT]", prompt, "[LAST_USER]", C("lu"), "[LAST]",
-            pairs(args=E.last_action_args(H), result=compact(lr, 320)),
+            pairs(args=E.last_action_args(_history()), result=compact(lr, 320)),
             "[OPEN_AND_PATHS]", pairs(open=opened, paths=C("i_paths"), patterns=C("i_pats")),
         )
     if variant == 2:
@@ -501,14 +516,14 @@ def inspect_text(variant: int) -> Column:
             pairs(paths=C("i_paths"), patterns=C("i_pats"), open=opened), "[PROMPT_LIGHT]", compact(prompt, 260),
         )
     if variant == 3:
-        dirty = F.when(WS["git_dirty"].isNull(), "na").otherwise(KW.python_bool(WS["git_dirty"]))
+        dirty = F.when(_ws()["git_dirty"].isNull(), "na").otherwise(KW.python_bool(_ws()["git_dirty"]))
         return lines(
             head, "[DECISION_HINT]",
             "file content/reference/usage => grep_search | file path/open file => read_file | "
             "wildcard/find files => glob_pattern | folder/tree/list => list_directory",
             "[PROMPT]", prompt, "[STATE]",
             pairs(
-                open_files_count=F.size(E.open_files(META)), git_dirty=dirty, top_lang=E.primary_language(WS["language_mix"])
+                open_files_count=F.size(E.open_files(_meta())), git_dirty=dirty, top_lang=E.primary_language(_ws()["language_mix"])
             ),
             "[PATHS_PATTERNS]", F.concat_ws(" ", C("i_paths"), C("i_pats")),
         )
@@ -525,7 +540,7 @@ INSPECT_NEEDS = ("lr", "lu", "rtype_i", "i_paths", "i_pats", "flow")
 
 def common_text() -> Column:
     """Sectioned text: prompt, last user, flow, hints, arguments, result, state."""
-    an, lr, opened = C("an"), C("lr"), E.open_files(META)
+    an, lr, opened = C("an"), C("lr"), E.open_files(_meta())
     recent = last_items(an, 16)
     last, prev = E.nth_last(an, 1), E.nth_last(an, 2)
     line = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"))
@@ -534,7 +549,7 @@ def common_text() -> Column:
     cuts = R.COUNT_CUTS
     return lines(
         "[COMMON]", "",
-        "[PROMPT]", compact(PROMPT, 1200), "",
+        "[PROMPT]", compact(_prompt(), 1200), "",
         "[LAST_USER]", C("lus"), "",
         "[FLOW]",
         line("last", last), line("prev", prev), line("last2", F.concat(prev, F.lit(">"), last)),
@@ -555,14 +570,14 @@ def common_text() -> Column:
         line("count_failed_tests", B.band(R.first_count(lr, "failed"), [0, 1, 2, 5, 10])),
         line("count_added", added), line("count_removed", removed), line("exit_zero", R.exit_zero(lr)), "",
         "[STATE]",
-        line("git_dirty", F.when(WS["git_dirty"].isNull(), "").otherwise(KW.python_bool(WS["git_dirty"]))),
+        line("git_dirty", F.when(_ws()["git_dirty"].isNull(), "").otherwise(KW.python_bool(_ws()["git_dirty"]))),
         line("open_files_count", B.band(F.size(opened), [0, 1, 2, 4, 8, 16])),
         line("open_exts", either(words(E.sorted_extensions(opened, 8)), "none")),
-        line("last_ci_status", either(compact(WS["last_ci_status"], 80), "unknown")),
-        line("top_lang", E.top_language(WS["language_mix"])),
-        line("turn_bucket", B.turn_phase(META["turn_index"])),
-        line("budget_bucket", B.band(META["budget_tokens_remaining"], [0, 5000, 10000, 20000, 50000])),
-        line("budget_critical", B.budget_critical(META["budget_tokens_remaining"])),
+        line("last_ci_status", either(compact(_ws()["last_ci_status"], 80), "unknown")),
+        line("top_lang", E.top_language(_ws()["language_mix"])),
+        line("turn_bucket", B.turn_phase(_meta()["turn_index"])),
+        line("budget_bucket", B.band(_meta()["budget_tokens_remaining"], [0, 5000, 10000, 20000, 50000])),
+        line("budget_critical", B.budget_critical(_meta()["budget_tokens_remaining"])),
     )
 
 
@@ -586,8 +601,8 @@ def _results(history: Column, limit: int, shorten) -> Column:
 
 def engineered_text() -> Column:
     """Repeated prompt, recent messages, results and arguments, action n-grams, keywords, metadata tokens."""
-    hist, an = E.items(H), C("an")
-    current = compact(PROMPT, 2200)
+    hist, an = E.items(_history()), C("an")
+    current = compact(_prompt(), 2200)
     users = words(last_items(_said(hist, 500, fast_compact), 4))
     results = words(last_items(_results(hist, 250, fast_compact), 4))
     with_args = F.filter(hist, lambda e: e["args"].isNotNull())
@@ -595,10 +610,10 @@ def engineered_text() -> Column:
         last_items(F.transform(with_args, lambda e: words(KW.args_pairs(e["args"], "_", 200, fast_compact))), 4)
     )
     last = lambda k: _tail_joined(an, k, "_", "none")
-    opened = F.transform(E.open_files(META), lambda p: fast_compact(p, 120))
+    opened = F.transform(E.open_files(_meta()), lambda p: fast_compact(p, 120))
     open_text = words(last_items(opened, 8))
     mix = F.transform(
-        F.coalesce(F.map_entries(WS["language_mix"]), F.array().cast("array<struct<key:string,value:double>>")),
+        F.coalesce(F.map_entries(_ws()["language_mix"]), F.array().cast("array<struct<key:string,value:double>>")),
         lambda e: F.concat(
             F.lit("lang_"), fast_compact(e["key"], 40), F.lit("_"),
             F.coalesce(F.round(e["value"], 2).cast("string"), F.lit("unknown")),
@@ -607,14 +622,14 @@ def engineered_text() -> Column:
     band = lambda v, cuts: B.band_float(v, cuts, missing="unknown")
     meta = F.concat_ws(
         " ",
-        F.concat(F.lit("user_tier_"), fast_compact(META["user_tier"], 80)),
-        F.concat(F.lit("language_pref_"), fast_compact(META["language_pref"], 80)),
-        F.concat(F.lit("git_dirty_"), F.when(WS["git_dirty"].isNull(), "unknown").otherwise(KW.python_bool(WS["git_dirty"]))),
-        F.concat(F.lit("ci_"), fast_compact(WS["last_ci_status"], 80)),
-        F.concat(F.lit("budget_"), band(META["budget_tokens_remaining"], [1000, 5000, 10000, 30000, 70000, 150000])),
-        F.concat(F.lit("turn_"), band(META["turn_index"], [1, 3, 5, 10, 20, 40])),
-        F.concat(F.lit("elapsed_"), band(META["elapsed_session_sec"], [60, 300, 900, 1800, 3600, 7200])),
-        F.concat(F.lit("loc_"), band(WS["loc"], [100, 1000, 5000, 20000, 100000])),
+        F.concat(F.lit("user_tier_"), fast_compact(_meta()["user_tier"], 80)),
+        F.concat(F.lit("language_pref_"), fast_compact(_meta()["language_pref"], 80)),
+        F.concat(F.lit("git_dirty_"), F.when(_ws()["git_dirty"].isNull(), "unknown").otherwise(KW.python_bool(_ws()["git_dirty"]))),
+        F.concat(F.lit("ci_"), fast_compact(_ws()["last_ci_status"], 80)),
+        F.concat(F.lit("budget_"), band(_meta()["budget_tokens_remaining"], [1000, 5000, 10000, 30000, 70000, 150000])),
+        F.concat(F.lit("turn_"), band(_meta()["turn_index"], [1, 3, 5, 10, 20, 40])),
+        F.concat(F.lit("elapsed_"), band(_meta()["elapsed_session_sec"], [60, 300, 900, 1800, 3600, 7200])),
+        F.concat(F.lit("loc_"), band(_ws()["loc"], [100, 1000, 5000, 20000, 100000])),
         words(mix),
         open_text,
         words(F.transform(opened, lambda p: F.concat(F.lit("ext_"), E.suffix(p)))),
@@ -648,25 +663,25 @@ def _tail_joined(names: Column, k: int, sep: str, empty: str) -> Column:
 
 
 def story_text(with_state: bool = False) -> Column:
-    hist = last_items(E.items(H), 12)
+    hist = last_items(E.items(_history()), 12)
     args = F.flatten(F.transform(hist, lambda e: KW.args_pairs(e["args"], "=", 200)))
     parts = []
     if with_state:
-        parts.append(F.concat(F.lit("STATE "), words(KW.state_tokens(PROMPT, H, META))))
+        parts.append(F.concat(F.lit("STATE "), words(KW.state_tokens(_prompt(), _history(), _meta()))))
     parts.append(F.when(F.size("an") > 0, F.concat(F.lit("PREVIOUS_ACTION_SEQUENCE "), words(C("an")))))
     parts += [
         F.concat(F.lit("PREVIOUS_USER_REQUESTS "), words(last_items(_said(hist, 500, compact), 5))),
         F.concat(F.lit("PREVIOUS_TOOL_ARGS "), words(last_items(args, 12))),
         F.concat(F.lit("PREVIOUS_RESULTS "), words(last_items(_results(hist, 250, compact), 8))),
-        F.concat(F.lit("CURRENT_PROMPT "), compact(PROMPT, 2200)),
+        F.concat(F.lit("CURRENT_PROMPT "), compact(_prompt(), 2200)),
     ]
     return F.concat_ws("\n", *parts)
 
 
 def five_views() -> dict[str, Column]:
-    hist, an = E.items(H), C("an")
+    hist, an = E.items(_history()), C("an")
     args = F.flatten(F.transform(hist, lambda e: KW.args_pairs(e["args"], "=", 250)))
-    opened = F.transform(E.open_files(META), lambda p: compact(p, 240))
+    opened = F.transform(E.open_files(_meta()), lambda p: compact(p, 240))
     exts = F.transform(last_items(opened, 12), lambda p: F.concat(F.lit("ext_"), E.suffix(p)))
     last = lambda k: _tail_joined(an, k, "__", "none")
     names = F.concat_ws(
@@ -675,7 +690,7 @@ def five_views() -> dict[str, Column]:
         F.lit("ACTION_TRIGRAMS"), words(E.ngrams(an, 3, "__")),
     )
     return {
-        "current_prompt_view": compact(PROMPT, 2200),
+        "current_prompt_view": compact(_prompt(), 2200),
         "history_user_text": words(last_items(_said(hist, 700, compact), 8)),
         "action_names_sequence": names,
         "action_args_and_paths": words(F.concat(last_items(args, 16), last_items(opened, 12), exts)),
@@ -693,51 +708,51 @@ def _per_label(fn) -> list[Column]:
 def features_base() -> Column:
     """93 doubles: action counts, last and previous action, metadata one-hots, 14 numbers."""
     an = C("an")
-    prompt = compact(PROMPT, 1200)
+    prompt = compact(_prompt(), 1200)
     edits = ("apply_patch", "edit_file", "write_file")
     log = B.scaled_log
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     is_name = lambda n: lambda label: F.when(E.nth_last(an, n) == label, 1.0).otherwise(0.0)
     numeric = [
-        log(F.size(an), 4.0), log(E.user_turns(H), 4.0), log(zero(META["budget_tokens_remaining"]), 13.0),
-        log(zero(META["turn_index"]), 4.0), log(zero(META["elapsed_session_sec"]), 8.0), log(zero(WS["loc"]), 12.0),
-        F.coalesce(WS["git_dirty"], F.lit(False)).cast("double"), log(F.size(E.open_files(META)), 3.0),
-        log(word_count(prompt), 5.0), log(F.length(prompt), 8.0), log(F.size(E.items(H)), 4.0),
-        log(E.failed_results(H), 3.0), log(E.count_of(an, *edits), 3.0), log(E.count_of(an, "run_tests"), 3.0),
+        log(F.size(an), 4.0), log(E.user_turns(_history()), 4.0), log(zero(_meta()["budget_tokens_remaining"]), 13.0),
+        log(zero(_meta()["turn_index"]), 4.0), log(zero(_meta()["elapsed_session_sec"]), 8.0), log(zero(_ws()["loc"]), 12.0),
+        F.coalesce(_ws()["git_dirty"], F.lit(False)).cast("double"), log(F.size(E.open_files(_meta())), 3.0),
+        log(word_count(prompt), 5.0), log(F.length(prompt), 8.0), log(F.size(E.items(_history())), 4.0),
+        log(E.failed_results(_history()), 3.0), log(E.count_of(an, *edits), 3.0), log(E.count_of(an, "run_tests"), 3.0),
     ]
     return F.concat(
         F.array(*_per_label(lambda a: log(E.count_of(an, a), 3.0))),
         F.array(*_per_label(is_name(1))),
         F.array(*_per_label(is_name(2))),
-        S.one_hot(META["user_tier"], TIERS),
-        S.one_hot(META["language_pref"], LANG_PREFS),
-        S.one_hot(WS["last_ci_status"], CI_STATES),
-        S.one_hot(E.primary_language(WS["language_mix"], PRIMARY_LANGS), PRIMARY_LANGS),
+        S.one_hot(_meta()["user_tier"], TIERS),
+        S.one_hot(_meta()["language_pref"], LANG_PREFS),
+        S.one_hot(_ws()["last_ci_status"], CI_STATES),
+        S.one_hot(E.primary_language(_ws()["language_mix"], PRIMARY_LANGS), PRIMARY_LANGS),
         F.array(*numeric),
     )
 
 
 def features_trace() -> Column:
     """93 doubles with the trace vocabularies; every scaled number is clipped to 1."""
-    tn, prompt = C("tn"), stripped(PROMPT)
+    tn, prompt = C("tn"), stripped(_prompt())
     log = lambda v, top: B.scaled_log_clipped(v, math.log1p(top))
     is_name = lambda n: lambda a: F.when(E.nth_last(tn, n, "__none__") == a, 1.0).otherwise(0.0)
     numeric = [
-        log(F.size(tn), 16.0), log(E.user_turns(H), 16.0), log(META["budget_tokens_remaining"], 200000.0),
-        log(META["turn_index"], 64.0), log(META["elapsed_session_sec"], 10000.0), log(WS["loc"], 150000.0),
-        F.coalesce(WS["git_dirty"], F.lit(False)).cast("double"), log(F.size(E.open_files(META)), 24.0),
-        log(word_count(prompt), 128.0), log(F.length(prompt), 1000.0), log(F.size(E.items(H)), 32.0),
-        log(E.failure_terms(H), 16.0), log(E.count_of(tn, "apply_patch", "edit_file", "write_file"), 16.0),
+        log(F.size(tn), 16.0), log(E.user_turns(_history()), 16.0), log(_meta()["budget_tokens_remaining"], 200000.0),
+        log(_meta()["turn_index"], 64.0), log(_meta()["elapsed_session_sec"], 10000.0), log(_ws()["loc"], 150000.0),
+        F.coalesce(_ws()["git_dirty"], F.lit(False)).cast("double"), log(F.size(E.open_files(_meta())), 24.0),
+        log(word_count(prompt), 128.0), log(F.length(prompt), 1000.0), log(F.size(E.items(_history())), 32.0),
+        log(E.failure_terms(_history()), 16.0), log(E.count_of(tn, "apply_patch", "edit_file", "write_file"), 16.0),
         log(E.count_of(tn, "run_tests", "lint_or_typecheck"), 16.0),
     ]
     return F.concat(
         F.array(*_per_label(lambda a: log(E.count_of(tn, a), 12.0))),
         F.array(*_per_label(is_name(1))),
         F.array(*_per_label(is_name(2))),
-        S.one_hot_other(META["user_tier"], TIERS),
-        S.one_hot_other(META["language_pref"], TRACE_LANG_PREFS),
-        S.one_hot_other(WS["last_ci_status"], TRACE_CI_STATES),
-        S.one_hot(E.primary_language(WS["language_mix"], TRACE_PRIMARY_LANGS), TRACE_PRIMARY_LANGS),
+        S.one_hot_other(_meta()["user_tier"], TIERS),
+        S.one_hot_other(_meta()["language_pref"], TRACE_LANG_PREFS),
+        S.one_hot_other(_ws()["last_ci_status"], TRACE_CI_STATES),
+        S.one_hot(E.primary_language(_ws()["language_mix"], TRACE_PRIMARY_LANGS), TRACE_PRIMARY_LANGS),
         F.array(*numeric),
     )
 
@@ -763,9 +778,9 @@ PROMPT_PATH = (
 
 def state_map() -> Column:
     """Sparse state features as map<string,double>."""
-    an, opened = C("an"), E.open_files(META)
-    current = compact(PROMPT, 2200)
-    results = F.lower(words(_results(E.items(H), 500, compact)))
+    an, opened = C("an"), E.open_files(_meta())
+    current = compact(_prompt(), 2200)
+    results = F.lower(words(_results(E.items(_history()), 500, compact)))
     one = F.lit(1.0)
 
     def named(name: str, text: Column) -> Column:
@@ -778,12 +793,12 @@ def state_map() -> Column:
     # Words that mark an error.
     errors = ["error", "failed", "fail", "exception", "traceback", "오류", "실패", "에러"]
     fixed = F.array(
-        named("user_tier", compact(META["user_tier"], 80)), named("language_pref", compact(META["language_pref"], 80)),
-        named("last_ci_status", compact(WS["last_ci_status"], 80)), named("git_dirty", KW.python_bool(WS["git_dirty"])),
-        named("turn_bin", B.bin_floor(META["turn_index"], 1)),
-        named("budget_bin", B.bin_floor(META["budget_tokens_remaining"], 10000)),
-        named("elapsed_bin", B.bin_floor(META["elapsed_session_sec"], 60)), named("loc_bin", B.bin_floor(WS["loc"], 5000)),
-        number("history_len", F.size(E.items(H))), named("history_length_bin", B.bin_floor(F.size(E.items(H)), 2)),
+        named("user_tier", compact(_meta()["user_tier"], 80)), named("language_pref", compact(_meta()["language_pref"], 80)),
+        named("last_ci_status", compact(_ws()["last_ci_status"], 80)), named("git_dirty", KW.python_bool(_ws()["git_dirty"])),
+        named("turn_bin", B.bin_floor(_meta()["turn_index"], 1)),
+        named("budget_bin", B.bin_floor(_meta()["budget_tokens_remaining"], 10000)),
+        named("elapsed_bin", B.bin_floor(_meta()["elapsed_session_sec"], 60)), named("loc_bin", B.bin_floor(_ws()["loc"], 5000)),
+        number("history_len", F.size(E.items(_history()))), named("history_length_bin", B.bin_floor(F.size(E.items(_history())), 2)),
         named("prompt_len_bin", B.bin_floor(F.length(current), 40)), number("open_files_count", F.size(opened)),
         number("has_failed_in_last_result", yes(results.contains("fail"))),
         number("has_error_keyword", yes(has_any(F.concat_ws(" ", current, results), errors))),
@@ -796,7 +811,7 @@ def state_map() -> Column:
         opened,
         lambda p: F.array(named("open_file", compact(p, 120)), named("open_ext", E.suffix(p)), named("open_file_extension", E.suffix(p))),
     ))
-    entries = F.coalesce(F.map_entries(WS["language_mix"]), F.array().cast("array<struct<key:string,value:double>>"))
+    entries = F.coalesce(F.map_entries(_ws()["language_mix"]), F.array().cast("array<struct<key:string,value:double>>"))
     ranked = F.sort_array(
         F.transform(entries, lambda e, i: F.struct(e["value"].alias("v"), (-i).alias("i"), e["key"].alias("k"))), asc=False
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sessionloom.operators import joins
 from sessionloom.schema import LABELS, SESSION, strings
 
-BOM = "﻿"
+BOM = "\ufeff"
 LABEL_NAMES = ("label", "action", "target", "next_action")
 
 
@@ -89,17 +89,19 @@ def write_batches(rows: DataFrame, path: str, suffix: str = "") -> None:
 
 def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(batch rows, paraphrased batch rows); the number comes from the file name."""
-    schema = "idx long, id string, action string, original string, paraphrase string"
-    raw = (
-        spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-        .option("enforceSchema", False).option("recursiveFileLookup", True)
-    )
     name = F.regexp_extract(F.col("_metadata.file_path"), r"batch_(\d+)(_para)?\.csv", 1).try_cast("int")
-    base = raw.schema("idx long, id string, action string, original string").option("pathGlobFilter", "*.csv").csv(
-        f"{path}/*batch_[0-9][0-9][0-9].csv"
-    ).select(name.alias("batch"), "*")
-    para = raw.schema(schema).csv(f"{path}/*batch_[0-9][0-9][0-9]_para.csv").select(name.alias("batch"), "*")
-    return base, para
+
+    def read(schema: str, pattern: str) -> DataFrame:
+        raw = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option(
+            "recursiveFileLookup", True
+        ).csv(f"{path}/{pattern}")
+        return raw.select(name.alias("batch"), "*")
+
+    columns = "idx long, id string, action string, original string"
+    return (
+        read(columns, "*batch_[0-9][0-9][0-9].csv"),
+        read(columns + ", paraphrase string", "*batch_[0-9][0-9][0-9]_para.csv"),
+    )
 
 
 def write_oof(rows: DataFrame, path: str) -> None:
