@@ -35,12 +35,13 @@ def word_count(text: Column) -> Column:
 
 
 def has_any(text: Column, needles: list[str]) -> Column:
-    """Does the lower-cased text contain any of the needles?"""
-    low = F.lower(text)
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | F.contains(low, F.lit(needle))
-    return hit
+    """Does the lower-cased text contain any of the needles? One regular expression of plain words."""
+    return F.lower(text).rlike("|".join(_plain(n) for n in needles))
+
+
+def _plain(needle: str) -> str:
+    """A regular expression that matches the needle itself."""
+    return "".join(c if c.isalnum() or c in " _=" else "\\" + c for c in needle)
 
 
 def flag(condition: Column) -> Column:

@@ -144,16 +144,35 @@ SESSION = T.StructType([
 ])
 
 
+def sql_literal(value) -> str:
+    """SQL text of a literal: string, float, int or None."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"double({value!r})"
+    return str(value)
+
+
 def strings(values) -> Column:
     """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({', '.join(sql_literal(v) for v in values)})")
 
 
 def doubles(values) -> Column:
     """A literal array of doubles."""
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+    return F.expr(f"cast(array({', '.join(sql_literal(float(v)) for v in values)}) as array<double>)")
+
+
+def literal_rows(names: list[str], rows) -> Column:
+    """A literal array of structs: a small parameter table inside the plan."""
+    cells = [
+        "struct(" + ", ".join(f"{sql_literal(v)} as {n}" for n, v in zip(names, row)) + ")" for row in rows
+    ]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def lookup(mapping: dict) -> Column:
     """A literal map column."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr(f"map({', '.join(sql_literal(x) for pair in mapping.items() for x in pair)})")

@@ -16,6 +16,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         # Rows carry long text and cost far more to process than to move: keep partitions small.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording a call site for every column call triples the time to build wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
 

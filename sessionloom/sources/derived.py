@@ -175,7 +175,8 @@ def event_steps(spark: SparkSession, folder: str) -> DataFrame:
         events,
         key="user_id",
         order=["ts", "event_id"],
-        bucket=F.date_trunc("day", "ts"),
+        # Never null, so that both uses of the bucketed rows share one exchange.
+        bucket=F.coalesce(F.unix_date(F.to_date("ts")), F.lit(-1)),
         value="action",
         k=HISTORY_ACTIONS,
     )
