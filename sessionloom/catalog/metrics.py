@@ -12,6 +12,7 @@ from sessionloom.functions.probs import argmax, mix, scale
 from sessionloom.operators import aggregates, calibration, keys, metrics
 from sessionloom.schema import LABELS, doubles, strings
 from sessionloom.sources import derived
+from sessionloom.sources.staging import stage
 
 K = derived.CLASSES
 # Class indexes 0..9 stand for the first ten actions; these are the inspect ones.
@@ -248,7 +249,7 @@ conf AS (
 """, f1_ctes("conf", ["stage"]), select="""
 SELECT stage, sum(nt)::BIGINT AS rows, round(sum(tp) / sum(nt), 6) AS accuracy, round(avg(f), 6) AS macro_f1 FROM f1 GROUP BY stage"""))
 def agg_group_metrics(spark, folder):
-    conf = metrics.confusion(decided(spark, folder), pred="base").select(
+    conf = stage(metrics.confusion(decided(spark, folder), pred="base"), "confusion").select(
         keys.decode_label(F.col("y")).alias("ly"), keys.decode_label(F.col("pred")).alias("lp"), "n"
     )
     group = keys.action_group

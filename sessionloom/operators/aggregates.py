@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionloom.operators import metrics
+from sessionloom.sources.staging import stage
 
 
 def label_counts(df: DataFrame, *by: str) -> DataFrame:
@@ -60,6 +61,7 @@ def epoch_summary(per_fold: DataFrame) -> DataFrame:
 
     per_fold: fold, epoch, score (one row per fold and epoch).
     """
+    per_fold = stage(per_fold, "epochs")
     epochs = per_fold.groupBy("epoch").agg(
         F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"),
         F.min("score").alias("low"), F.max("score").alias("high"),
@@ -85,8 +87,7 @@ def epoch_summary(per_fold: DataFrame) -> DataFrame:
 
 def majority_baseline(df: DataFrame, y: str = "label") -> DataFrame:
     """Per held-out fold: the majority class of the other folds and its macro-F1 there."""
-    counts = df.groupBy("fold", F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    both = Window.partitionBy("y")
+    counts = stage(df.groupBy("fold", F.col(y).alias("y")).agg(F.count("*").alias("n")), "fold-counts")
     folds = counts.select("fold").distinct()
     # Count table only: every (fold, class) pair, also where a fold lacks the class.
     held = (
@@ -108,7 +109,9 @@ def majority_baseline(df: DataFrame, y: str = "label") -> DataFrame:
 def fold_balance(df: DataFrame) -> DataFrame:
     """Train and validation rows and sessions per fold (root lies in one fold only)."""
     per_root = df.groupBy("fold", "root").agg(F.count("*").alias("n"))
-    per_fold = per_root.groupBy("fold").agg(F.sum("n").alias("valid_rows"), F.count("*").alias("valid_sessions"))
+    per_fold = stage(
+        per_root.groupBy("fold").agg(F.sum("n").alias("valid_rows"), F.count("*").alias("valid_sessions")), "fold-balance"
+    )
     totals = per_fold.agg(F.sum("valid_rows").alias("r"), F.sum("valid_sessions").alias("s")).withColumn("_one", F.lit(1))
     return per_fold.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").select(
         "fold",
@@ -119,7 +122,7 @@ def fold_balance(df: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, classes: DataFrame, low: float, high: float) -> DataFrame:
     """n / (K * count), held to [low, high]; classes: one column `label` with every class."""
-    counts = df.groupBy("label").agg(F.count("*").alias("n"))
+    counts = stage(df.groupBy("label").agg(F.count("*").alias("n")), "label-counts")
     k = F.lit(float(classes.count()))
     joined = classes.join(F.broadcast(counts), "label", "left").fillna(0, ["n"])
     total = joined.agg(F.sum("n").alias("total")).withColumn("_one", F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionloom.functions.probs import add, argmax, log_clipped, margin, mix, normalise, softmax
 from sessionloom.operators import metrics
+from sessionloom.sources.staging import stage
 from sessionloom.schema import CLASS_BIAS_AU, CLASS_BIAS_SIM, STACK, doubles
 
 
@@ -79,8 +80,9 @@ def fold_deltas(conf: DataFrame, params: list[str], baseline: DataFrame) -> Data
     """Macro-F1 per parameter against the baseline, over all rows and per fold.
 
     conf: (params, fold, y, pred, n) counts; baseline: (fold, y, pred, n) counts.
-    Everything here works on count tables.
+    Both are staged first: the large table behind them is read once each.
     """
+    conf, baseline = stage(conf, "confusion"), stage(baseline, "confusion")
     by_fold = metrics.per_class(conf, [*params, "fold"]).groupBy(*params, "fold").agg(F.avg("f").alias("score"))
     base_fold = metrics.per_class(baseline, ["fold"]).groupBy("fold").agg(F.avg("f").alias("base"))
     deltas = (

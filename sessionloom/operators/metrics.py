@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sessionloom.sources.staging import stage
+
 PLACES = 6
 
 
@@ -70,7 +72,7 @@ def with_grouping_sets(conf: DataFrame, sets: list[list[str]], columns: list[str
 
 def class_report(conf: DataFrame, labels: DataFrame) -> DataFrame:
     """Precision, recall, F1, support per listed class plus accuracy and averages."""
-    stats = labels.join(F.broadcast(per_class(conf)), "label", "left").fillna(0)
+    stats = stage(labels.join(F.broadcast(per_class(conf)), "label", "left").fillna(0), "class-report")
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     per = stats.select(
         "label",

@@ -66,23 +66,23 @@ def consolidate(pairs: DataFrame, known: DataFrame) -> DataFrame:
     ties). All of it is one map-side combined aggregate: a key seen in a third of the rows
     still reduces before it travels. known: id, action (known labels).
     """
-    pick = F.struct("window", "row_no", "source_id", "user_at", "source_event_index", "source_event_signature")
+    pick = F.struct("window", "row_no", "source_id", "user_at", "source_event_index", "source_event_signature", "prompt")
     grouped = pairs.groupBy("root", "step").agg(
         F.count("*").alias("observed"),
         F.min("action").alias("action"), F.max("action").alias("_action_hi"),
-        F.min("prompt").alias("prompt"), F.max("prompt").alias("_prompt_hi"),
+        F.min(F.md5("prompt")).alias("_prompt_lo"), F.max(F.md5("prompt")).alias("_prompt_hi"),
         F.min(pick).alias("best"),
     )
     keyed = grouped.withColumn("id", F.concat("root", F.lit("-step_"), F.format_string("%02d", F.col("step"))))
     labelled = keyed.join(known.select("id", F.col("action").alias("known")), "id", "left")
-    conflict = (F.col("action") != F.col("_action_hi")) | (F.col("prompt") != F.col("_prompt_hi"))
+    conflict = (F.col("action") != F.col("_action_hi")) | (F.col("_prompt_lo") != F.col("_prompt_hi"))
     verdict = (
         F.when(conflict, "conflict")
         .when(F.col("known").isNull(), "mined")
         .when(F.col("known") == F.col("action"), "overlap")
         .otherwise("mismatch")
     )
-    return labelled.select("id", "root", "step", "action", "prompt", "observed", "known", verdict.alias("verdict"), "best.*")
+    return labelled.select("id", "root", "step", "action", "observed", "known", verdict.alias("verdict"), "best.*")
 
 
 def mined_rows(consolidated: DataFrame, rows: DataFrame, keep_dynamic: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sessionloom.functions.probs import argmax, log_clipped, normalise
 from sessionloom.operators import calibration, joins, keys, metrics
 from sessionloom.schema import doubles
+from sessionloom.sources.staging import stage
 
 
 def fill_template(template: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def calibration_report(df: DataFrame, proba: str, bias: Column, shrinks: Sequenc
     runs = df.select("domain", "y", argmax(F.col(proba)).alias("anchor"), F.explode(preds).alias("r")).select(
         "domain", "y", "anchor", "r.*"
     )
-    counts = runs.groupBy("domain", "shrink", "y", "anchor", "pred").agg(F.count("*").alias("n"))
+    counts = stage(runs.groupBy("domain", "shrink", "y", "anchor", "pred").agg(F.count("*").alias("n")), "calibration")
     sliced = counts.select(F.explode(F.array(F.col("domain"), F.lit("all"))).alias("domain"), "shrink", "y", "anchor", "pred", "n")
     conf = sliced.groupBy("domain", "shrink", "y", "pred").agg(F.sum("n").alias("n"))
     base = sliced.where(F.col("shrink") == shrinks[0]).groupBy("domain", "y", F.col("anchor").alias("pred")).agg(
