@@ -1,16 +1,22 @@
-"""Ordered per-key history that does not put one key into one task.
+"""Ordered per-key history that does not put one heavy key into one task.
 
 A plain window over a key sorts all its rows in one task, so a key holding a third
-of the table is a third of the table in one task. Here the key's timeline is cut
-into time buckets: rows are numbered inside (key, bucket); each bucket hands its row
-count and its last k values to the later ones through a table with one row per
-(key, bucket), whose size is bounded by the number of buckets, not by the rows.
+of the table is a third of the table in one task. Keys with many rows are therefore cut
+into time buckets: their rows are numbered inside (key, bucket), and each bucket hands its
+row count and its last k values to the later ones through a table with one row per
+(key, bucket), bounded by the number of buckets, not by the rows. All other keys keep a
+single bucket.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sessionloom.sources.staging import small, stage
+
+# Keys with more rows than this are cut into buckets.
+HEAVY_ROWS = 1_000_000
+
 
 def last_items(values: Column, k: int) -> Column:
     """The last k array elements (slice with a negative start loses short arrays)."""
@@ -26,9 +32,32 @@ def with_ordered_history(
     k: int,
     step: str = "step",
     history: str = "actions",
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Add the 1-based position of each row in its key and its previous k values.
+
+    bucket: a never-null integer that grows with the order, such as the hour of the event.
+    """
+    heavy = stage(
+        df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_rows).select(key, F.lit(True).alias("_heavy")),
+        "heavy-keys",
+    )
+    if heavy.isEmpty():
+        whole = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn(step, F.row_number().over(whole)).withColumn(
+            history, F.collect_list(value).over(whole.rowsBetween(-k, -1))
+        )
+    marked = df.join(small(heavy), key, "left")
+    # Light keys share the bucket -1, so only heavy ones reach the hand-over with many rows.
+    return _handed_over(
+        marked.withColumn("_bucket", F.when(F.col("_heavy"), bucket).otherwise(-1)).drop("_heavy"),
+        key, order, value, k, step, history,
+    )
+
+
+def _handed_over(
+    rows: DataFrame, key: str, order: list[str], value: str, k: int, step: str, history: str
 ) -> DataFrame:
-    """Add the 1-based position of each row in its key and its previous k values."""
-    rows = df.withColumn("_bucket", bucket)
     inner = Window.partitionBy(key, "_bucket").orderBy(*order)
     rows = rows.withColumn("_rn", F.row_number().over(inner)).withColumn(
         "_prev", F.collect_list(value).over(inner.rowsBetween(-k, -1))

@@ -175,8 +175,7 @@ def event_steps(spark: SparkSession, folder: str) -> DataFrame:
         events,
         key="user_id",
         order=["ts", "event_id"],
-        # Never null, so that both uses of the bucketed rows share one exchange.
-        bucket=F.coalesce(F.unix_date(F.to_date("ts")), F.lit(-1)),
+        bucket=F.coalesce(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600), F.lit(0)),
         value="action",
         k=HISTORY_ACTIONS,
     )

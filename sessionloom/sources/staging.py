@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A broadcast side may hold at most this many rows (a few hundred bytes each).
 BROADCAST_ROWS = 200_000
 
+# Folders made for local sessions that name none.
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read, named by the cluster in spark.checkpoint.dir."""
@@ -20,9 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="sessionloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="sessionloom-")
+    return _local_folders[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

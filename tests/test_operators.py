@@ -21,13 +21,14 @@ def test_ordered_history_equals_a_plain_scan_also_for_a_hot_key(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.6 else f"u{rng.randrange(9)}", t, f"a{rng.randrange(4)}") for t in range(600)]
     df = spark.createDataFrame(rows, "u string, t int, a string")
-    got = with_ordered_history(df, "u", ["t"], F.floor(F.col("t") / 37), "a", 5).collect()
     seen, want = {}, {}
     for u, t, a in rows:
         past = seen.setdefault(u, [])
         want[(u, t)] = (len(past) + 1, past[-5:])
         past.append(a)
-    assert {(r["u"], r["t"]): (r["step"], r["actions"]) for r in got} == want
+    for heavy_rows in (50, 1000):
+        got = with_ordered_history(df, "u", ["t"], F.floor(F.col("t") / 37), "a", 5, heavy_rows=heavy_rows).collect()
+        assert {(r["u"], r["t"]): (r["step"], r["actions"]) for r in got} == want
 
 
 def _brute(rows, k):
