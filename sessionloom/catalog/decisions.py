@@ -23,7 +23,7 @@ APART = {g: hierarchy.members(CLASSES, g, True) for g in GROUPS}
 
 
 def long_probs(df, col):
-    out = df.select("id", F.posexplode(col).alias("pos", "p"))
+    out = df.select("id", F.posexplode_outer(col).alias("pos", "p"))
     return out.select("id", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
 
@@ -143,7 +143,7 @@ def bias_grid_step(spark, folder):
     lp = decided(spark, folder).select("y", calibration.log_clipped(F.col("raw")).alias("logp"))
     counts = bias_search.step_counts(lp, [], F.lit(STEP_CLASS), doubles(VALUES), doubles([0.0] * K))
     # Apply every value to the count table.
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("vi"), F.lit(v).alias("value")) for i, v in enumerate(VALUES)]))
+    grid = F.explode_outer(F.array(*[F.struct(F.lit(i).alias("vi"), F.lit(v).alias("value")) for i, v in enumerate(VALUES)]))
     conf = (
         counts.select("*", grid.alias("g"))
         .select("g.value", "y", F.when(F.col("g.vi") >= F.col("lost"), STEP_CLASS).otherwise(F.col("other")).alias("pred"), "n")
@@ -190,7 +190,7 @@ def shrink_runs(df, proba, fold_bias):
             s.alias("shrink"), argmax(F.zip_with(log_p, bias, lambda x, b: x + s * b)).alias("pred")
         ),
     )
-    return df.select("fold", "y", F.explode(preds).alias("r")).select("fold", "y", "r.*")
+    return df.select("fold", "y", F.explode_outer(preds).alias("r")).select("fold", "y", "r.*")
 
 
 _SHRINK_CTE = f"""
@@ -294,7 +294,7 @@ def rerank_inspect(spark, folder):
     df = decided(spark, folder)
     gate = sweeps.rerank_mask(F.col("raw"), INSPECT, 0.45)
     new = F.when(gate, sweeps.rerank_inside(F.col("raw"), F.col("c"), INSPECT, F.lit(0.7), K)).otherwise(F.col("raw"))
-    rows = df.select("id", gate.alias("gated"), F.posexplode(new).alias("pos", "p"))
+    rows = df.select("id", gate.alias("gated"), F.posexplode_outer(new).alias("pos", "p"))
     return rows.select("id", "gated", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
 

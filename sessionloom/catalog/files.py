@@ -125,7 +125,7 @@ def _oof_path(spark, folder):
     scores = derived.class_scores(spark, folder)
     parts = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("proba")) for m in ("a", "b")])
     rows = scores.select(
-        "id", keys.root_session(F.col("id")).alias("session"), "fold", F.col("y").alias("y_true"), F.explode(parts).alias("p")
+        "id", keys.root_session(F.col("id")).alias("session"), "fold", F.col("y").alias("y_true"), F.explode_outer(parts).alias("p")
     ).select("id", "session", "fold", "y_true", "p.*")
     path = fresh_path(spark, "oof")
     files.write_oof(rows, path)

@@ -122,7 +122,7 @@ def join_labels_lenient(spark, folder):
 def _long_models(spark, folder):
     scores = derived.class_scores(spark, folder)
     parts = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("proba")) for m in ("a", "b", "c")])
-    return scores.select("id", "vec_id", "y", F.explode(parts).alias("p")).select("id", "vec_id", "y", "p.*")
+    return scores.select("id", "vec_id", "y", F.explode_outer(parts).alias("p")).select("id", "vec_id", "y", "p.*")
 
 
 @query("join_oof_alignment", sql(SCORES, select="""
@@ -156,7 +156,7 @@ SELECT id, i - 1 AS pos, ({arr(_DST)})[i] AS label,
 FROM (SELECT *, unnest(range(1, {len(_DST) + 1})) AS i FROM sc)"""))
 def align_class_axis(spark, folder):
     aligned = align(F.col("a"), _SRC, _DST, strict=False)
-    rows = derived.class_scores(spark, folder).select("id", F.posexplode(aligned).alias("pos", "p"))
+    rows = derived.class_scores(spark, folder).select("id", F.posexplode_outer(aligned).alias("pos", "p"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), keys.decode_label(F.col("pos"), _DST).alias("label"),
                        metrics.rounded(F.col("p")).alias("p"))
 
@@ -185,7 +185,7 @@ def audit_fold_leakage(spark, folder):
     train = rows.where(F.col("conv") % 5 != 0).select("id")
     valid = rows.where((F.col("conv") % 5 == 0) | ((F.col("conv") % 5 == 1) & (step > 1))).select("id")
     augmented = rows.where((F.col("conv") % 5).isin(1, 2)).select(
-        F.col("id").alias("base_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("variant")
+        F.col("id").alias("base_id"), F.explode_outer(F.array(F.lit(1), F.lit(2))).alias("variant")
     )
     report = joins.overlap_report(train, valid, keys.root_session(F.col("id"), "strip"))
     leaks = joins.augmentation_leaks(augmented, valid)

@@ -154,7 +154,7 @@ def agg_epoch_summary(spark, folder):
         F.struct(F.lit(e).alias("epoch"), argmax(mix(F.col("a"), F.col("b"), 1 - e / 5, e / 5)).alias("pred"))
         for e in range(1, 5)
     ])
-    runs = scores.select("fold", "y", F.explode(preds).alias("p")).select("fold", "y", "p.*")
+    runs = scores.select("fold", "y", F.explode_outer(preds).alias("p")).select("fold", "y", "p.*")
     per = metrics.per_class(metrics.confusion(runs, ["fold", "epoch"]), ["fold", "epoch"])
     per_fold = per.groupBy("fold", "epoch").agg((F.sum("f") / F.lit(float(K))).alias("score"))
     return aggregates.epoch_summary(per_fold)
@@ -207,7 +207,7 @@ def agg_fold_delta(spark, folder):
         )
         for s in SHRINKS
     ])
-    runs = rows.select("fold", "y", F.explode(preds).alias("p")).select("fold", "y", "p.*")
+    runs = rows.select("fold", "y", F.explode_outer(preds).alias("p")).select("fold", "y", "p.*")
     return calibration.fold_deltas(
         metrics.confusion(runs, ["shrink", "fold"]), ["shrink"], metrics.confusion(rows, ["fold"], pred="pr")
     )
@@ -282,7 +282,7 @@ SELECT 'clip_0.6_2.0' AS rule, label, n, round(least(greatest(w, 0.6::DOUBLE), 2
 UNION ALL SELECT 'clip_1/3_3', label, n, round(least(greatest(w, 1.0::DOUBLE / 3.0::DOUBLE), 3.0::DOUBLE), 6) FROM w"""))
 def agg_class_weights(spark, folder):
     rows = derived.sessions(spark, folder).where(F.col("action").isNotNull()).select(F.col("action").alias("label"))
-    labels = spark.range(1).select(F.explode(strings(LABELS)).alias("label"))
+    labels = spark.range(1).select(F.explode_outer(strings(LABELS)).alias("label"))
     fixed = aggregates.class_weights(rows, labels, 0.6, 2.0).withColumn("rule", F.lit("clip_0.6_2.0"))
     ratio = aggregates.class_weights(rows, labels, 1.0 / 3.0, 3.0).withColumn("rule", F.lit("clip_1/3_3"))
     return fixed.unionByName(ratio)

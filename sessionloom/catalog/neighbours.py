@@ -46,7 +46,7 @@ SELECT z.id, c.pos, round(coalesce(t.s, 0.0::DOUBLE) / z.z, 6) AS p FROM z CROSS
 def knn_posterior(spark, folder):
     lists = knn.neighbour_lists(knn.topk_other_folds(derived.vectors(spark, folder), 16))
     p = knn.posterior(F.col("nn"), F.lit(16), F.lit(0.1), K)
-    rows = lists.select("id", F.posexplode(p).alias("pos", "p"))
+    rows = lists.select("id", F.posexplode_outer(p).alias("pos", "p"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
 
@@ -94,7 +94,7 @@ pk AS (SELECT sc.y, sc.a, k, temp, list_transform(range(0, {K}), lambda c: coale
 def sweep_knn_blend(spark, folder):
     lists = knn.neighbour_lists(knn.topk_other_folds(derived.vectors(spark, folder), TOP))
     scores = derived.class_scores(spark, folder).select(F.col("vec_id").alias("id"), "y", "a")
-    grid = F.explode(F.array(*[
+    grid = F.explode_outer(F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(t).alias("temp")) for k in sweeps.KNN_KS for t in sweeps.KNN_TEMPS
     ]))
     rows = scores.join(lists, "id").select("y", "a", "nn", grid.alias("g"))
@@ -117,7 +117,7 @@ j AS (SELECT k.y, coalesce(m.n, 0) AS n, coalesce(m.v, o.v) AS v FROM k LEFT JOI
 SELECT y, n, i - 1 AS pos, round(v[i] / sqrt(list_dot_product(v, v)), 6) AS value FROM (SELECT *, unnest(range(1, {DIM + 1})) AS i FROM j)""")
 def agg_class_prototypes(spark, folder):
     protos = knn.class_prototypes(derived.vectors(spark, folder), classes_frame(spark, "y", K + 1), DIM)
-    rows = protos.select("y", "n", F.posexplode("proto").alias("pos", "value"))
+    rows = protos.select("y", "n", F.posexplode_outer("proto").alias("pos", "value"))
     return rows.select("y", "n", F.col("pos").cast("long").alias("pos"), rounded(F.col("value")).alias("value"))
 
 
@@ -132,7 +132,7 @@ pl AS (SELECT id, list(s ORDER BY c) AS s FROM ps GROUP BY id)
 @query("proto_scores", sql(_PROTO, select="SELECT id, c AS label, round(s, 6) AS score FROM ps"))
 def proto_scores(spark, folder):
     scored = knn.prototype_scores(derived.vectors(spark, folder), K, DIM)
-    rows = scored.select("id", F.posexplode("scores").alias("label", "score"))
+    rows = scored.select("id", F.posexplode_outer("scores").alias("label", "score"))
     return rows.select("id", "label", rounded(F.col("score")).alias("score"))
 
 
@@ -157,7 +157,7 @@ def sweep_proto_blend(spark, folder):
         ],
         F.struct(F.lit("minmax").alias("normalizer"), F.lit(None).cast("double").alias("temperature"), min_max(F.col("scores")).alias("p")),
     )
-    rows = scores.join(protos, "id").select("y", "a", F.explode(shapes).alias("n")).select("y", "a", "n.*")
+    rows = scores.join(protos, "id").select("y", "a", F.explode_outer(shapes).alias("n")).select("y", "a", "n.*")
     return sweeps.blend_and_rerank(
         rows, ["normalizer", "temperature"], "a", "p", sweeps.PROTO_ALPHAS, sweeps.PROTO_THRESHOLDS, INSPECT, K
     )

@@ -190,7 +190,7 @@ def fn_paths(spark, folder):
                   F.lit("src/.env"), F.lit("Makefile"), F.lit("a.tar.gz"), F.concat(p, F.lit(".")))
     rows = derived.sessions(spark, folder).select("id", F.explode(E.open_files(_meta())).alias("p"))
     path = F.col("path")
-    return rows.select("id", F.explode(odd).alias("path")).select(
+    return rows.select("id", F.explode_outer(odd).alias("path")).select(
         "id", "path", E.norm_path(path).alias("norm"), E.base_name(path).alias("name"), E.extension(path).alias("ext"),
         E.suffix(path).alias("suffix"),
     )
@@ -511,7 +511,7 @@ SELECT id, i - 1 AS pos, round(s[i], 6) AS p FROM (SELECT id, {softmax('lc', 0.7
   (SELECT id, list_transform(c, lambda x: ln(x)) AS lc FROM sc))"""))
 def fn_softmax(spark, folder):
     s = P.softmax(F.transform("c", lambda x: F.log(x)), 0.7)
-    rows = derived.class_scores(spark, folder).select("id", F.posexplode(s).alias("pos", "p"))
+    rows = derived.class_scores(spark, folder).select("id", F.posexplode_outer(s).alias("pos", "p"))
     return rows.select("id", long(F.col("pos")).alias("pos"), rounded(F.col("p")).alias("p"))
 
 
@@ -519,5 +519,5 @@ def fn_softmax(spark, folder):
 SELECT id, i - 1 AS pos, round((a[i] - list_min(a)) / greatest(list_max(a) - list_min(a), 1e-6::DOUBLE), 6) AS p
 FROM (SELECT *, unnest(range(1, 11)) AS i FROM sc)"""))
 def fn_minmax(spark, folder):
-    rows = derived.class_scores(spark, folder).select("id", F.posexplode(P.min_max(F.col("a"))).alias("pos", "p"))
+    rows = derived.class_scores(spark, folder).select("id", F.posexplode_outer(P.min_max(F.col("a"))).alias("pos", "p"))
     return rows.select("id", long(F.col("pos")).alias("pos"), rounded(F.col("p")).alias("p"))

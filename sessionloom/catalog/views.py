@@ -180,7 +180,7 @@ def _variants_sql(src):
 def _variants(spark, folder, src):
     ready = V.prepare(rows_of(spark, folder), "sim" if src == "sim" else "au_train", *V.AUGMENTED_NEEDS)
     texts = V.by_variant([V.augmented(src, v) for v in range(5)])
-    return ready.select("id", F.explode(texts).alias("v")).select("id", "v.*")
+    return ready.select("id", F.explode_outer(texts).alias("v")).select("id", "v.*")
 
 
 @query("view_sim_augmented", sql(SESS, O.FEAT, V0, select=_variants_sql("sim")))
@@ -325,7 +325,7 @@ _FEATS_T = "flatten([" + ", ".join([
 
 
 def _vector_rows(df, names=None):
-    long = df.select("id", F.posexplode("f").alias("pos", "value"))
+    long = df.select("id", F.posexplode_outer("f").alias("pos", "value"))
     name = [] if names is None else [keys.decode_label(C("pos"), names).alias("name")]
     return long.select("id", C("pos").cast("long").alias("pos"), *name, rounded(C("value")).alias("value"))
 
@@ -393,7 +393,7 @@ iv AS (SELECT *, {either(join(O.recent_paths(10, 'inspect')), 'none')} AS ipaths
 def view_inspect(spark, folder):
     ready = V.prepare(rows_of(spark, folder), *V.INSPECT_NEEDS)
     texts = V.by_variant([V.inspect_text(v) for v in range(5)])
-    return ready.select("id", F.explode(texts).alias("v")).select("id", "v.*")
+    return ready.select("id", F.explode_outer(texts).alias("v")).select("id", "v.*")
 
 
 def _line(name, v):
@@ -460,7 +460,7 @@ def view_common_streams(spark, folder):
     [f"SELECT id, '{k}' AS section, {_STRIP('s_' + k)} AS body FROM sx" for k in _SECT] + ["SELECT id, 'COMMON', '' FROM sx"])))
 def fn_split_sections(spark, folder):
     ready = V.prepare(rows_of(spark, folder), "common")
-    return ready.select("id", F.explode(S.sections(C("common"))).alias("section", "body"))
+    return ready.select("id", F.explode_outer(S.sections(C("common"))).alias("section", "body"))
 
 
 _FLATTEN = lambda t: _STRIP(f"regexp_replace(coalesce({t}, ''), '[\\n\\r]', ' ', 'g')")
@@ -570,7 +570,7 @@ smap AS (SELECT id, action, e.k AS key, e.v AS value FROM (SELECT id, action, un
 @query("feat_state_map", sql(SESS, O.FEAT, STATE_MAP, select="SELECT id, key, value FROM smap"))
 def feat_state_map(spark, folder):
     ready = V.prepare(rows_of(spark, folder), "an")
-    return ready.select("id", F.explode(V.state_map()).alias("key", "value"))
+    return ready.select("id", F.explode_outer(V.state_map()).alias("key", "value"))
 
 
 _ST = "regexp_extract(id, '-step_([0-9]+)$', 1)::INTEGER"

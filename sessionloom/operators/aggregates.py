@@ -42,7 +42,7 @@ def subset_metrics(df: DataFrame, classes: int, inspect: Sequence[int]) -> DataF
             F.when(is_inspect, "true_inspect4"),
         )
     )
-    sliced = conf.select(F.explode(names).alias("subset"), "y", "pred", "n").groupBy("subset", "y", "pred").agg(
+    sliced = conf.select(F.explode_outer(names).alias("subset"), "y", "pred", "n").groupBy("subset", "y", "pred").agg(
         F.sum("n").alias("n")
     )
     per = metrics.per_class(sliced, ["subset"])

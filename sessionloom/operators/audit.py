@@ -27,4 +27,6 @@ def problems(text: Column, payload: Column, max_bytes: int) -> Column:
 
 def audit(rows: DataFrame, max_bytes: int) -> DataFrame:
     """(row id, problem) for every finding. rows: doc_id, text, payload."""
-    return rows.select("doc_id", F.explode(problems(F.col("text"), F.col("payload"), max_bytes)).alias("problem"))
+    return rows.select("doc_id", F.explode_outer(problems(F.col("text"), F.col("payload"), max_bytes)).alias("problem")).where(
+        F.col("problem").isNotNull()
+    )

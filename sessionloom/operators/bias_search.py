@@ -117,7 +117,7 @@ def coordinate_fit(
     order = list(order or range(k))
     bias = {f: [0.0] * k for f in fits}
     best: dict = {f: None for f in fits}
-    rows = lp.select(F.explode("fit").alias("fit"), "y", "logp")
+    rows = lp.select(F.explode_outer("fit").alias("fit"), "y", "logp")
     for grid in grids:
         active = set(fits)
         for _ in range(rounds):

@@ -112,7 +112,7 @@ def train_folds(fold: Column, folds: int) -> Column:
 
 def with_candidates(rows: DataFrame, candidates: dict[str, str], state: Column) -> DataFrame:
     """Each row once per candidate, with the text to score. The list is a literal: no join."""
-    expanded = rows.select("id", state.alias("_state"), F.explode(strings(candidates)).alias("candidate"))
+    expanded = rows.select("id", state.alias("_state"), F.explode_outer(strings(candidates)).alias("candidate"))
     text = F.concat_ws(
         "\n",
         F.lit("query: score this candidate for the next inspection action"),

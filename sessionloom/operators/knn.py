@@ -165,7 +165,7 @@ def topk_other_folds(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -
     # Queries meeting one block are cut into groups of bounded size; the block is repeated per group.
     salts = max(1, math.ceil(n / block_rows))
     routed = routed.withColumn("salt", F.pmod(F.xxhash64("qkey"), F.lit(salts)).cast("int"))
-    repeated = stored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = stored.withColumn("salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = ["home", "block", "salt"]
     others = routed.groupBy(*key).cogroup(repeated.groupBy(*key)).applyInPandas(_block_topk(k), found)
     best = _best(own.unionByName(others.where(F.col("sim") >= -1.5)), k)

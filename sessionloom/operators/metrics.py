@@ -25,7 +25,7 @@ def per_class(conf: DataFrame, by: list[str] = ()) -> DataFrame:
     """True count nt, predicted count np, hits tp and F1 per class seen in y or pred."""
     sides = conf.select(
         *by,
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(
                     F.col("y").alias("label"), F.col("n").alias("nt"), F.lit(0).cast("long").alias("np"),
@@ -61,7 +61,7 @@ def with_grouping_sets(conf: DataFrame, sets: list[list[str]], columns: list[str
     aliased = conf
     for c in columns:
         aliased = aliased.withColumn(c, F.col(c).cast("string"))
-    expand = F.explode(
+    expand = F.explode_outer(
         F.array(*[
             F.struct(*[(F.col(c) if c in s else F.lit("all")).alias(c) for c in columns]) for s in sets
         ])

@@ -46,8 +46,8 @@ def observations(rows: DataFrame) -> DataFrame:
     rows: id, row_no, history.
     """
     found = rows.where(F.coalesce("id", F.lit("")) != "").select(
-        "id", "row_no", "history", F.explode(walk(F.col("history"))).alias("p")
-    )
+        "id", "row_no", "history", F.explode_outer(walk(F.col("history"))).alias("p")
+    ).where(F.col("p").isNotNull())
     event = F.get("history", F.col("p.at"))
     return found.select(
         F.col("id").alias("source_id"), "row_no", F.size("history").alias("window"),

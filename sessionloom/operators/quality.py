@@ -107,7 +107,7 @@ def report(checked: DataFrame, whole_reason: bool) -> DataFrame:
     why = F.when(~ok, F.transform("reasons", lambda r: cell("reject_reason", r))).otherwise(
         F.array().cast("array<struct<section:string,name:string>>")
     )
-    flat = counts.select(F.explode(F.concat(always, why)).alias("c"), "n")
+    flat = counts.select(F.explode_outer(F.concat(always, why)).alias("c"), "n")
     return flat.groupBy("c.section", "c.name").agg(F.sum("n").alias("n"))
 
 

@@ -48,11 +48,11 @@ def calibration_report(df: DataFrame, proba: str, bias: Column, shrinks: Sequenc
         doubles(shrinks),
         lambda s: F.struct(s.alias("shrink"), argmax(F.zip_with(log_p, bias, lambda x, b: x + s * b)).alias("pred")),
     )
-    runs = df.select("domain", "y", argmax(F.col(proba)).alias("anchor"), F.explode(preds).alias("r")).select(
+    runs = df.select("domain", "y", argmax(F.col(proba)).alias("anchor"), F.explode_outer(preds).alias("r")).select(
         "domain", "y", "anchor", "r.*"
     )
     counts = stage(runs.groupBy("domain", "shrink", "y", "anchor", "pred").agg(F.count("*").alias("n")), "calibration")
-    sliced = counts.select(F.explode(F.array(F.col("domain"), F.lit("all"))).alias("domain"), "shrink", "y", "anchor", "pred", "n")
+    sliced = counts.select(F.explode_outer(F.array(F.col("domain"), F.lit("all"))).alias("domain"), "shrink", "y", "anchor", "pred", "n")
     conf = sliced.groupBy("domain", "shrink", "y", "pred").agg(F.sum("n").alias("n"))
     base = sliced.where(F.col("shrink") == shrinks[0]).groupBy("domain", "y", F.col("anchor").alias("pred")).agg(
         F.sum("n").alias("n")

@@ -891,4 +891,4 @@ def expand_views(rows: DataFrame, source: str, copies: int, weights: dict[int, f
         F.struct(F.lit(v).alias("variant"), augmented(source, v).alias("text"), F.lit(raw[v] / scale).alias("weight"))
         for v in views
     ])
-    return shaped.select("id", "action", "features", F.explode(texts).alias("_v")).select("id", "action", "features", "_v.*")
+    return shaped.select("id", "action", "features", F.explode_outer(texts).alias("_v")).select("id", "action", "features", "_v.*")

@@ -141,7 +141,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     grouped = turns.groupBy("conv_id", F.floor(F.col("turn") / SESSION_TURNS).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
-    rows = grouped.select("conv_id", "part", "turns", F.posexplode("turns").alias("pos", "cur")).where(
+    rows = grouped.select("conv_id", "part", "turns", F.posexplode_outer("turns").alias("pos", "cur")).where(
         F.col("cur.role") == "user"
     )
     conv, turn = F.col("conv_id"), F.col("cur.turn")

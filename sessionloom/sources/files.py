@@ -151,7 +151,7 @@ def read_parameters(spark: SparkSession, path: str, classes: list[str] = LABELS)
     same = F.when(F.col("labels") == strings(classes), F.col("labels")).otherwise(
         F.raise_error(F.lit("label order of the parameter file differs"))
     )
-    zipped = F.explode(F.arrays_zip(same.alias("label"), F.col("bias_sim"), F.col("bias_au"))).alias("z")
+    zipped = F.explode_outer(F.arrays_zip(same.alias("label"), F.col("bias_sim"), F.col("bias_au"))).alias("z")
     return raw.select(zipped).select(
         F.col("z.label").alias("label"), F.col("z.bias_sim").alias("bias_sim"), F.col("z.bias_au").alias("bias_au")
     )
