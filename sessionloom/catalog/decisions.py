@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.metrics import INSPECT, K, _CONF, decided, delta_sql, derived_bias
+from sessionloom.catalog.metrics import INSPECT, K, decided, delta_sql, derived_bias
 from sessionloom.catalog.oracle import (
-    BIAS10, BLEND, LBL, SCORES, arr, argmax as amax, biased, f1_ctes, margin as mgn, mixed, norm, q, softmax as smax, sql, zip2,
+    BIAS10,
+    BLEND,
+    LBL,
+    SCORES,
+    arr,
+    argmax as amax,
+    f1_ctes,
+    margin as mgn,
+    mixed,
+    softmax as smax,
+    sql,
+    zip2,
 )
 from sessionloom.catalog.registry import query
-from sessionloom.functions.probs import argmax, margin, mix, normalise, scale
+from sessionloom.functions.probs import argmax, margin, mix, normalise
 from sessionloom.operators import bias_search, calibration, hierarchy, metrics, sweeps
 from sessionloom.operators.metrics import rounded
-from sessionloom.schema import GROUP_OF, GROUPS, LABELS, STACK, doubles
+from sessionloom.schema import GROUP_OF, GROUPS, LABELS, doubles
 from sessionloom.sources import derived
 
 CLASSES = LABELS[:K]

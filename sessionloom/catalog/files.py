@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.catalog import oracle_events as O
-from sessionloom.catalog.metrics import decided
-from sessionloom.catalog.oracle import BLEND, LBL, SCORES, SESS, arr, pairs_sql, q, sql
+from sessionloom.catalog.oracle import LBL, SCORES, SESS, pairs_sql, sql
 from sessionloom.catalog.quality import _V2
 from sessionloom.catalog.registry import query
 from sessionloom.functions import events as E
 from sessionloom.functions.probs import argmax
-from sessionloom.operators import joins, keys, quality
+from sessionloom.operators import keys, quality
 from sessionloom.operators.metrics import rounded
 from sessionloom.schema import CLASS_BIAS_AU, CLASS_BIAS_SIM, LABELS
 from sessionloom.sources import derived, files

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.oracle import (
-    BLEND, GROUP_CASE, LBL, SCORES, SESS, STEPS, TEXTS, arr, f1_ctes, q, sql,
-)
+from sessionloom.catalog.oracle import BLEND, GROUP_CASE, LBL, SCORES, SESS, STEPS, TEXTS, arr, f1_ctes, sql
 from sessionloom.catalog.registry import query
 from sessionloom.functions.probs import argmax, mix, scale
 from sessionloom.operators import aggregates, calibration, keys, metrics

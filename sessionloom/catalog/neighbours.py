@@ -11,7 +11,6 @@ from sessionloom.catalog.registry import query
 from sessionloom.functions.probs import min_max, softmax
 from sessionloom.operators import knn, sweeps
 from sessionloom.operators.metrics import rounded
-from sessionloom.schema import doubles
 from sessionloom.sources import derived
 
 DIM = derived.VECTOR_DIM

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from sessionloom.catalog.oracle import GROUP_CASE, arr, collapse, compact, head, join, q, tail
+from sessionloom.catalog.oracle import GROUP_CASE, arr, compact, head, q, tail
 
 _ids = count()
 

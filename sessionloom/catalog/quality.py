@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.oracle import AUDIT, LBL, SESS, arr, collapse, pairs_sql, q, sql
+from sessionloom.catalog.oracle import AUDIT, LBL, SESS, arr, collapse, pairs_sql, sql
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.scalars import (
     LEN_OK_SQL, RATIO_SQL, SIGN_SQL, _FILE_RX, _TICK_RX, kept_sql, masked_sentences_sql, pattern_kept_sql, words_kept_sql,
 )
 from sessionloom.functions import scalars as S
-from sessionloom.operators import audit, keys, mining, quality
-from sessionloom.operators.metrics import rounded
+from sessionloom.operators import audit, mining, quality
 from sessionloom.sources import derived
 
 # --- paraphrase checks --------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.catalog import oracle_events as O
-from sessionloom.catalog.oracle import SESS, STEPS, join, q, sql, tail
+from sessionloom.catalog.oracle import SESS, STEPS, join, sql, tail
 from sessionloom.catalog.registry import query
 from sessionloom.functions import events as E
 from sessionloom.functions.results import result_type

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from sessionloom.catalog import oracle_events as O
-from sessionloom.catalog.oracle import SESS, arr, collapse, compact, has, join, q, sql, tail, words
+from sessionloom.catalog.oracle import SESS, arr, compact, has, join, q, sql, tail, words
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.scalars import HINT_CTE, INSPECT_CTE, _hot_sql, hints_sql
 from sessionloom.functions import keywords as KW

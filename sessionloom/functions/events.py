@@ -10,9 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from sessionloom.functions.base import let
-from sessionloom.functions.text import collapse, compact
+from sessionloom.functions.text import compact
 from sessionloom.operators.ordered import last_items
-from sessionloom.schema import strings
 
 
 def items(history: Column) -> Column:

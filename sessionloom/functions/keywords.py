@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 from sessionloom.functions.base import let
 from sessionloom.functions.buckets import band_float, bin_floor
 from sessionloom.functions.events import action_names, find_all, items, nth_last, open_files
-from sessionloom.functions.text import collapse, compact, flag, has_any
-from sessionloom.operators.ordered import last_items
+from sessionloom.functions.text import compact, flag, has_any
 
 # Keyword groups of the engineered text view.
 KEYWORD_GROUPS = {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sessionloom.functions.base import let
 from sessionloom.functions.buckets import band
 from sessionloom.functions.text import has_any
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.functions.base import let
 from sessionloom.functions.probs import log_clipped, normalise
-from sessionloom.schema import doubles
 from sessionloom.sources.staging import stage
 
 # Relative steps of the coordinate fit, coarse to fine.

@@ -22,8 +22,16 @@ from sessionloom.functions.text import SPACE, compact, fast_compact, flag, has_a
 from sessionloom.operators import keys
 from sessionloom.operators.ordered import last_items
 from sessionloom.schema import (
-    CI_STATES, LABELS, LANG_PREFS, PRIMARY_LANGS, SHORT_NAME, TIERS, TRACE_CI_STATES, TRACE_LANG_PREFS,
-    TRACE_PRIMARY_LANGS, doubles, lookup, strings,
+    CI_STATES,
+    LABELS,
+    LANG_PREFS,
+    PRIMARY_LANGS,
+    SHORT_NAME,
+    TIERS,
+    TRACE_CI_STATES,
+    TRACE_LANG_PREFS,
+    TRACE_PRIMARY_LANGS,
+    lookup,
 )
 
 C = F.col
