@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +31,30 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from sessionloom.llm.tokens import token_counts
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op6_contamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.contamination import contamination
+
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op7_mix_sources")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
