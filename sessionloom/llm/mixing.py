@@ -21,9 +21,6 @@ CAP = 3
 # Weights of the sources in turn.
 WEIGHTS = (5, 2, 1)
 
-SCHEMA = "_row long, source string, _chunk long, _p double, size long, copies long"
-
-
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP
 ) -> DataFrame:
@@ -86,6 +83,13 @@ def _pivot(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     return rows
 
 
+def _rounder(seed: int, last: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _pivot(rows, seed, last)
+
+    return run
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = 7, carry: tuple[str, ...] = (),
@@ -123,7 +127,7 @@ def mix_sources(
     while True:
         last = chunks == 1
         rounded = stage(
-            rows.groupBy("source", "_chunk").applyInPandas(lambda g, last=last: _pivot(g, seed, last), rows.schema),
+            rows.groupBy("source", "_chunk").applyInPandas(_rounder(seed, last), rows.schema),
             "rounded")
         done.append(rounded.where("not (_p > 0 and _p < 1)"))
         if last:
