@@ -82,3 +82,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from sessionloom.llm.search import exact_top_k
 
     return exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.urls import page_words, url_filter
+
+    pages = table(spark, folder, "pages")
+    return url_filter(pages, pages, page_words(F.col("html")))
