@@ -90,3 +90,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages")
     return url_filter(pages, pages, page_words(F.col("html")))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.extraction import extract, train
+
+    pages = table(spark, folder, "pages")
+    return extract(pages, train(pages))
