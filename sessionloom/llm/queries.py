@@ -98,3 +98,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages")
     return extract(pages, train(pages))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.toxicity import taught, toxicity
+
+    scored = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), learn=taught(F.col("doc_id")))
+    return scored.select(
+        "doc_id", (~taught(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

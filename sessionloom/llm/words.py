@@ -90,6 +90,16 @@ def split(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Words:
     return Words(low, start, end, hashes, np.searchsorted(start, bounds))
 
 
+def prefix_hashes(words: Words, k: int) -> np.ndarray:
+    """Hash of the first k bytes of each word (of all of a shorter one)."""
+    n = len(words.data)
+    powers, inverse = _power_tables(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[words.data] * powers[:n], out=total[1:])
+    end = np.minimum(words.end, words.start + k)
+    return (total[end] - total[words.start]) * inverse[words.start]
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as empty."""
     texts = pc.fill_null(texts, "")
