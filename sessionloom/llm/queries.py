@@ -108,3 +108,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", (~taught(F.col("doc_id"))).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op10_private_data")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.private import KINDS, all_spans, count_of, joined, private_spans
+
+    rows, _ = private_spans(table(spark, folder, "documents"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS[:4]]
+    return rows.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(all_spans(F.col("base"), F.col("found"))).alias("spans"))
