@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.sources.staging import stage
 
-__all__ = ["connected", "numbered", "stage", "with_uid"]
+__all__ = ["connected", "drawn", "numbered", "stage", "with_uid"]
 
 
 def with_uid(df: DataFrame, label: str, name: str = "_uid") -> DataFrame:
@@ -14,6 +14,18 @@ def with_uid(df: DataFrame, label: str, name: str = "_uid") -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+def drawn(df: DataFrame, key: list, n: int) -> DataFrame:
+    """About n rows, all if there are no more, by a hash of the key columns; at most 2 n where keys repeat.
+
+    The share to draw comes from the count, so no rows are sorted or gathered.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    mark = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(2**40))
+    return df.where(mark < int(2**40 * (n / total))).limit(2 * n)
+
+
 def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """0-based position of each row in the given order, without gathering the rows in one task.
 

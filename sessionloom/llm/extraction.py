@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sessionloom.llm.common import drawn
 from sessionloom.llm.dom import Node, Page, parse
 
-# Labelled pages that the potentials are fitted on: at most so many, drawn by a hash of their markup.
+# Labelled pages that the potentials are fitted on: about so many, drawn by a hash.
 LABELLED_PAGES = 2000
 STEPS, RATE, DECAY = 300, 1.0, 1e-3
 # A pair potential is at most this sure, so that an element can always differ from its parent.
@@ -222,11 +223,11 @@ def fit(pages: list[Page], labels: list[list[int]]) -> Model:
     return Model({f: float(w[i]) for f, i in names.items()}, sure)
 
 
-def train(pages: DataFrame, html_col: str = "html") -> Model:
-    """Model from the pages that label themselves by their markup; a bounded sample of LABELLED_PAGES."""
-    marked = pages.select(html_col).where(F.lower(html_col).rlike("<(article|main)[\\s>]"))
-    chosen = marked.orderBy(F.xxhash64(html_col)).limit(LABELLED_PAGES).toPandas()[html_col]
-    parsed = [parse(h) for h in chosen]
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> Model:
+    """Model from the pages that label themselves by their markup; a sample of about LABELLED_PAGES."""
+    marked = pages.select(html_col, id_col).where(F.lower(html_col).rlike("<(article|main)[\\s>]"))
+    chosen = drawn(marked, [id_col, F.length(html_col)], LABELLED_PAGES).toPandas()[html_col]
+    parsed = [parse(h) for h in sorted(chosen)]
     labelled = [(p, x) for p in parsed if (x := markup_labels(p)) is not None]
     return fit([p for p, _ in labelled], [x for _, x in labelled])
 

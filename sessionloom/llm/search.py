@@ -16,11 +16,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionloom.llm.common import stage
+from sessionloom.llm.common import drawn, stage
 
 # Vectors of a cell and queries of a group: bounds the memory of a product.
 CELL, GROUP = 2048, 512
-# Rows for each pivot, and the most pivots: vectors drawn by a hash of their id, a bounded sample.
+# Rows for each pivot, and about the most pivots: vectors drawn by a hash of their id, a bounded sample.
 PER_PIVOT, PIVOTS = 4096, 512
 # Cells whose summaries (a few numbers each) are weighed in one pass; more cells take more passes.
 SUMMARY_ROWS = 50_000
@@ -204,7 +204,8 @@ def exact_top_k(
         return spark.createDataFrame([], result)
     width = max(1, sums["w"] // 8)
     wanted = max(1, min(PIVOTS, sums["n"] // PER_PIVOT))
-    chosen = flat.orderBy(F.xxhash64("_id", "_uid")).limit(wanted).select("v").collect()
+    chosen = drawn(flat.select("_id", "_uid", "v"), ["_id", "_uid"], wanted).limit(2 * wanted).select("v").collect()
+    chosen = chosen or flat.select("v").limit(1).collect()
     pivots = matrix([bytes(r["v"]) for r in chosen], width)
     sent = spark.sparkContext.broadcast(pivots)
     with_key = stage(

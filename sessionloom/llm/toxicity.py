@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sessionloom.llm.common import stage
+from sessionloom.llm.common import drawn, stage
 from sessionloom.llm.words import ALNUM, Words, mix, prefix_hashes, word_slices
 
 # Labelled rows that examples and terms are learned from, drawn by a hash of their id.
@@ -206,7 +206,7 @@ def toxicity(
 ) -> DataFrame:
     """(id, score, evidence) for each row; `evidence` lists (example id, similarity, texts, marked) of the voters.
 
-    `learn` tells which labelled ids may be learned from (default: all). At most `examples` labelled
+    `learn` tells which labelled ids may be learned from (default: all). About `examples` labelled
     rows are taken, by a hash of their id; document frequencies are of all documents. Texts without any term
     of the model, empty and null ones included, get the calibrated base rate of such examples. Without
     usable labels every text gets the same score. Conflicting labels of an id count as the
@@ -218,8 +218,8 @@ def toxicity(
     if learn is not None:
         chosen = chosen.where(learn)
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_mark"))
-    chosen = stage(chosen.orderBy(F.xxhash64("_id"), "_id").limit(examples), "examples")
-    sample = F.broadcast(chosen)  # at most `examples` rows
+    chosen = stage(drawn(stage(chosen, "marks"), ["_id"], examples), "examples")
+    sample = F.broadcast(chosen)  # about `examples` rows of two numbers
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     taught_texts = texts.join(sample, "_id").select("_text", "_mark")
     tallies = taught_texts.mapInArrow(term_tallies, "term long, n long, pos long")
