@@ -119,3 +119,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(all_spans(F.col("base"), F.col("found"))).alias("spans"))
+
+
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from sessionloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"), k=3, percent=90)
