@@ -63,35 +63,30 @@ def term_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["term", "n", "pos"])
 
 
-def vectorised(terms: np.ndarray, id_col: str):
-    """(id, terms, counts) of each text: positions in the sorted `terms`, and how often each occurs."""
-    coarse = np.zeros(2**20, dtype=bool)
-    coarse[(terms >> np.uint64(44)).astype(np.int64)] = True
-    last = max(0, len(terms) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where, counts = [], []
-            for lo, hi, words in word_slices(batch.column(1), ALNUM):
-                who, what = [], []
-                for h in terms_of(words):
-                    near = np.flatnonzero(coarse[(h >> np.uint64(44)).astype(np.int64)])
-                    at = np.minimum(np.searchsorted(terms, h[near]), last)
-                    good = terms[at] == h[near] if len(terms) else np.zeros(len(near), bool)
-                    near, at = near[good], at[good]
-                    who.append(np.searchsorted(words.offsets, near, side="right") - 1)
-                    what.append(at)
-                pair = np.concatenate(who) * np.int64(2**20) + np.concatenate(what)
-                pair, n = np.unique(pair, return_counts=True)
-                bounds = np.searchsorted(pair >> 20, np.arange(hi - lo + 1))
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    where.append((pair[a:b] & (2**20 - 1)).tolist())
-                    counts.append(n[a:b].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(where, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                names=[id_col, "terms", "counts"])
-
-    return run
+class Vocabulary:
+    """Sorted term hashes, with a coarse table that turns most other words away."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.coarse = np.zeros(2**20, dtype=bool)
+        self.coarse[(terms >> np.uint64(44)).astype(np.int64)] = True
+
+    def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of each text: places in the vocabulary, ascending, and how often each occurs."""
+        last = max(0, len(self.terms) - 1)
+        for lo, hi, words in word_slices(texts, ALNUM):
+            who, what = [], []
+            for h in terms_of(words):
+                near = np.flatnonzero(self.coarse[(h >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.terms, h[near]), last)
+                good = self.terms[at] == h[near] if len(self.terms) else np.zeros(len(near), bool)
+                near, at = near[good], at[good]
+                who.append(np.searchsorted(words.offsets, near, side="right") - 1)
+                what.append(at)
+            pair, n = np.unique(np.concatenate(who) * np.int64(2**20) + np.concatenate(what), return_counts=True)
+            bounds = np.searchsorted(pair >> 20, np.arange(hi - lo + 1))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield pair[a:b] & (2**20 - 1), n[a:b]
 
 
 @dataclass
@@ -200,20 +195,44 @@ def taught(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 5 != 0
 
 
-def toxicity(
+@dataclass
+class Model:
+    """All that scoring needs; its size is bounded by EXAMPLES and TERMS."""
+
+    vocabulary: Vocabulary
+    index: Index
+    base: float
+    bare: float  # vote of texts without terms
+    slope: float
+    offset: float
+
+    def calibrated(self, vote: float) -> float:
+        vote = min(max(vote, 1e-6), 1 - 1e-6)
+        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.offset))))
+
+    def judge(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        """Score of a vector and its voters."""
+        near, cos = self.index.nearest(terms, counts, NEIGHBOURS) if len(terms) else ([], [])
+        if not len(near):
+            return self.calibrated(self.bare), []
+        at = self.index
+        voters = [
+            {"example": int(at.example[p]), "similarity": float(s), "texts": int(at.n[p]), "marked": int(at.pos[p])}
+            for p, s in zip(near, cos, strict=True)]
+        return self.calibrated(at.vote(near, cos, self.base)), voters
+
+
+def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
     learn: Column | None = None, examples: int = EXAMPLES,
-) -> DataFrame:
-    """(id, score, evidence) for each row; `evidence` lists (example id, similarity, texts, marked) of the voters.
+) -> Model:
+    """Model from labelled texts.
 
-    `learn` tells which labelled ids may be learned from (default: all). About `examples` labelled
-    rows are taken, by a hash of their id; document frequencies are of all documents. Texts without any term
-    of the model, empty and null ones included, get the calibrated base rate of such examples. Without
-    usable labels every text gets the same score. Conflicting labels of an id count as the
-    larger; null labels do not count. Ids may be null or repeated; other columns are not read.
+    `learn` tells which labelled ids may be learned from (default: all). About `examples` labelled rows are
+    taken, by a hash of their id; document frequencies are of all documents. Conflicting labels of an id count
+    as the larger; rows with a null id or label do not count. Without usable labels every text gets one score.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
         chosen = chosen.where(learn)
@@ -221,39 +240,57 @@ def toxicity(
     chosen = stage(drawn(stage(chosen, "marks"), ["_id"], examples), "examples")
     sample = F.broadcast(chosen)  # about `examples` rows of two numbers
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    taught_texts = texts.join(sample, "_id").select("_text", "_mark")
-    tallies = taught_texts.mapInArrow(term_tallies, "term long, n long, pos long")
-    size = texts.join(sample, "_id").agg(F.count("*"), F.sum("_mark")).first()
+    sampled = stage(texts.join(sample, "_id"), "sampled")
+    size = sampled.agg(F.count("*"), F.sum("_mark")).first()
     n, pos = size[0], size[1] or 0
     base = (pos + 0.5) / (n + 1)
-    share = F.col("pos") / F.col("n")
-    z = F.abs(share - base) * F.sqrt("n") / np.sqrt(base * (1 - base))
+    z = F.abs(F.col("pos") / F.col("n") - base) * F.sqrt("n") / np.sqrt(base * (1 - base))
+    tallies = sampled.select("_text", "_mark").mapInArrow(term_tallies, "term long, n long, pos long")
     kept = (
         tallies.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST)
         .select("term", z.alias("z")).where(F.col("z") >= FAR).orderBy(F.desc("z"), "term").limit(TERMS).toPandas())
-    terms = np.sort(kept["term"].to_numpy(dtype=np.int64).view(np.uint64))
-    sent_terms = spark.sparkContext.broadcast(terms)
-    vectors = stage(
-        docs.select(id_col, text_col).mapInArrow(
-            lambda b: vectorised(sent_terms.value, id_col)(b), f"`{id_col}` {kind}, terms array<int>, counts array<int>"),
-        "vectors")
-    frequency = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        frequency[r["t"]] = r["count"]
-    total = vectors.count()
-    idf = np.log((1 + total) / (1 + frequency)) + 1
+    vocabulary = Vocabulary(np.sort(kept["term"].to_numpy(dtype=np.int64).view(np.uint64)))
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts seen and texts with each term, one row a term and task; the row of term -1 counts the texts."""
+        words = sent.value
+        found, texts_seen = np.zeros(len(words.terms), dtype=np.int64), 0
+        for batch in batches:
+            for at, _ in words.vectors(batch.column(0)):
+                found[at] += 1
+            texts_seen += len(batch)
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(held, -1)), pa.array(np.append(found[held], texts_seen))], names=["t", "n"])
+
+    idf, total = np.zeros(len(vocabulary.terms)), 0
+    for r in docs.select(text_col).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        if r["t"] < 0:
+            total = r["n"]
+        else:
+            idf[r["t"]] = r["n"]
+    idf = np.log((1 + total) / (1 + idf)) + 1
+
+    def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(sent.value.vectors(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *(pa.array([p[i].tolist() for p in pairs], pa.list_(pa.int64())) for i in (0, 1))],
+                names=["_id", "_mark", "terms", "counts"])
+
     points = (
-        vectors.withColumnRenamed(id_col, "_id").join(sample, "_id").groupBy("terms", "counts")
-        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").cast("long").alias("example")).toPandas())
-    empty = points["terms"].map(len) == 0 if len(points) else pd.Series([], dtype=bool)
-    bare = points[empty.to_numpy(dtype=bool)] if len(points) else points
-    index = Index.build(points[~empty.to_numpy(dtype=bool)] if len(points) else points, idf)
+        sampled.select(F.col("_id").cast("long").alias("_id"), "_text", "_mark")
+        .mapInArrow(to_vectors, "_id long, _mark int, terms array<long>, counts array<long>").groupBy("terms", "counts")
+        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toPandas())
+    empty = np.array([len(t) == 0 for t in points["terms"]], dtype=bool)
+    bare, index = points[empty], Index.build(points[~empty], idf)
     bare_rate = (float(bare["pos"].sum()) + LEAN * base) / (float(bare["n"].sum()) + LEAN)
-    sent = spark.sparkContext.broadcast(index)
+    with_index = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Votes on each point's texts, one of them left out."""
-        at = sent.value
+        at = with_index.value
         for batch in batches:
             rows = []
             for i in batch["id"]:
@@ -269,37 +306,37 @@ def toxicity(
     marks = np.append(held["mark"].to_numpy(dtype=float), [1.0, 0.0])
     weights = np.append(held["n"].to_numpy(dtype=float), [float(bare["pos"].sum()), float((bare["n"] - bare["pos"]).sum())])
     slope, offset = fit_curve(np.clip(votes, 1e-6, 1 - 1e-6), marks, weights)
+    return Model(vocabulary, index, base, bare_rate, slope, offset)
 
-    def calibrated(vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(slope * np.log(vote / (1 - vote)) + offset))))
 
-    by_default = calibrated(bare_rate)
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """The rows with a struct column (score, evidence) added; `evidence` lists (example, similarity, texts, marked).
+
+    Row by row over whole texts, no shuffle. Texts without any term of the model, empty and null ones included,
+    get the calibrated share of such examples and no evidence.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     voter = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("texts", pa.int64()), ("marked", pa.int64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = sent.value, {}
-        for batch in batches:
-            scores, evidence = [], []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    near, cos = at.nearest(np.asarray(t, dtype=np.int64), np.asarray(c), NEIGHBOURS) if t else ([], [])
-                    if len(near):
-                        seen = [
-                            {"example": int(at.example[p]), "similarity": float(s), "texts": int(at.n[p]), "marked": int(at.pos[p])}
-                            for p, s in zip(near, cos, strict=True)]
-                        known[key] = (calibrated(at.vote(near, cos, base)), seen)
-                    else:
-                        known[key] = (by_default, [])
-                s, e = known[key]
-                scores.append(s)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, voter)], names=[id_col, "score", "evidence"])
+    @F.arrow_udf("score double, evidence array<struct<example:long,similarity:double,texts:long,marked:long>>")
+    def judge(texts: pa.Array) -> pa.Array:
+        known, out = {}, []
+        for terms, counts in sent.value.vocabulary.vectors(texts):
+            key = terms.tobytes() + counts.tobytes()
+            if key not in known:
+                known[key] = sent.value.judge(terms, counts)
+            out.append(known[key])
+        return pa.StructArray.from_arrays(
+            [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], voter)], names=["score", "evidence"])
+
+    return docs.withColumn(name, judge(F.col(text_col)))
 
-    return vectors.select(id_col, "terms", "counts").mapInArrow(
-        score, f"`{id_col}` {kind}, score double, "
-        "evidence array<struct<example:long,similarity:double,texts:long,marked:long>>")
+
+def toxicity(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+    learn: Column | None = None, examples: int = EXAMPLES,
+) -> DataFrame:
+    """(id, score, evidence) for each row; see `train` and `scored`. Ids may be null or repeated; other columns are not read."""
+    model = train(docs, labels, label_col, id_col, text_col, learn, examples)
+    out = scored(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "_toxicity")
+    return out.select(id_col, F.col("_toxicity.score").alias("score"), F.col("_toxicity.evidence").alias("evidence"))
