@@ -131,16 +131,16 @@ def sets_of(texts: pa.Array, k: int, rank: np.ndarray) -> Iterator[tuple[int, in
         yield lo, hi, np.searchsorted(owner, np.arange(hi - lo + 1)), ids, hashes
 
 
-def set_hash(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
-    """A hash of each whole set: the sum of its members' hashes, modulo 2**64."""
+def set_hash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each whole set: the sum of its members' hashes, modulo 2**64. Used together with its size."""
     total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(mix(hashes ^ np.uint64(salt)), out=total[1:])
+    np.cumsum(mix(hashes), out=total[1:])
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
 def more(n: np.ndarray | Column, percent: int):
     """How many prefix columns two rows share at least, by the size of the smaller one: longer prefixes tell more."""
-    return (n * (100 - percent)) // 200 + 1 if isinstance(n, np.ndarray) else F.floor(n * (100 - percent) / 200) + 1
+    return (n * (100 - percent)) // 400 + 1 if isinstance(n, np.ndarray) else F.floor(n * (100 - percent) / 400) + 1
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -149,15 +149,20 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, rank, id_col: str) -> Iterator[pa.RecordBatch]:
-    """(id, n, h1, h2, prefix) of each text; h1 and h2 are two hashes of the whole set."""
+    """(id, n, node, prefix) of each text; `node` is a hash of the whole set.
+
+    Copies in one task give their prefix once, so that a text repeated any number of times does not fill a column.
+    """
+    told: set[int] = set()
     for batch in batches:
-        sizes, one, two, prefix = [], [], [], []
+        sizes, nodes, prefix = [], [], []
         for lo, hi, bounds, ids, hashes in sets_of(batch.column(1), k, rank.value):
             n = np.diff(bounds)
-            one.append(set_hash(hashes, bounds, 0))
-            two.append(set_hash(hashes, bounds, 0xA5A5A5A5A5A5A5A5))
+            node = set_hash(hashes, bounds)
+            nodes.append(node)
             sizes.append(n)
-            keep = prefix_length(n, percent)
+            new = [x not in told and not told.add(x) for x in node.tolist()]
+            keep = np.where(new, prefix_length(n, percent), 0)
             place = np.arange(len(ids)) - np.repeat(bounds[:-1], n)
             held = place < np.repeat(keep, n)
             prefix.append(pa.ListArray.from_arrays(
@@ -165,11 +170,11 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, rank, id
         flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         lists = pa.concat_arrays(prefix) if prefix else pa.array([], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), flat(sizes), flat(one), flat(two), lists], names=[id_col, "n", "h1", "h2", "prefix"])
+            [batch.column(0), flat(sizes), flat(nodes), lists], names=[id_col, "n", "node", "prefix"])
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of columns with at least two rows, each with the row before it in its column.
+    """Entries of columns with at least two rows, each with the row before it in its column; repeated entries once.
 
     Runs over one sorted range of the table. A column that touches the range's border is kept, as it may go on in
     the next range; its first entry there has no row before it.
@@ -181,6 +186,10 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, node, n = (np.asarray(c).astype(np.int64) for c in batch.columns[:3])
         if held is not None:
             s, node, n = (np.concatenate(([h], x)) for h, x in zip(held, (s, node, n), strict=True))
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])))
+        s, node, n = s[new], node[new], n[new]
+        if held is not None and len(s) == 1:
+            continue
         same = np.concatenate(([False], s[1:] == s[:-1]))
         emit = same.copy()
         emit[:-1] |= same[1:]
@@ -217,21 +226,21 @@ def bitmap(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], k: int, rank, wanted) -> Iterator[pa.RecordBatch]:
-    """(id, n, h1, ids) of the texts that the filter lets through."""
+    """(id, n, node, columns) of the texts that the filter lets through, each once a task."""
     held, met = wanted.value, set()
     for batch in batches:
         spot = np.asarray(batch.column(2)).astype(np.int64)
-        chosen = batch.filter(pa.array(held[spot]))
-        ids, sizes, one, sets = [], [], [], []
+        chosen = batch.filter(pa.array((held[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1))
+        ids, sizes, nodes, sets = [], [], [], []
         for lo, hi, bounds, columns, hashes in sets_of(chosen.column(1), k, rank.value):
             ids += chosen.column(0)[lo:hi].to_pylist()
             sizes += np.diff(bounds).tolist()
-            one += set_hash(hashes, bounds, 0).tolist()
+            nodes += set_hash(hashes, bounds).tolist()
             sets += [columns[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        # Repeated rows leave a task once; what is left of them only repeats pairs.
-        new = [i for i, x in enumerate(zip(ids, sizes, one, strict=True)) if x not in met and not met.add(x)]
-        columns = [pa.array(ids, chosen.column(0).type), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(sets, pa.binary())]
-        yield pa.RecordBatch.from_arrays([c.take(pa.array(new, pa.int64())) for c in columns], names=["_id", "n", "h1", "columns"])
+        # What is left of repeated rows only repeats pairs.
+        new = [i for i, x in enumerate(nodes) if x not in met and not met.add(x)]
+        columns = [pa.array(ids, chosen.column(0).type), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(new, pa.int64())) for c in columns], names=["_id", "n", "node", "columns"])
 
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -256,7 +265,7 @@ def jaccard_components(
     shingle; empty and null texts have none and link with nothing. Rows of equal texts are one node; rows with
     a null id take part but are never the smallest; a null id without partners has a null component.
     Other columns are not read. Texts are read four times and never shuffled; what travels is prefix columns
-    (a fifth of the shingles at 90 percent) and the sets of rows with a possible partner.
+    (an eighth of the shingles at 90 percent) and the sets of rows with a possible partner.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -265,12 +274,10 @@ def jaccard_components(
         raise ValueError("prefix bounds hold from 60 percent on")
     read = docs.select(F.col(id_col).alias("_id"), text_col)
     rows = stage(read.mapInArrow(
-        lambda b: signatures(b, k, percent, rank, "_id"), f"_id {kind}, n long, h1 long, h2 long, prefix array<long>"), "rows")
-    key = ["n", "h1", "h2"]
-    nodes = stage(
-        rows.where("n > 0").groupBy(*key).agg(F.min("_id").alias("low"), F.first("prefix").alias("prefix"))
-        .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    columns = stage(with_neighbours(nodes.select(F.explode("prefix").alias("s"), "node", "n")).drop("prev", "prev_n"), "columns")
+        lambda b: signatures(b, k, percent, rank, "_id"), f"_id {kind}, n long, node long, prefix array<long>"), "rows")
+    # Equal sets are one node, named by its hash and size.
+    nodes = stage(rows.where("n > 0").groupBy("node", "n").agg(F.min("_id").alias("low")), "nodes")
+    columns = stage(with_neighbours(rows.select(F.explode("prefix").alias("s"), "node", "n")).drop("prev", "prev_n"), "columns")
     # Rows that share so many prefix columns with others that a link is possible.
     least = more(F.ceil(F.col("n") * percent / 100), percent)
     possible = columns.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("node")
@@ -308,10 +315,10 @@ def jaccard_components(
     met = x.join(y, "s").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     across = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= bound("na", "nb")).select("a", "b")
     roots = stage(connected(links.union(verified(across))), "roots")
-    low = nodes.select(*key, "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = stage(low.groupBy("root").agg(F.min("low").alias("component_id")), "components")
-    named = low.select(*key, "root").join(names, "root").select(*key, "component_id")
-    return rows.select("_id", *key).join(named, key, "left").select(
+    named = low.select("node", "n", "root").join(names, "root").select("node", "n", "component_id")
+    return rows.select("_id", "n", "node").join(named, ["node", "n"], "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
@@ -320,14 +327,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, rank, i
     """(node, columns) of the member rows. Texts are read again behind a bit filter of fixed size, not shuffled."""
     spark = docs.sparkSession
     spot = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)).cast("long")
-    wanted = stage(nodes.join(members, "node", "left_semi").select("node", "n", "h1", F.col("low").alias("_id")), "wanted")
+    wanted = stage(nodes.join(members, "node", "left_semi").select("node", "n", F.col("low").alias("_id")), "wanted")
     bits = wanted.select(F.floor(spot / 2**16).cast("int").alias("part"), (spot % 2**16).cast("int").alias("bit")).distinct()
-    held = np.zeros(FILTER_BITS, dtype=bool)
+    held = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for row in bits.groupBy("part").applyInPandas(bitmap, "part int, bits binary").toLocalIterator():
-        held[row["part"] * 2**16 : (row["part"] + 1) * 2**16] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+        held[row["part"] * 2**13 : (row["part"] + 1) * 2**13] = np.frombuffer(row["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(held)
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("_id"), text_col).withColumn("spot", spot)
-    found = read.mapInArrow(lambda b: whole_sets(b, k, rank, sent), f"_id {kind}, n long, h1 long, columns binary")
-    same = F.col("f._id").eqNullSafe(F.col("w._id")) & (F.col("f.n") == F.col("w.n")) & (F.col("f.h1") == F.col("w.h1"))
-    return stage(found.alias("f").join(wanted.alias("w"), same).select("node", "columns"), "sets")
+    found = read.mapInArrow(lambda b: whole_sets(b, k, rank, sent), f"_id {kind}, n long, node long, columns binary")
+    # Copies and texts that the filter lets through by chance fall out here.
+    same = F.col("f._id").eqNullSafe(F.col("w._id")) & (F.col("f.n") == F.col("w.n")) & (F.col("f.node") == F.col("w.node"))
+    return stage(found.alias("f").join(wanted.alias("w"), same).select("w.node", "columns"), "sets")

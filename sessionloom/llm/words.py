@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text handled at once; a longer text is a slice of its own.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 _rng = np.random.default_rng(20240611)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
