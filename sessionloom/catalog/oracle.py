@@ -79,7 +79,7 @@ _PATH = lambda c, t: (
 # Session steps. evs: earlier events; args as a list of (k, v, vs, js).
 SESS = f"""
 turns AS (
-  SELECT conv_id, turn, turn // 64 AS part, role,
+  SELECT conv_id, turn, role,
          CASE WHEN role = 'user' THEN text || {pick(PROMPT_TAILS, '(conv_id + turn) % 6')} ELSE text END AS text
   FROM conversations),
 named AS (
@@ -106,14 +106,13 @@ walked AS (
   SELECT *,
     coalesce(list(ev) OVER w, []) AS evs,
     count(*) FILTER (role = 'assistant') OVER w AS n_before,
-    lead(act) OVER (PARTITION BY conv_id, part ORDER BY turn) AS next_act
+    lead(act) OVER (PARTITION BY conv_id ORDER BY turn) AS next_act
   FROM evented
-  WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sess AS (
   SELECT
-    'sess_' || ({TAG('conv_id')}) || '_' || conv_id || CASE WHEN part > 0 THEN 'p' || part ELSE '' END AS root,
-    'sess_' || ({TAG('conv_id')}) || '_' || conv_id || CASE WHEN part > 0 THEN 'p' || part ELSE '' END
-      || '-step_' || printf('%02d', n_before + 1) AS id,
+    'sess_' || ({TAG('conv_id')}) || '_' || conv_id AS root,
+    'sess_' || ({TAG('conv_id')}) || '_' || conv_id || '-step_' || printf('%02d', n_before + 1) AS id,
     {TAG('conv_id')} AS domain,
     (n_before + 1)::INTEGER AS step,
     conv_id * 1000000 + turn AS row_no,
@@ -132,7 +131,7 @@ sess AS (
   FROM walked WHERE role = 'user')
 """
 
-# Event steps: previous 16 actions of the user.
+# Event steps: previous 16 actions of the user, and the first of all.
 STEPS = f"""
 labelled AS (
   SELECT *, {case_of('event_type', EVENT_ACTION, 'NULL')} AS act FROM events),
@@ -140,9 +139,10 @@ steps AS (
   SELECT
     'sess_' || ({TAG('user_id')}) || '_u' || user_id AS root,
     {TAG('user_id')} AS domain,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS step,
     (user_id % 5)::INTEGER AS fold,
-    coalesce(list(act) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING), []) AS actions,
+    coalesce(list(act) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING), []) AS actions,
+    first_value(act) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_action,
     act AS action
   FROM labelled),
 ev AS (SELECT root || '-step_' || printf('%04d', step) AS id, * FROM steps)
@@ -233,7 +233,7 @@ def pairs_sql() -> str:
     return f"""
 orig AS (
   SELECT doc_id, {LBL}[doc_id % 14 + 1] AS action,
-    {pick(ORIGINALS, 'doc_id % 12')} || CASE WHEN doc_id % 5 = 0 THEN ' #' || doc_id ELSE '' END AS original
+    {pick(ORIGINALS, 'doc_id % 12')} || CASE WHEN doc_id % 5 = 0 THEN ' #' || doc_id ELSE '' END || ' ' || coalesce(text, '') AS original
   FROM documents),
 drafted AS (SELECT *, {draft} AS draft FROM orig),
 pairs AS (
@@ -262,8 +262,7 @@ def strip_output(text: str) -> str:
 
 TEXTS = """
 tx AS (
-  SELECT d.doc_id, d.text, l.quality AS y, md5(left(lower(d.text), 60)) AS root
-  FROM documents d JOIN labels l USING (doc_id)),
+  SELECT doc_id, text, md5(lower(text)) AS root FROM documents),
 txt AS (SELECT *, (('0x' || left(root, 6))::INTEGER % 5) AS fold FROM tx)
 """
 

@@ -18,7 +18,7 @@ def _rows(spark, folder):
     steps = derived.event_steps(spark, folder)
     return steps.select(
         "id", "domain", "step", "fold", F.col("action").alias("label"),
-        priors.slot_keys(F.col("actions"), F.col("step")).alias("slots"),
+        priors.slot_keys(F.col("actions"), F.col("step"), F.col("first_action")).alias("slots"),
     )
 
 
@@ -34,7 +34,7 @@ slotted AS (
   SELECT id, domain, step, fold, action AS label, unnest([
     struct_pack(slot := 'global', key := 'global'),
     struct_pack(slot := 'last', key := {_tail_sql('last', 1)}),
-    struct_pack(slot := 'first', key := CASE WHEN len(actions) > 0 THEN 'first=' || actions[1] ELSE 'first=NONE' END),
+    struct_pack(slot := 'first', key := CASE WHEN len(actions) > 0 THEN 'first=' || first_action ELSE 'first=NONE' END),
     struct_pack(slot := 'last2', key := {_tail_sql('last2', 2)}),
     struct_pack(slot := 'last3', key := {_tail_sql('last3', 3)}),
     struct_pack(slot := 'turn', key := 'turn=' || step)]) AS s

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.catalog.oracle import AUDIT, LBL, SESS, arr, collapse, pairs_sql, sql
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.scalars import (
-    LEN_OK_SQL, RATIO_SQL, SIGN_SQL, _FILE_RX, _TICK_RX, kept_sql, masked_sentences_sql, pattern_kept_sql, words_kept_sql,
+    LEN_OK_SQL, RATIO_SQL, SIGN_SQL, _FILE_RX, _TICK_RX, kept_sql, masked_sentences_sql, pattern_kept_sql, protected_sentences_sql, words_kept_sql,
 )
 from sessionloom.functions import scalars as S
 from sessionloom.operators import audit, mining, quality
@@ -48,14 +48,12 @@ def _lost(tokens):
     return f"list_filter({tokens}, lambda t: NOT contains(p, t))"
 
 
-# Dots that end no sentence are protected by rules with lookaround; here the same text is
-# cut by a rule that needs none: a dot counts only when a blank or the end follows it.
 _V1 = f"""
 r0 AS (SELECT id, action, {_O} AS o, {_P} AS p FROM pairs),
 r1 AS (SELECT *, {_lost(f"list_filter({arr(S.DEIXIS)}, lambda t: contains(o, t))")} AS ld,
     {_lost(f"list_sort(list_distinct(regexp_extract_all(o, {_FILE_RX})))")} AS lf,
     {_lost(f"list_sort(list_distinct(regexp_extract_all(o, {_TICK_RX}, 1)))")} AS lt,
-    greatest(1, len(list_filter(string_split_regex(regexp_replace(p, '\\.([\\p{{L}}\\p{{N}}_])', '<DOT>\\1', 'g'), '[.!?。？！]+'), lambda s: trim(s) <> ''))) AS ns,
+    {protected_sentences_sql('p')} AS ns,
     length(p)::DOUBLE / greatest(length(o), 1) AS ratio FROM r0),
 r2 AS (SELECT *, {words_kept_sql('p')} AS ak, list_filter([
     CASE WHEN lower(o) = lower(p) THEN 'same_text' END,

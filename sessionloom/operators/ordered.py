@@ -32,9 +32,10 @@ def with_ordered_history(
     k: int,
     step: str = "step",
     history: str = "actions",
+    first: str = "first_action",
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its key and its previous k values.
+    """Add the 1-based position of each row in its key, its previous k values and the key's first earlier value.
 
     bucket: a never-null integer that grows with the order, such as the hour of the event.
     """
@@ -46,25 +47,26 @@ def with_ordered_history(
         whole = Window.partitionBy(key).orderBy(*order)
         return df.withColumn(step, F.row_number().over(whole)).withColumn(
             history, F.collect_list(value).over(whole.rowsBetween(-k, -1))
-        )
+        ).withColumn(first, F.first(value, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)))
     marked = df.join(small(heavy), key, "left")
     # Light keys share the bucket -1, so only heavy ones reach the hand-over with many rows.
     return _handed_over(
         marked.withColumn("_bucket", F.when(F.col("_heavy"), bucket).otherwise(-1)).drop("_heavy"),
-        key, order, value, k, step, history,
+        key, order, value, k, step, history, first,
     )
 
 
 def _handed_over(
-    rows: DataFrame, key: str, order: list[str], value: str, k: int, step: str, history: str
+    rows: DataFrame, key: str, order: list[str], value: str, k: int, step: str, history: str, first: str
 ) -> DataFrame:
     inner = Window.partitionBy(key, "_bucket").orderBy(*order)
     rows = rows.withColumn("_rn", F.row_number().over(inner)).withColumn(
         "_prev", F.collect_list(value).over(inner.rowsBetween(-k, -1))
-    )
+    ).withColumn("_early", F.first(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
     tails = rows.groupBy(key, "_bucket").agg(
         F.max("_rn").alias("_n"),
-        F.max_by(last_items(F.concat("_prev", F.array(value)), k), "_rn").alias("_tail"),
+        F.max_by(last_items(F.concat("_prev", F.when(F.col(value).isNull(), F.array().cast("array<string>")).otherwise(F.array(value))), k), "_rn").alias("_tail"),
+        F.max_by(F.coalesce("_early", value), "_rn").alias("_begin"),
     )
     across = Window.partitionBy(key).orderBy("_bucket")
     carried = tails.select(
@@ -72,10 +74,12 @@ def _handed_over(
         "_bucket",
         F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.flatten(F.collect_list("_tail").over(across.rowsBetween(-k, -1))).alias("_carried"),
+        F.first("_begin", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_first"),
     )
     return (
         rows.join(carried, [key, "_bucket"])
         .withColumn(step, F.col("_before") + F.col("_rn"))
         .withColumn(history, last_items(F.concat("_carried", "_prev"), k))
-        .drop("_bucket", "_rn", "_prev", "_before", "_carried")
+        .withColumn(first, F.coalesce("_first", "_early"))
+        .drop("_bucket", "_rn", "_prev", "_early", "_before", "_carried", "_first")
     )

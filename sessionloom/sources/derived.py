@@ -1,9 +1,8 @@
 """Session, probability and paraphrase tables derived from the given tables.
 
 The given tables hold conversations, events, vectors and documents. These functions
-turn them into the shapes the operators work on; every row of the source table is used.
-Conversations are cut into sessions of at most SESSION_TURNS turns, so that no session
-(and no nested history) grows without bound.
+turn them into the shapes the operators work on. A session is a whole conversation: each
+user turn carries all earlier turns, so a row is as long as its conversation.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from sessionloom.operators.ordered import with_ordered_history
 from sessionloom.schema import LABELS, strings
 from sessionloom.sources.tables import table
 
-SESSION_TURNS = 64
 HISTORY_ACTIONS = 16
 CLASSES = 10
 
@@ -138,18 +136,15 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
             F.concat("text", pick(PROMPT_TAILS, (F.col("conv_id") + F.col("turn")) % 6)),
         ).otherwise(F.col("text")).alias("text"),
     )
-    grouped = turns.groupBy("conv_id", F.floor(F.col("turn") / SESSION_TURNS).alias("part")).agg(
+    grouped = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
-    rows = grouped.select("conv_id", "part", "turns", F.posexplode_outer("turns").alias("pos", "cur")).where(
+    rows = grouped.select("conv_id", "turns", F.posexplode_outer("turns").alias("pos", "cur")).where(
         F.col("cur.role") == "user"
     )
     conv, turn = F.col("conv_id"), F.col("cur.turn")
     before = F.slice("turns", F.lit(1), F.col("pos"))
-    root = F.concat(
-        F.lit("sess_"), domain_tag(conv), F.lit("_"), conv.cast("string"),
-        F.when(F.col("part") > 0, F.concat(F.lit("p"), F.col("part").cast("string"))).otherwise(""),
-    )
+    root = F.concat(F.lit("sess_"), domain_tag(conv), F.lit("_"), conv.cast("string"))
     step = F.size(F.filter(before, lambda t: t["role"] == "assistant")) + 1
     following = F.get("turns", F.col("pos") + 1)
     return rows.select(
@@ -166,7 +161,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per event: the previous 16 actions of its user, step number, label and fold."""
+    """One row per event: the previous 16 actions of its user and the very first one, step number, label and fold."""
     action = F.lit(None).cast("string")
     for kind, name in EVENT_ACTION.items():
         action = F.when(F.col("event_type") == kind, name).otherwise(action)
@@ -175,7 +170,8 @@ def event_steps(spark: SparkSession, folder: str) -> DataFrame:
         events,
         key="user_id",
         order=["ts", "event_id"],
-        bucket=F.coalesce(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600), F.lit(0)),
+        # A null time sorts before all others.
+        bucket=F.coalesce(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600), F.lit(-(2**40))),
         value="action",
         k=HISTORY_ACTIONS,
     )
@@ -187,6 +183,7 @@ def event_steps(spark: SparkSession, folder: str) -> DataFrame:
         "step",
         (F.col("user_id") % 5).cast("int").alias("fold"),
         "actions",
+        "first_action",
         "action",
     )
 
@@ -241,15 +238,17 @@ ORIGINALS = [
 
 
 def paraphrase_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Original prompt and candidate rewrite per document id, covering every QC reason."""
+    """A prompt (template and the document's text) and a candidate rewrite for each document, covering every QC reason."""
     from sessionloom.functions.rewrite import rule_rewrite
 
     doc = F.col("doc_id")
     rows = table(spark, folder, "documents").select(
         "doc_id",
         F.get(strings(LABELS), (doc % 14).cast("int")).alias("action"),
-        F.concat(pick(ORIGINALS, doc % 12), F.when(doc % 5 == 0, F.concat(F.lit(" #"), doc.cast("string"))).otherwise(""))
-        .alias("original"),
+        F.concat(
+            pick(ORIGINALS, doc % 12), F.when(doc % 5 == 0, F.concat(F.lit(" #"), doc.cast("string"))).otherwise(""),
+            F.lit(" "), F.coalesce("text", F.lit("")),
+        ).alias("original"),
     )
     original = F.col("original")
     mode = F.col("doc_id") % 9
@@ -270,18 +269,19 @@ def paraphrase_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def text_root(text: Column) -> Column:
+    """Key that texts with equal lower-cased wording share."""
+    return F.md5(F.lower(text))
+
+
+def root_fold(root: Column) -> Column:
+    return (F.conv(F.substring(root, 1, 6), 16, 10).cast("int") % 5).cast("int")
+
+
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a quality label, near copies kept in one root, fold by root."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
-    root = F.md5(F.substring(F.lower("text"), 1, 60))
-    return docs.join(labels, "doc_id").select(
-        "doc_id",
-        "text",
-        F.col("quality").alias("y"),
-        root.alias("root"),
-        (F.conv(F.substring(root, 1, 6), 16, 10).cast("int") % 5).alias("fold"),
-    )
+    """All documents, copies kept in one root, fold by root."""
+    root = text_root(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", "text", root.alias("root"), root_fold(root).alias("fold"))
 
 
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
