@@ -115,7 +115,7 @@ def prob_blend(spark, folder):
     return long_probs(decided(spark, folder), "raw")
 
 
-GRID = sweeps.ensemble_candidates(["a", "b", "c"], 40)
+GRID = sweeps.ensemble_candidates(["a", "b", "c"], 500)
 
 
 @query("ensemble_weight_search", sql(SCORES, f"""
@@ -123,10 +123,10 @@ w AS (SELECT unnest({arr([n for n, _ in GRID])}) AS candidate, unnest({DARR([v[0
   unnest({DARR([v[1] for _, v in GRID])}) AS wb, unnest({DARR([v[2] for _, v in GRID])}) AS wc),
 r AS (SELECT candidate, wa, wb, wc, y, list_transform(range(1, 11), lambda i: wa * a[i] + wb * b[i] + wc * c[i]) AS m FROM sc CROSS JOIN w),
 conf AS (SELECT candidate, wa, wb, wc, y, {amax('m')} AS pred, count(*) AS n FROM r GROUP BY ALL)
-""", f1_ctes("conf", ["candidate", "wa", "wb", "wc"]), select="""
-SELECT candidate, round(wa, 6) AS w_a, round(wb, 6) AS w_b, round(wc, 6) AS w_c, round(avg(f), 6) AS macro_f1 FROM f1 GROUP BY candidate, wa, wb, wc"""))
+""", f1_ctes("conf", ["candidate", "wa", "wb", "wc"]), select=sweeps.rank_sql("""
+SELECT candidate, round(wa, 6) AS w_a, round(wb, 6) AS w_b, round(wc, 6) AS w_c, round(avg(f), 6) AS macro_f1 FROM f1 GROUP BY candidate, wa, wb, wc""", "macro_f1", ["candidate"])))
 def ensemble_weight_search(spark, folder):
-    return sweeps.ensemble_scores(derived.class_scores(spark, folder), ["a", "b", "c"], GRID)
+    return sweeps.ranked(sweeps.ensemble_scores(derived.class_scores(spark, folder), ["a", "b", "c"], GRID), "macro_f1", ["candidate"])
 
 
 @query("bias_apply", sql(SCORES, BLEND, f"ba AS (SELECT *, {smax('lp')} AS adj FROM bl)", select="""
@@ -172,7 +172,7 @@ def _fit_table(spark, folder, per_fold):
 
 @query("bias_coordinate_fit")
 def bias_coordinate_fit(spark, folder):
-    fits = bias_search.coordinate_fit(_fit_table(spark, folder, per_fold=True), list(range(5)), K, rounds=1)
+    fits = bias_search.coordinate_fit(_fit_table(spark, folder, per_fold=True), list(range(5)), K)
     rows = [(f, CLASSES[i], float(b), float(s)) for f, (bias, s) in fits.items() for i, b in enumerate(bias)]
     return spark.createDataFrame(rows, "held_out_fold int, label string, bias double, in_sample_macro_f1 double").select(
         "held_out_fold", "label", rounded(F.col("bias")).alias("bias"), rounded(F.col("in_sample_macro_f1")).alias("in_sample_macro_f1")
@@ -181,7 +181,7 @@ def bias_coordinate_fit(spark, folder):
 
 @query("bias_grid_search")
 def bias_grid_search(spark, folder):
-    bias, score = bias_search.grid_search(_fit_table(spark, folder, per_fold=False), K, passes=1)
+    bias, score = bias_search.grid_search(_fit_table(spark, folder, per_fold=False), K)
     rows = [(CLASSES[i], float(b), float(score)) for i, b in enumerate(bias)]
     return spark.createDataFrame(rows, "label string, bias double, macro_f1 double")
 
@@ -273,9 +273,9 @@ _MS, _CS, _BS = (DARR(x) for x in (sweeps.MARGINS, sweeps.CONFIDENCES, sweeps.BE
 m AS (SELECT unnest({_MS}) AS margin), k AS (SELECT unnest({_CS}) AS conf),
 cf AS (SELECT margin, conf, fold, y, base, CASE WHEN domain = 'sim' AND pa <> pb AND mg < margin AND (pc = pa OR pc = pb) AND cc >= conf THEN pc ELSE base END AS pred,
   count(*) AS n FROM bl CROSS JOIN m CROSS JOIN k GROUP BY ALL)
-""", report_sql("cf", "bs", ["margin", "conf"]), select="SELECT * FROM res"))
+""", report_sql("cf", "bs", ["margin", "conf"]), select=sweeps.rank_sql("SELECT * FROM res", "score", ["margin", "conf"])))
 def sweep_margin_conf(spark, folder):
-    return sweeps.margin_confidence(decided(spark, folder))
+    return sweeps.ranked(sweeps.margin_confidence(decided(spark, folder)), "score", ["margin", "conf"])
 
 
 _FUSED = f"""
@@ -291,9 +291,10 @@ cf AS (SELECT mode, margin, beta, fold, y, base, CASE WHEN pa <> pb AND mg < mar
 """
 
 
-@query("sweep_pairwise_fusion", sql(SCORES, BLEND, _BASE, _FUSED, report_sql("cf", "bs", ["mode", "margin", "beta"]), select="SELECT * FROM res"))
+@query("sweep_pairwise_fusion", sql(SCORES, BLEND, _BASE, _FUSED, report_sql("cf", "bs", ["mode", "margin", "beta"]), select=sweeps.rank_sql("SELECT * FROM res", "score", ["mode", "margin", "beta"])))
 def sweep_pairwise_fusion(spark, folder):
-    return sweeps.pairwise_fusion(decided(spark, folder), doubles(derived_bias()))
+    table = sweeps.pairwise_fusion(decided(spark, folder), doubles(derived_bias()))
+    return sweeps.ranked(table, "score", ["mode", "margin", "beta"])
 
 
 @query("rerank_inspect", sql(SCORES, BLEND, f"""
@@ -322,17 +323,17 @@ r2 AS (SELECT *, {amax('m')} AS new FROM r),
 cf AS (SELECT threshold, w0, w1, w3, y, CASE WHEN mg < threshold THEN new ELSE base END AS pred, count(*) AS n, count(*) FILTER (mg < threshold) AS g FROM r2 CROSS JOIN t GROUP BY ALL)
 """, f1_ctes("cf", ["threshold", "w0", "w1", "w3"]), """
 gg AS (SELECT threshold, w0, w1, w3, sum(g)::BIGINT AS gate_rows, sum(n) AS rows FROM cf GROUP BY ALL)
-""", select=f"""
+""", select=sweeps.rank_sql(f"""
 SELECT f1.threshold, any_value(gate_rows) AS gate_rows, round(any_value(gate_rows) / any_value(rows), 6) AS gate_rate, round(f1.w0, 6) AS w0, round(f1.w1, 6) AS w1, round(f1.w3, 6) AS w3,
   round(sum(f) / {D(K)}, 6) AS macro_f1, round(sum(tp) / sum(nt), 6) AS accuracy
-FROM f1 JOIN gg ON gg.threshold = f1.threshold AND gg.w0 = f1.w0 AND gg.w1 = f1.w1 AND gg.w3 = f1.w3 GROUP BY f1.threshold, f1.w0, f1.w1, f1.w3"""))
+FROM f1 JOIN gg ON gg.threshold = f1.threshold AND gg.w0 = f1.w0 AND gg.w1 = f1.w1 AND gg.w3 = f1.w3 GROUP BY f1.threshold, f1.w0, f1.w1, f1.w3""", "macro_f1", ["threshold", "w0", "w1", "w3"])))
 def sweep_multiview_gate(spark, folder):
     df = derived.class_scores(spark, folder).select(
         "y", F.col("a").alias("pa"), F.col("b").alias("p0"), F.col("c").alias("p1"),
         mix(F.col("b"), F.col("c"), 0.5, 0.5).alias("p3"), mix(F.col("a"), F.col("b"), 0.6, 0.4).alias("base_p"),
     )
     df = df.withColumns({"base": argmax(F.col("base_p")), "mg": margin(F.col("base_p"))})
-    return sweeps.multiview_gate(df, K)
+    return sweeps.ranked(sweeps.multiview_gate(df, K), "macro_f1", ["threshold", "w0", "w1", "w3"])
 
 
 _CG = ["top1_inspect", *[f"inspect_mass_ge_{t:.2f}" for t in sweeps.CANDIDATE_GATES]]
@@ -352,13 +353,13 @@ b0 AS (SELECT y, pr AS pred, count(*) AS n FROM bl GROUP BY ALL)
 """, f1_ctes("cc2", ["gate", "alpha"]), f1_ctes("b0", [], "fb"), f"""
 ff AS (SELECT gate, alpha, (coalesce(sum(n) FILTER (on_), 0))::BIGINT AS gated_rows, (coalesce(sum(n) FILTER (pred <> pr), 0))::BIGINT AS changed_predictions FROM cf GROUP BY ALL),
 bb AS (SELECT sum(f) / {D(K)} AS bm, sum(tp) / sum(nt) AS ba FROM fb)
-""", select=f"""
+""", select=sweeps.rank_sql(f"""
 SELECT f1.gate, f1.alpha, any_value(gated_rows) AS gated_rows, round(sum(f) / {D(K)}, 6) AS macro_f1, round(sum(f) / {D(K)} - any_value(bb.bm), 6) AS macro_delta,
   round(sum(tp) / sum(nt), 6) AS accuracy, round(sum(tp) / sum(nt) - any_value(bb.ba), 6) AS accuracy_delta, any_value(changed_predictions) AS changed_predictions
-FROM f1 JOIN ff ON ff.gate = f1.gate AND ff.alpha = f1.alpha CROSS JOIN bb GROUP BY f1.gate, f1.alpha"""))
+FROM f1 JOIN ff ON ff.gate = f1.gate AND ff.alpha = f1.alpha CROSS JOIN bb GROUP BY f1.gate, f1.alpha""", "macro_f1", ["gate", "alpha"])))
 def sweep_candidate_blend(spark, folder):
     df = decided(spark, folder).select("y", "raw", hierarchy.inside(F.col("c"), INSPECT).alias("rank"))
-    return sweeps.candidate_blend(df, INSPECT, K)
+    return sweeps.ranked(sweeps.candidate_blend(df, INSPECT, K), "macro_f1", ["gate", "alpha"])
 
 
 @query("decision_stack", sql(SCORES, BLEND, _GATE, select=f"""
@@ -398,3 +399,21 @@ def report_calibration(spark, folder):
     df = decided(spark, folder)
     table = F.array(*[doubles(b) for b in FOLD_BIAS])
     return calibration_report(df, "raw", F.get(table, F.col("fold")), bias_search.SHRINKS)
+
+
+@query("bias_cross_fit")
+def bias_cross_fit(spark, folder):
+    """Shrink sweep over biases fitted without each row's fold, the accepted shrink, and rows changed."""
+    from sessionloom.plans.decision import cross_fit_bias
+
+    table, _ = cross_fit_bias(decided(spark, folder), "raw", K)
+    return table
+
+
+@query("bias_final")
+def bias_final(spark, folder):
+    """The bias to use: fitted on all rows, scaled by the shrink that the cross-fit accepts."""
+    from sessionloom.plans.decision import cross_fit_bias
+
+    _, bias = cross_fit_bias(decided(spark, folder), "raw", K)
+    return spark.createDataFrame([(c, round(float(b), 6)) for c, b in zip(CLASSES, bias, strict=True)], "label string, bias double")

@@ -89,7 +89,7 @@ pk AS (SELECT sc.y, sc.a, k, temp, list_transform(range(0, {K}), lambda c: coale
 
 
 @query("sweep_knn_blend", sql(SCORES, NN(TOP), _KT, rerank_sql(["k", "temp"], "a", "p", sweeps.KNN_ALPHAS, sweeps.KNN_THRESHOLDS, "pk"),
-                              select=rerank_select(["k", "temp"])))
+                              select=sweeps.rank_sql(rerank_select(["k", "temp"]), "macro_f1", ["k", "temp", "mode", "alpha", "threshold"])))
 def sweep_knn_blend(spark, folder):
     lists = knn.neighbour_lists(knn.topk_other_folds(derived.vectors(spark, folder), TOP))
     scores = derived.class_scores(spark, folder).select(F.col("vec_id").alias("id"), "y", "a")
@@ -100,9 +100,10 @@ def sweep_knn_blend(spark, folder):
     scored = rows.select(
         "g.k", "g.temp", "y", "a", knn.posterior(F.col("nn"), F.col("g.k"), F.col("g.temp"), K).alias("p")
     )
-    return sweeps.blend_and_rerank(
+    table = sweeps.blend_and_rerank(
         scored, ["k", "temp"], "a", "p", sweeps.KNN_ALPHAS, sweeps.KNN_THRESHOLDS, INSPECT, K
     )
+    return sweeps.ranked(table, "macro_f1", ["k", "temp", "mode", "alpha", "threshold"])
 
 
 _MEAN = ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, DIM + 1))
@@ -145,7 +146,7 @@ _NORMS = " UNION ALL ".join(
 @query("sweep_proto_blend", sql(SCORES, _PROTO, f"""
 nz AS ({_NORMS}),
 pk AS (SELECT normalizer, temperature, y, a, CASE WHEN normalizer = 'softmax' THEN list_transform(e, lambda x: x / list_sum(e)) ELSE e END AS p FROM nz)
-""", rerank_sql(["normalizer", "temperature"], "a", "p", sweeps.PROTO_ALPHAS, sweeps.PROTO_THRESHOLDS, "pk"), select=rerank_select(["normalizer", "temperature"])))
+""", rerank_sql(["normalizer", "temperature"], "a", "p", sweeps.PROTO_ALPHAS, sweeps.PROTO_THRESHOLDS, "pk"), select=sweeps.rank_sql(rerank_select(["normalizer", "temperature"]), "macro_f1", ["normalizer", "temperature", "mode", "alpha", "threshold"])))
 def sweep_proto_blend(spark, folder):
     protos = knn.prototype_scores(derived.vectors(spark, folder), K, DIM).select("id", "scores")
     scores = derived.class_scores(spark, folder).select(F.col("vec_id").alias("id"), "y", "a")
@@ -157,6 +158,7 @@ def sweep_proto_blend(spark, folder):
         F.struct(F.lit("minmax").alias("normalizer"), F.lit(None).cast("double").alias("temperature"), min_max(F.col("scores")).alias("p")),
     )
     rows = scores.join(protos, "id").select("y", "a", F.explode_outer(shapes).alias("n")).select("y", "a", "n.*")
-    return sweeps.blend_and_rerank(
+    table = sweeps.blend_and_rerank(
         rows, ["normalizer", "temperature"], "a", "p", sweeps.PROTO_ALPHAS, sweeps.PROTO_THRESHOLDS, INSPECT, K
     )
+    return sweeps.ranked(table, "macro_f1", ["normalizer", "temperature", "mode", "alpha", "threshold"])

@@ -215,6 +215,7 @@ def dedupe_tail(values: Column, limit: int, fold_case: bool = True, width: int =
     return F.slice(let(F.transform(values, lambda v: compact(v, width)), distinct), 1, limit)
 
 
+# Patterns of paths and globs.
 PATH = (
     r"(?i)[\p{L}\p{N}_./\\-]+\.(?:py|js|jsx|ts|tsx|json|md|txt|ya?ml|toml|go|rs|java|kt|cpp|c|h|css|html|sql|sh|ps1)"
 )

@@ -52,6 +52,7 @@ DEICTIC = ["it", "that", "that file", "the file", "the one", "this one", "one of
 
 # A word boundary over Unicode letters and digits.
 _EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
+# Fixed value: what counts as a path in a prompt.
 PATH_HINT = (
     r"(?i)(?:[A-Za-z]:[\\/]|[./\\][\p{L}\p{N}_./\\-]+|"
     + _EDGE

@@ -59,6 +59,8 @@ def sections(text: Column) -> Column:
 
 # Pointing words that a rewrite has to keep.
 DEIXIS = ["다시", "아까", "방금", "그때", "이전", "위에", "이거", "저거", "그거", "한번더", "한번 더", "한 번 더"]
+
+# Patterns of file tokens, quoted code and sentence ends.
 FILE_TOKEN = rf"[{WORD}./-]+\.[A-Za-z]{{1,5}}"
 BACKTICK = "`([^`]+)`"
 SENTENCE_END = "[.!?。！？]+"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.functions.probs import argmax, log_clipped, normalise
-from sessionloom.operators import calibration, joins, keys, metrics
+from sessionloom.operators import bias_search, calibration, joins, keys, metrics
 from sessionloom.schema import doubles
 from sessionloom.sources.staging import stage
 
@@ -66,3 +66,30 @@ def calibration_report(df: DataFrame, proba: str, bias: Column, shrinks: Sequenc
         metrics.rounded(F.col("m")).alias("macro_f1"), metrics.rounded(F.col("m") - F.col("b")).alias("delta"),
         metrics.rounded(F.col("acc")).alias("accuracy"),
     )
+
+
+def cross_fit_bias(df: DataFrame, proba: str, k: int, folds: int = 5) -> tuple[DataFrame, list[float]]:
+    """(sweep of shrink factors, bias to use): fit without each fold, shrink, accept, fit on all rows.
+
+    df: fold, y and a probability vector. The sweep has a row for each shrink factor with
+    its score and fold deltas against the unbiased choice, the number of changed rows and whether it is
+    selected. The bias is the fit on all rows, scaled by the selected shrink.
+    """
+    everyone = F.lit(-1)
+    member = F.concat(F.filter(F.array(*[F.lit(f) for f in range(folds)]), lambda f: f != F.col("fold")), F.array(everyone))
+    lp = bias_search.log_table(df.withColumn("fit", member), proba, ["fit", "fold"])
+    fits = bias_search.coordinate_fit(lp, [*range(folds), -1], k)
+    held_out = F.get(F.array(*[doubles(fits[f][0]) for f in range(folds)]), F.col("fold"))
+    anchor = F.get(F.array_sort(F.transform(F.col("logp"), lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), F.lit(0))["i"]
+    preds = F.transform(doubles(bias_search.SHRINKS), lambda s: F.struct(
+        s.alias("shrink"), argmax(F.zip_with("logp", held_out, lambda x, b: x + s * b)).alias("pred")))
+    runs = stage(
+        lp.select("fold", "y", anchor.cast("int").alias("anchor"), F.explode_outer(preds).alias("r"))
+        .select("fold", "y", "anchor", "r.*").groupBy("shrink", "fold", "y", "anchor", "pred").agg(F.count("*").alias("n")), "shrinks")
+    conf = runs.groupBy("shrink", "fold", "y", "pred").agg(F.sum("n").alias("n"))
+    base = runs.where(F.col("shrink") == bias_search.SHRINKS[0]).groupBy("fold", "y", F.col("anchor").alias("pred")).agg(
+        F.sum("n").alias("n"))
+    changed = runs.groupBy("shrink").agg(F.coalesce(F.sum(F.when(F.col("pred") != F.col("anchor"), F.col("n"))), F.lit(0)).alias("changed"))
+    table = stage(calibration.fold_deltas(conf, ["shrink"], base).join(F.broadcast(changed), "shrink"), "shrink-sweep")
+    chosen = bias_search.select_shrink([r.asDict() for r in table.collect()])["shrink"]  # one row a shrink factor
+    return table.withColumn("selected", F.col("shrink") == chosen), [chosen * b for b in fits[-1][0]]

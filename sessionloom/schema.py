@@ -100,7 +100,7 @@ STACK = {
     "confidence_ge": 0.55,
 }
 
-# Metadata that does not change while a session runs.
+# Metadata that does not change while a session runs.
 STABLE_META = ["language_pref", "user_tier", "primary_language", "language_mix", "top_lang"]
 
 EVENT = T.StructType([

@@ -26,9 +26,13 @@ def test_ordered_history_equals_a_plain_scan_also_for_a_hot_key(spark):
         past = seen.setdefault(u, [])
         want[(u, t)] = (len(past) + 1, past[-5:])
         past.append(a)
+    first = {}
+    for u, t, a in rows:
+        first.setdefault(u, a)
     for heavy_rows in (50, 1000):
         got = with_ordered_history(df, "u", ["t"], F.floor(F.col("t") / 37), "a", 5, heavy_rows=heavy_rows).collect()
         assert {(r["u"], r["t"]): (r["step"], r["actions"]) for r in got} == want
+        assert all(r["first_action"] == (first[r["u"]] if r["step"] > 1 else None) for r in got)
 
 
 def _brute(rows, k):
@@ -81,15 +85,94 @@ def test_bias_step_scores_equal_direct_scoring(spark):
     assert got == pytest.approx(want)
 
 
-def test_coordinate_fit_never_scores_below_no_bias(spark):
+def _direct_fit(lp, y, k):
+    """Coordinate search that scores every candidate by predicting all rows again."""
+    score = lambda b: _macro(list(y), list((lp + b).argmax(axis=1)), k)
+    bias, best = np.zeros(k), None
+    for grid in bias_search.FIT_GRIDS:
+        for _ in range(3):
+            improved = False
+            for c in range(k):
+                best = score(bias) if best is None else best
+                choice, top = bias[c], best
+                for d in grid:
+                    trial = bias.copy()
+                    trial[c] = round(bias[c] + d, 12)
+                    if score(trial) > top + 1e-8:
+                        choice, top = trial[c], score(trial)
+                bias[c] = choice
+                if top > best + 1e-9:
+                    best, improved = top, True
+            if not improved:
+                break
+    return bias - bias.mean(), best
+
+
+def _direct_grid(lp, y, k):
+    score = lambda b: _macro(list(y), list((lp + b).argmax(axis=1)), k)
+    bias, best = np.zeros(k), None
+    for _ in range(2):
+        improved = False
+        for c in range(k):
+            current = score(bias)
+            best = current if best is None else best
+            choice, top = bias[c], current
+            for v in bias_search.absolute_grid():
+                trial = bias.copy()
+                trial[c] = v
+                if score(trial) > top:
+                    choice, top = v, score(trial)
+            bias[c] = choice
+            if top > best:
+                best, improved = top, True
+        if not improved:
+            break
+    return bias, best
+
+
+def test_fits_equal_a_direct_search(spark):
     rng = np.random.default_rng(6)
-    p = rng.dirichlet([1.0] * 3, size=60)
-    y = rng.integers(0, 3, size=60)
-    df = spark.createDataFrame([([0], int(a), [float(math.log(v)) for v in b]) for a, b in zip(y, p)], "fit array<int>, y int, logp array<double>")
-    bias, score = bias_search.coordinate_fit(df, [0], 3, rounds=1)[0]
-    assert score >= _macro(list(y), list(p.argmax(axis=1)), 3) - 1e-12
-    assert sum(bias) == pytest.approx(0)
-    assert score == pytest.approx(_macro(list(y), list((np.log(p) + np.array(bias)).argmax(axis=1)), 3))
+    p = rng.dirichlet([1.0] * 3, size=70)
+    y, fold = rng.integers(0, 3, size=70), np.arange(70) % 2
+    rows = [([-1, 1 - int(f)], int(a), [float(math.log(v)) for v in b]) for a, b, f in zip(y, p, fold)]
+    df = spark.createDataFrame(rows, "fit array<int>, y int, logp array<double>")
+    got = bias_search.coordinate_fit(df, [-1, 0, 1], 3)
+    for fit in (-1, 0, 1):
+        part = np.ones(70, bool) if fit == -1 else fold != fit
+        bias, score = _direct_fit(np.log(p[part]), y[part], 3)
+        assert got[fit][0] == pytest.approx(list(bias)) and got[fit][1] == pytest.approx(score)
+    bias, score = bias_search.grid_search(df, 3)
+    want, top = _direct_grid(np.log(p), y, 3)
+    assert bias == pytest.approx(list(want)) and score == pytest.approx(top)
+
+
+def test_cross_fitted_bias_equals_a_direct_one(spark):
+    from sessionloom.plans.decision import cross_fit_bias
+
+    rng = np.random.default_rng(8)
+    n, k = 150, 3
+    y = rng.integers(0, k, size=n)
+    p = rng.dirichlet([1.0] * k, size=n) + 0.5 * np.eye(k)[y] * np.array([1.0, 0.6, 0.3])
+    p /= p.sum(axis=1, keepdims=True)
+    fold = np.arange(n) % 5
+    df = spark.createDataFrame([(int(f), int(a), [float(v) for v in b]) for f, a, b in zip(fold, y, p)], "fold int, y int, p array<double>")
+    table, final = cross_fit_bias(df, "p", k)
+    lp = np.log(np.clip(p, 1e-9, 1.0))
+    held = np.array([_direct_fit(lp[fold != f], y[fold != f], k)[0] for f in range(5)])[fold]
+    anchor, sweep = lp.argmax(axis=1), {}
+    for s in bias_search.SHRINKS:
+        pred = (lp + s * held).argmax(axis=1)
+        deltas = [_macro(list(y[fold == f]), list(pred[fold == f]), k) - _macro(list(y[fold == f]), list(anchor[fold == f]), k) for f in range(5)]
+        sweep[s] = {
+            "shrink": s, "delta_macro_f1": _macro(list(y), list(pred), k) - _macro(list(y), list(anchor), k),
+            "positive_folds": sum(d > 1e-12 for d in deltas), "mean_fold_delta": np.mean(deltas), "min_fold_delta": min(deltas),
+            "changed": int((pred != anchor).sum())}
+    for r in table.collect():
+        for c, v in sweep[r["shrink"]].items():
+            assert r[c] == pytest.approx(v, abs=1e-6)
+    chosen = bias_search.select_shrink(list(sweep.values()))["shrink"]
+    assert [r["shrink"] for r in table.where("selected").collect()] == [chosen]
+    assert final == pytest.approx(list(chosen * _direct_fit(lp, y, k)[0]))
 
 
 def test_folds_keep_sessions_whole_and_balanced(spark):

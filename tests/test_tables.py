@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sessionloom import catalog
 from sessionloom.catalog import oracle
 from sessionloom.plans import views as V
 from sessionloom.sources import derived, files
@@ -46,8 +47,9 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 
 def test_every_query_but_the_iterative_ones_has_sql():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"fn_sentence_count_protected", "bias_coordinate_fit", "bias_grid_search", "ml_logreg_oof", "oof_crossfit"}
+    queries, sql = catalog.load()
+    assert set(queries) - set(sql) == {
+        "bias_coordinate_fit", "bias_grid_search", "bias_cross_fit", "bias_final", "ml_logreg_oof", "oof_crossfit"}
 
 
 def test_byte_order_mark_and_label_check(spark, tmp_path):
@@ -97,3 +99,27 @@ def test_views_run_on_a_stream(spark, folder, tmp_path):
 
 def test_sql_literals_escape_quotes():
     assert oracle.q("it's") == "'it''s'"
+
+
+def test_a_long_conversation_stays_one_session(spark, tmp_path):
+    from sessionloom.operators import keys
+    from sessionloom.sources import derived
+
+    turns = [(7, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(400)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = derived.sessions(spark, str(tmp_path)).withColumn("root", keys.root_session(F.col("id"))).orderBy("row_no").collect()
+    assert len(rows) == 200 and len({r["root"] for r in rows}) == 1
+    assert [len(r["history"]) for r in rows] == [2 * i for i in range(200)]
+    assert [int(r["id"].rsplit("_", 1)[1]) for r in rows] == list(range(1, 201))
+    assert all(r["action"] is not None for r in rows)
+
+
+def test_first_action_reaches_back_beyond_the_tail(spark):
+    from sessionloom.operators import priors
+    from sessionloom.operators.ordered import with_ordered_history
+
+    rows = [("u", t, "start" if t == 0 else f"a{t}") for t in range(20)]
+    df = with_ordered_history(spark.createDataFrame(rows, "u string, t int, a string"), "u", ["t"], F.col("t"), "a", 16)
+    last = df.where("t = 19").select(priors.slot_keys(F.col("actions"), F.lit(20.0), F.col("first_action")).alias("s")).first()["s"]
+    found = {s["slot"]: s["key"] for s in last}
+    assert found["first"] == "first=start" and found["last2"] == "last2=a17>a18"
