@@ -24,11 +24,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.llm.common import connected, stage
 from sessionloom.llm.words import SPACED, mix, ngrams, word_slices
+from sessionloom.sources.staging import small
 
 # Cells of the count sketch (one byte each when sent to the tasks): about one for SKETCH_BYTES bytes of text, within bounds.
-SKETCH_BYTES, SKETCH_LEAST, SKETCH_MOST = 160, 2**16, 2**24
+SKETCH_BYTES, SKETCH_LEAST, SKETCH_MOST = 100, 2**16, 2**24
 # Sketches that are added up at once, and cells of a part.
 FAN, PART = 64, 2**16
+# Orders in which neighbours of a column are compared.
+ROUNDS = 2
+# Rows of a block of the product, and columns that are multiplied at once.
+BLOCK, STRIP = 128, 4096
 # Bits of the filter that tells which texts are read again.
 FILTER_BITS = 2**26
 
@@ -212,11 +217,12 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NEIGHBOUR_NAMES = ["s", "node", "n", "prev", "prev_n"]
 
 
-def with_neighbours(entries: DataFrame) -> DataFrame:
-    """Sorted ranges split a frequent column over several tasks."""
-    order = ["s", "n", "node"]
-    return entries.select("s", "node", "n").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        neighbours, "s long, node long, n long, prev long, prev_n long")
+def with_neighbours(entries: DataFrame, deal: int = 0) -> DataFrame:
+    """Entries in the order of their column, by size or shuffled by `deal`. Sorted ranges split a frequent column."""
+    within = F.col("n") if deal == 0 else F.xxhash64("node", F.lit(deal))
+    order = ["s", "_within", "node"]
+    return entries.select("s", "node", "n", within.alias("_within")).repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "s", "node", "n").mapInArrow(neighbours, "s long, node long, n long, prev long, prev_n long")
 
 
 def bitmap(rows: pd.DataFrame) -> pd.DataFrame:
@@ -256,6 +262,53 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def products(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the rows of two blocks, as a forest: enough to connect what the product connects."""
+    for batch in batches:
+        a, b = [], []
+        for r in batch.to_pylist():
+            same = r["p"] == r["q"]
+            nodes, rows = r["xn"] + ([] if same else r["yn"]), r["xr"] + ([] if same else r["yr"])
+            size, overlap = overlaps(rows, len(r["xn"]), same)
+            n, first = len(r["xn"]), (0 if same else len(r["xn"]))
+            union = size[:n, None] + size[None, first:] - overlap
+            x, y = np.nonzero((100 * overlap >= percent * union) & (overlap > 0))
+            root = list(range(len(nodes)))
+
+            def find(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, j in zip(x.tolist(), (y + first).tolist(), strict=True):
+                if find(i) != find(j):
+                    root[find(i)] = find(j)
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def overlaps(rows: list[bytes], n: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(set sizes, overlap counts) of the first n rows with the others (with themselves if `same`), strip by strip."""
+    sets = [np.frombuffer(r, np.int64) for r in rows]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = 0 if same else n
+    total = np.zeros((n, len(sets) - first), dtype=np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+        at = slice(*np.searchsorted(column, [low, low + STRIP]))
+        strip = np.zeros((len(sets), STRIP), dtype=np.float32)
+        strip[owner[at], column[at] - low] = 1
+        total += np.rint(strip[:n] @ strip[first:].T).astype(np.int64)
+    return size, total
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -281,7 +334,7 @@ def jaccard_components(
     # Rows that share so many prefix columns with others that a link is possible.
     least = more(F.ceil(F.col("n") * percent / 100), percent)
     possible = columns.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("node")
-    columns = stage(with_neighbours(columns.join(possible, "node", "left_semi")), "possible")
+    columns = stage(columns.join(possible, "node", "left_semi"), "possible")
 
     def bound(a: str, b: str) -> Column:
         """Prefix columns that two linked rows of these sizes share at least."""
@@ -295,26 +348,53 @@ def jaccard_components(
     sets = _sets(docs, nodes, members, k, rank, id_col, text_col)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (a, b), by their whole sets."""
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("columns").alias("x")), "a")
-        met = met.join(sets.select(F.col("node").alias("b"), F.col("columns").alias("y")), "b")
+        """Links among candidate pairs (a, b), by their whole sets. Only sets that a pair names travel."""
+        pairs = small(stage(pairs, "pairs"))
+        firsts = sets.select(F.col("node").alias("a"), F.col("columns").alias("x")).join(pairs, "a")
+        named = small(stage(pairs.select("b").distinct(), "named"))
+        seconds = sets.select(F.col("node").alias("b"), F.col("columns").alias("y")).join(named, "b", "left_semi")
+        met = firsts.join(seconds, "b")
         return stage(met.select("a", "b", "x", "y").mapInArrow(lambda b: linked(b, percent), "a long, b long"), "linked")
 
-    # Neighbours in a column first. A pair seen in few columns for its bound waits for the second step.
-    near = (
-        columns.where(F.col("prev").isNotNull() & fits).groupBy(F.col("prev").alias("a"), F.col("node").alias("b"), "n", "prev_n")
-        .agg(F.count("*").alias("c")).where(F.col("c") * 4 >= bound("n", "prev_n")).select("a", "b"))
-    links = verified(near)
-    roots = stage(connected(links), "roots")
-    labelled = stage(
-        columns.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
-    mixed = labelled.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    open_columns = labelled.join(mixed, "s", "left_semi")
-    x = open_columns.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_columns.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    # Neighbours in a column first, in several orders, while that finds links: this joins large groups of copies with
+    # few comparisons. A pair seen in few columns for its bound waits for the last step. Columns whose rows
+    # are all connected are done.
+    open_columns, links, roots = columns.select("s", "node", "n", F.col("node").alias("root")), None, None
+    for deal in range(ROUNDS):
+        near = with_neighbours(open_columns, deal).where(F.col("prev").isNotNull() & fits).groupBy(
+            F.col("prev").alias("a"), F.col("node").alias("b"), "n", "prev_n").agg(F.count("*").alias("c")).where(
+            F.col("c") * 4 >= bound("n", "prev_n")).select("a", "b")
+        if roots is not None:
+            near = _apart(near, roots)
+        found = verified(near)
+        links = found if links is None else links.union(found)
+        if deal and not found.limit(1).count():
+            break
+        roots = stage(connected(links), "roots")
+        labelled = stage(columns.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
+        mixed = labelled.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+        open_columns = stage(labelled.join(mixed, "s", "left_semi"), "open")
+    # Rows with the same first open column form a block (several, if they are many): mostly copies of one text.
+    homes = stage(open_columns.groupBy("node").agg(F.min("s").alias("home")), "homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = stage(homes.join(parts, "home").select(
+        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
+    entries = stage(open_columns.join(blocks, "node"), "entries")
+    x = entries.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("block").alias("p"))
+    y = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("block").alias("q"))
     met = x.join(y, "s").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    across = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= bound("na", "nb")).select("a", "b")
-    roots = stage(connected(links.union(verified(across))), "roots")
+    enough = met.groupBy("a", "b", "na", "nb", "p", "q").agg(F.count("*").alias("c")).where(F.col("c") >= bound("na", "nb"))
+    meetings = stage(enough.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "meetings")
+    named = meetings.select(F.col("p").alias("block")).union(meetings.select("q")).distinct()
+    packed = stage(
+        sets.join(blocks.join(named, "block", "left_semi"), "node").groupBy("block")
+        .agg(F.collect_list("node").alias("nodes"), F.collect_list("columns").alias("rows")), "packed")
+    left = packed.select(F.col("block").alias("p"), F.col("nodes").alias("xn"), F.col("rows").alias("xr"))
+    right = packed.select(F.col("block").alias("q"), F.col("nodes").alias("yn"), F.col("rows").alias("yr"))
+    across = stage(
+        meetings.join(left, "p").join(right, "q").select("p", "q", "xn", "xr", "yn", "yr")
+        .mapInArrow(lambda b: products(b, percent), "a long, b long"), "across")
+    roots = stage(connected(links.union(across)), "roots")
     low = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = stage(low.groupBy("root").agg(F.min("low").alias("component_id")), "components")
     named = low.select("node", "n", "root").join(names, "root").select("node", "n", "component_id")
@@ -323,6 +403,13 @@ def jaccard_components(
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are not yet in one component."""
+    ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, rank, id_col: str, text_col: str) -> DataFrame:
     """(node, columns) of the member rows. Texts are read again behind a bit filter of fixed size, not shuffled."""
     spark = docs.sparkSession
