@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A broadcast side may hold at most this many rows (a few hundred bytes each).
+# A broadcast side may hold at most this many rows and bytes of Parquet.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 # Folders made for local sessions that name none.
 _local_folders: dict[str, str] = {}
@@ -26,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="sessionloom-")
+        # Staged tables of a local session go with its process.
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 
@@ -41,11 +46,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a staged table when its counted size allows it, else leave the join to Spark.
+def table_bytes(staged: DataFrame) -> int:
+    """Size of a staged table's files, from the statistics of its scan."""
+    return int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(staged: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a staged table when its counted rows and bytes allow it, else leave the join to Spark.
 
     The count reads Parquet footers only, since the table was staged before.
     """
-    if staged.count() <= rows:
+    if table_bytes(staged) <= size and staged.count() <= rows:
         return F.broadcast(staged)
     return staged
