@@ -18,6 +18,21 @@ from sessionloom.sources.staging import small, stage
 HEAVY_ROWS = 1_000_000
 
 
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """0-based position of each row in the given order, without gathering the rows in one task.
+
+    Rows are dealt into sorted ranges; only the number of rows in each range is summed up in one place.
+    """
+    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    staged = stage(ranges, "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy("_range").agg(F.count("*").alias("_rows")).select(
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_range").orderBy(*order)
+    placed = staged.withColumn("_place", F.row_number().over(inner) - 1).join(F.broadcast(offsets), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def last_items(values: Column, k: int) -> Column:
     """The last k array elements (slice with a negative start loses short arrays)."""
     return F.slice(values, F.greatest(F.size(values) - k, F.lit(0)) + 1, F.lit(k))

@@ -252,5 +252,10 @@ def test_preset_features_cover_every_row(spark, folder, preset):
 
     rows = _labelled(spark, folder)
     long = crossfit.features(rows, crossfit.PRESETS[preset], FOLDS, LABELS)
-    matrix, size = crossfit.vectors(long)
+    found, size = crossfit.cells(long)
+    matrix = crossfit.sparse(rows.select("id").join(found, "id", "left"), "cells", size)
     assert size > 50 and matrix.count() == rows.count()
+    want = {r["id"]: [(c["slot"], c["value"]) for c in r["cells"]] for r in found.collect()}
+    for r in matrix.limit(20).collect():
+        assert r["features"].size == size
+        assert list(zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)) == want.get(r["id"], [])
