@@ -31,7 +31,7 @@ SKETCH_BYTES, SKETCH_LEAST, SKETCH_MOST = 100, 2**16, 2**24
 # Sketches that are added up at once, and cells of a part.
 FAN, PART = 64, 2**16
 # Orders in which neighbours of a column are compared.
-ROUNDS = 2
+ROUNDS = 1
 # Rows of a block of the product, and columns that are multiplied at once.
 BLOCK, STRIP = 128, 4096
 # Bits of the filter that tells which texts are read again.
@@ -363,7 +363,7 @@ def jaccard_components(
     for deal in range(ROUNDS):
         near = with_neighbours(open_columns, deal).where(F.col("prev").isNotNull() & fits).groupBy(
             F.col("prev").alias("a"), F.col("node").alias("b"), "n", "prev_n").agg(F.count("*").alias("c")).where(
-            F.col("c") * 4 >= bound("n", "prev_n")).select("a", "b")
+            F.col("c") * 2 >= bound("n", "prev_n")).select("a", "b")
         if roots is not None:
             near = _apart(near, roots)
         found = verified(near)
@@ -376,18 +376,30 @@ def jaccard_components(
         open_columns = stage(labelled.join(mixed, "s", "left_semi"), "open")
     # Rows with the same first open column form a block (several, if they are many): mostly copies of one text.
     homes = stage(open_columns.groupBy("node").agg(F.min("s").alias("home")), "homes")
-    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    parts = homes.groupBy("home").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = stage(homes.join(parts, "home").select(
-        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
-    entries = stage(open_columns.join(blocks, "node"), "entries")
-    x = entries.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("block").alias("p"))
-    y = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("block").alias("q"))
-    met = x.join(y, "s").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    enough = met.groupBy("a", "b", "na", "nb", "p", "q").agg(F.count("*").alias("c")).where(F.col("c") >= bound("na", "nb"))
-    meetings = stage(enough.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "meetings")
+        "node", (F.col("size") / F.col("parts")).alias("size"), F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
+    # Blocks meet where they share at least as many columns as any of their rows has to share with a partner, sizes allow a
+    # link, and not all rows are in one component yet.
+    cells = stage(open_columns.join(small(blocks), "node").groupBy("s", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"),
+        F.min(least).alias("k"), F.max("size").alias("size")), "cells")
+    x = cells.select("s", *[F.col(c).alias(f"x_{c}") for c in cells.columns[1:]])
+    y = cells.select("s", *[F.col(c).alias(f"y_{c}") for c in cells.columns[1:]])
+    sized = (F.col("x_high") * 100 >= F.col("y_low") * percent) & (F.col("y_high") * 100 >= F.col("x_low") * percent)
+    one = (F.col("x_r1") == F.col("x_r2")) & (F.col("y_r1") == F.col("y_r2")) & (F.col("x_r1") == F.col("y_r1"))
+    met = x.join(y, "s").where((F.col("x_block") <= F.col("y_block")) & sized & ~one)
+    # The smaller block travels to the larger one.
+    smaller = F.col("x_size") <= F.col("y_size")
+    enough = met.groupBy(
+        F.when(smaller, F.col("x_block")).otherwise(F.col("y_block")).alias("p"),
+        F.when(smaller, F.col("y_block")).otherwise(F.col("x_block")).alias("q")).agg(
+        F.count("*").alias("c"), F.min(F.least("x_k", "y_k")).alias("k")).where("c >= k")
+    meetings = stage(enough.select("p", "q"), "meetings")
     named = meetings.select(F.col("p").alias("block")).union(meetings.select("q")).distinct()
+    members = small(stage(blocks.join(named, "block", "left_semi"), "members"))
     packed = stage(
-        sets.join(blocks.join(named, "block", "left_semi"), "node").groupBy("block")
+        sets.join(members.select("node", "block"), "node").groupBy("block")
         .agg(F.collect_list("node").alias("nodes"), F.collect_list("columns").alias("rows")), "packed")
     left = packed.select(F.col("block").alias("p"), F.col("nodes").alias("xn"), F.col("rows").alias("xr"))
     right = packed.select(F.col("block").alias("q"), F.col("nodes").alias("yn"), F.col("rows").alias("yr"))
@@ -423,6 +435,5 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, rank, i
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("_id"), text_col).withColumn("spot", spot)
     found = read.mapInArrow(lambda b: whole_sets(b, k, rank, sent), f"_id {kind}, n long, node long, columns binary")
-    # Copies and texts that the filter lets through by chance fall out here.
-    same = F.col("f._id").eqNullSafe(F.col("w._id")) & (F.col("f.n") == F.col("w.n")) & (F.col("f.node") == F.col("w.node"))
-    return stage(found.alias("f").join(wanted.alias("w"), same).select("w.node", "columns"), "sets")
+    # Texts that the filter lets through by chance are named by no pair and fall out in the joins to come.
+    return stage(found.select("node", "columns"), "sets")
