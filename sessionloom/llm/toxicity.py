@@ -1,14 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over an inverted index.
 
-Terms are words and word beginnings of 4 and 5 bytes, kept where a bounded sample of labelled rows ties them to the
-label. Labelled examples with equal vectors are one point with its tally. A text's nearest points vote, weighed by
-similarity and tally; a logistic curve fitted on left-out votes turns votes into probabilities.
+Terms are all words and word beginnings of 4 and 5 bytes of a bounded sample of labelled rows, none is cut. A term's
+inverse document frequency is multiplied by how far the sample ties the term to the label, so that terms that say
+nothing weigh little. Labelled examples with equal vectors are one point with its tally. A text's nearest points vote,
+weighed by similarity and tally; a logistic curve fitted on left-out votes turns votes into probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,15 @@ from sessionloom.llm.words import ALNUM, Words, mix, prefix_hashes, word_slices
 
 # Labelled rows that examples and terms are learned from, drawn by a hash of their id.
 EXAMPLES = 20_000
-# Terms of the model, their least number of labelled texts, and how far (in standard deviations) the
-# label's share among them is from its share in all.
-TERMS, LEAST, FAR = 4096, 4, 6.0
+# Weight of a term whose label share is that of all texts; a standard deviation from it adds 1.
+NEUTRAL = 0.1
 # Points that vote, and what an unsure vote leans on the base rate with.
 NEIGHBOURS, LEAN = 16, 1.0
-BLOCK = 64
+# Most frequent terms, multiplied as a dense matrix for so many texts together; postings of the others added up before
+# the first test whether the nearest points are settled; points scored in full then.
+HEAD, TOGETHER, FIRST, FULL = 1024, 64, 1 << 16, 64
+# Error that sums in single precision may have.
+SLACK = 1e-4
 
 PREFIXES = (4, 5)
 
@@ -64,86 +69,151 @@ def term_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Sorted term hashes, with a coarse table that turns most other words away."""
+    """Sorted term hashes, with the first place of each range of leading bits."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.coarse = np.zeros(2**20, dtype=bool)
-        self.coarse[(terms >> np.uint64(44)).astype(np.int64)] = True
+        bits = min(22, max(8, len(terms).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        lead = (terms >> self.shift).astype(np.int64)
+        self.starts = np.searchsorted(lead, np.arange(2**bits + 1))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is no term."""
+        lead = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.terms[at[live]] == hashes[live]
+            out[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(terms, counts) of each text: places in the vocabulary, ascending, and how often each occurs."""
-        last = max(0, len(self.terms) - 1)
         for lo, hi, words in word_slices(texts, ALNUM):
-            who, what = [], []
+            owner = np.repeat(np.arange(hi - lo), np.diff(words.offsets))
+            pairs = []
             for h in terms_of(words):
-                near = np.flatnonzero(self.coarse[(h >> np.uint64(44)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.terms, h[near]), last)
-                good = self.terms[at] == h[near] if len(self.terms) else np.zeros(len(near), bool)
-                near, at = near[good], at[good]
-                who.append(np.searchsorted(words.offsets, near, side="right") - 1)
-                what.append(at)
-            pair, n = np.unique(np.concatenate(who) * np.int64(2**20) + np.concatenate(what), return_counts=True)
-            bounds = np.searchsorted(pair >> 20, np.arange(hi - lo + 1))
+                at = self.places(h)
+                good = at >= 0
+                pairs.append((owner[good] << 32) + at[good])
+            pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+            bounds = np.searchsorted(pair >> 32, np.arange(hi - lo + 1))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield pair[a:b] & (2**20 - 1), n[a:b]
+                yield pair[a:b] & (2**32 - 1), n[a:b]
+
+
+def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[i], .., begin[i] + length[i] - 1 of each i, one after the other."""
+    ahead = np.cumsum(length) - length
+    return np.arange(length.sum()) + np.repeat(begin - ahead, length)
 
 
 @dataclass
 class Index:
-    """Points (distinct example vectors) in blocks of 64, with each term's largest weight in every block."""
+    """Points (distinct example vectors) by row, and each term's points."""
 
-    idf: np.ndarray
+    idf: np.ndarray  # weight of each term
     row: np.ndarray  # bounds of each point's entries
     term: np.ndarray
     weight: np.ndarray
     n: np.ndarray
     pos: np.ndarray
     example: np.ndarray  # an id for each point, as evidence
-    best: np.ndarray  # terms x blocks
+    postings: np.ndarray  # bounds of each term's points
+    point: np.ndarray
+    posted: np.ndarray  # weights, in the order of `point`
+    most: np.ndarray  # each term's largest weight
 
     @classmethod
     def build(cls, points: pd.DataFrame, idf: np.ndarray) -> Index:
-        """Points sorted by their own terms, so that blocks hold like vectors."""
-        points = points.assign(key=[tuple(t) + tuple(c) for t, c in zip(points["terms"], points["counts"], strict=True)])
-        points = points.sort_values("key", ignore_index=True)
-        vectors = [unit(np.asarray(t), np.asarray(c), idf) for t, c in zip(points["terms"], points["counts"], strict=True)]
+        """Points in the order of their examples."""
+        points = points.sort_values("example", ignore_index=True, kind="stable")
+        vectors = [
+            unit(np.asarray(t), np.asarray(c), idf).astype(np.float32)
+            for t, c in zip(points["terms"], points["counts"], strict=True)]
         length = np.array([len(v) for v in vectors], dtype=np.int64)
         row = np.concatenate(([0], np.cumsum(length)))
-        term = np.concatenate([np.asarray(t, dtype=np.int64) for t in points["terms"]]) if len(points) else np.zeros(0, np.int64)
-        weight = np.concatenate(vectors) if len(points) else np.zeros(0)
-        blocks = -(-len(points) // BLOCK)
-        best = np.zeros((len(idf), blocks))
-        owner = np.repeat(np.arange(len(points)), length) // BLOCK
-        np.maximum.at(best, (term, owner), weight)
+        term = np.concatenate([np.asarray(t, dtype=np.int32) for t in points["terms"]]) if len(points) else np.zeros(0, np.int32)
+        weight = np.concatenate(vectors) if len(points) else np.zeros(0, np.float32)
+        order = np.argsort(term, kind="stable")
+        postings = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        point = np.repeat(np.arange(len(points), dtype=np.int32), length)[order]
+        most = np.zeros(len(idf))
+        np.maximum.at(most, term, weight)
         column = lambda c: points[c].to_numpy(dtype=np.int64) if len(points) else np.zeros(0, np.int64)
-        return cls(idf, row, term, weight, column("n"), column("pos"), column("example"), best)
+        return cls(idf, row, term, weight, column("n"), column("pos"), column("example"), postings, point, weight[order], most)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(points, cosines) of the k nearest, by cosine, then by the points' order; only cosines above 0.
-
-        Blocks are opened in the order of their bound until the next bound is below the k-th cosine.
-        """
+        """(points, cosines) of the k nearest, by cosine, then by the points' order; only cosines above 0."""
         return self.nearest_weighted(terms, unit(terms, counts, self.idf), k)
 
     def nearest_weighted(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        q = np.zeros(len(self.idf))
-        q[terms] = weights
-        limit = weights @ self.best[terms] if len(terms) else np.zeros(self.best.shape[1])
-        order = np.argsort(-limit, kind="stable")
-        order = order[limit[order] > 0]
-        points, scores, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while opened < len(order):
-            if len(scores) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                if limit[order[opened]] < kth - 1e-12:
-                    break
-            for b in order[opened : opened + step]:
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.n))
-                begin, end = self.row[lo], self.row[hi]
-                part = np.add.reduceat(self.weight[begin:end] * q[self.term[begin:end]], self.row[lo:hi] - begin)
-                points, scores = np.append(points, np.arange(lo, hi)), np.append(scores, part)
-            opened, step = opened + step, step * 2
+        return self.nearest_many([(terms, weights)], k)[0]
+
+    def head(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the dense matrix (-1: none), and the matrix (terms x points) of the most frequent ones."""
+        if "_head" not in self.__dict__:
+            often = np.argsort(-np.diff(self.postings), kind="stable")[:HEAD]
+            place = np.full(len(self.idf), -1, dtype=np.int64)
+            place[often] = np.arange(len(often))
+            dense = np.zeros((len(often), len(self.n)), dtype=np.float32)
+            for i, t in enumerate(often):
+                own = slice(self.postings[t], self.postings[t + 1])
+                dense[i, self.point[own]] = self.posted[own]
+            self._head = place, dense
+        return self._head
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest_weighted` of each query."""
+        place, dense = self.head()
+        share = np.zeros((len(queries), len(dense)), dtype=np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            at = place[terms]
+            share[i, at[at >= 0]] = weights[at >= 0]
+        begun = share @ dense
+        return [self.settled(t, w, k, begun[i].astype(float), place[t] < 0) for i, (t, w) in enumerate(queries)]
+
+    def settled(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, scores: np.ndarray, left: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the postings of the `left` terms to the scores, those that can add most first.
+
+        What the terms not yet read can add to any point is bounded by their largest weights and by their length in
+        the query. Reading ends once few points can still be among the k nearest; these are scored in full.
+        """
+        if not len(terms) or not len(scores):
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, w = terms[left], weights[left].astype(float)
+        gain = w * self.most[t]
+        order = np.argsort(-gain, kind="stable")
+        t, w, gain = t[order], w[order], gain[order]
+        rest = np.append(np.minimum(np.cumsum(gain[::-1]), np.sqrt(np.cumsum((w * w)[::-1])))[::-1], 0.0)
+        begin, end = self.postings[t], self.postings[t + 1]
+        length = end - begin
+        ends, last, done, step = np.cumsum(length), max(0, len(scores) - k), 0, FIRST
+        while True:
+            least = np.partition(scores, last)[last] - rest[done] - SLACK
+            if done == len(t) or (least > 0 and np.count_nonzero(scores >= least) <= max(FULL, 2 * k)):
+                break
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, side="right")))
+            own = [slice(a, b) for a, b in zip(begin[done:upto].tolist(), end[done:upto].tolist(), strict=True)]
+            add = np.concatenate([self.posted[x] for x in own]) * np.repeat(w[done:upto], length[done:upto])
+            scores += np.bincount(np.concatenate([self.point[x] for x in own]), add, minlength=len(scores))
+            done, step = upto, step * 2
+        points = np.flatnonzero((scores >= least) & (scores > 0))
+        length = self.row[points + 1] - self.row[points]
+        at = ranges(self.row[points], length)
+        if "_query" not in self.__dict__:
+            self._query = np.zeros(len(self.idf))
+        self._query[terms] = weights
+        part = self._query[self.term[at]] * self.weight[at]
+        self._query[terms] = 0.0
+        scores = np.bincount(np.repeat(np.arange(len(points)), length), part, minlength=len(points))
         # Sums of equal vectors may differ in their last bits.
         chosen = np.lexsort((points, -np.round(scores, 12)))[:k]
         chosen = chosen[scores[chosen] > 1e-12]
@@ -197,7 +267,7 @@ def taught(id_: Column) -> Column:
 
 @dataclass
 class Model:
-    """All that scoring needs; its size is bounded by EXAMPLES and TERMS."""
+    """All that scoring needs; its size is that of the texts of about EXAMPLES labelled rows."""
 
     vocabulary: Vocabulary
     index: Index
@@ -210,16 +280,15 @@ class Model:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.offset))))
 
-    def judge(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        """Score of a vector and its voters."""
-        near, cos = self.index.nearest(terms, counts, NEIGHBOURS) if len(terms) else ([], [])
-        if not len(near):
-            return self.calibrated(self.bare), []
-        at = self.index
-        voters = [
-            {"example": int(at.example[p]), "similarity": float(s), "texts": int(at.n[p]), "marked": int(at.pos[p])}
-            for p, s in zip(near, cos, strict=True)]
-        return self.calibrated(at.vote(near, cos, self.base)), voters
+    def judge(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[dict]]]:
+        """Score of each vector and its voters."""
+        at, out = self.index, []
+        for near, cos in at.nearest_many([(t, unit(t, c, at.idf)) for t, c in vectors], NEIGHBOURS):
+            voters = [
+                {"example": int(at.example[p]), "similarity": float(s), "texts": int(at.n[p]), "marked": int(at.pos[p])}
+                for p, s in zip(near, cos, strict=True)]
+            out.append((self.calibrated(at.vote(near, cos, self.base) if voters else self.bare), voters))
+        return out
 
 
 def train(
@@ -246,10 +315,11 @@ def train(
     base = (pos + 0.5) / (n + 1)
     z = F.abs(F.col("pos") / F.col("n") - base) * F.sqrt("n") / np.sqrt(base * (1 - base))
     tallies = sampled.select("_text", "_mark").mapInArrow(term_tallies, "term long, n long, pos long")
-    kept = (
-        tallies.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST)
-        .select("term", z.alias("z")).where(F.col("z") >= FAR).orderBy(F.desc("z"), "term").limit(TERMS).toPandas())
-    vocabulary = Vocabulary(np.sort(kept["term"].to_numpy(dtype=np.int64).view(np.uint64)))
+    held = (
+        tallies.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).select("term", z.alias("z")).toPandas())
+    terms = held["term"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    vocabulary, tied = Vocabulary(terms[order]), held["z"].to_numpy(dtype=float)[order]
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +340,21 @@ def train(
             total = r["n"]
         else:
             idf[r["t"]] = r["n"]
-    idf = np.log((1 + total) / (1 + idf)) + 1
+    idf = (np.log((1 + total) / (1 + idf)) + 1) * (NEUTRAL + tied)
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(sent.value.vectors(batch.column(1)))
+            pairs = [[x.astype(np.int32).tobytes() for x in p] for p in sent.value.vectors(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array([p[i].tolist() for p in pairs], pa.list_(pa.int64())) for i in (0, 1))],
+                [batch.column(0), batch.column(2), *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))],
                 names=["_id", "_mark", "terms", "counts"])
 
     points = (
         sampled.select(F.col("_id").cast("long").alias("_id"), "_text", "_mark")
-        .mapInArrow(to_vectors, "_id long, _mark int, terms array<long>, counts array<long>").groupBy("terms", "counts")
+        .mapInArrow(to_vectors, "_id long, _mark int, terms binary, counts binary").groupBy("terms", "counts")
         .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toPandas())
+    for c in ("terms", "counts"):
+        points[c] = pd.Series([np.frombuffer(b, dtype=np.int32) for b in points[c]], index=points.index, dtype=object)
     empty = np.array([len(t) == 0 for t in points["terms"]], dtype=bool)
     bare, index = points[empty], Index.build(points[~empty], idf)
     bare_rate = (float(bare["pos"].sum()) + LEAN * base) / (float(bare["n"].sum()) + LEAN)
@@ -292,13 +364,15 @@ def train(
         """Votes on each point's texts, one of them left out."""
         at = with_index.value
         for batch in batches:
-            rows = []
-            for i in batch["id"]:
-                own = slice(at.row[i], at.row[i + 1])
-                near, cos = at.nearest_weighted(at.term[own], at.weight[own], NEIGHBOURS)
-                for mark, count in ((1, at.pos[i]), (0, at.n[i] - at.pos[i])):
-                    if count:
-                        rows.append((at.vote(near, cos, base, (i, 1, mark)), mark, int(count)))
+            rows, ids = [], batch["id"].to_numpy()
+            for lo in range(0, len(ids), TOGETHER):
+                some = ids[lo : lo + TOGETHER]
+                own = [slice(at.row[i], at.row[i + 1]) for i in some]
+                found = at.nearest_many([(at.term[x], at.weight[x]) for x in own], NEIGHBOURS)
+                for i, (near, cos) in zip(some, found, strict=True):
+                    for mark, count in ((1, at.pos[i]), (0, at.n[i] - at.pos[i])):
+                        if count:
+                            rows.append((at.vote(near, cos, base, (i, 1, mark)), mark, int(count)))
             yield pd.DataFrame(rows, columns=["vote", "mark", "n"])
 
     held = spark.range(len(index.n)).mapInPandas(left_out, "vote double, mark int, n long").toPandas()
@@ -320,12 +394,17 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "t
 
     @F.arrow_udf("score double, evidence array<struct<example:long,similarity:double,texts:long,marked:long>>")
     def judge(texts: pa.Array) -> pa.Array:
-        known, out = {}, []
+        known, keys, waiting = {}, [], {}
         for terms, counts in sent.value.vocabulary.vectors(texts):
-            key = terms.tobytes() + counts.tobytes()
-            if key not in known:
-                known[key] = sent.value.judge(terms, counts)
-            out.append(known[key])
+            keys.append(blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
+            if keys[-1] not in known:
+                waiting[keys[-1]] = (terms, counts)
+            if len(waiting) == TOGETHER:
+                known |= zip(waiting, sent.value.judge(list(waiting.values())), strict=True)
+                waiting = {}
+        if waiting:
+            known |= zip(waiting, sent.value.judge(list(waiting.values())), strict=True)
+        out = [known[k] for k in keys]
         return pa.StructArray.from_arrays(
             [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], voter)], names=["score", "evidence"])
 

@@ -78,3 +78,31 @@ def test_awkward_rows(spark):
     alone = toxicity(frame(spark), labels.limit(0)).toPandas()
     assert len(alone) == len(TEXTS) and alone["score"].nunique() == 1
     assert toxicity(frame(spark, []), labels).count() == 0
+
+
+def test_rare_terms_and_few_labels_have_neighbours(spark):
+    """Terms of one or two labelled texts count, and texts without a telling word have neighbours too."""
+    from sessionloom.llm.toxicity import toxicity
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    docs = [(i, " ".join([*rng.choice(words, 12), *(["zvilexq"] if i in (0, 7) else [])])) for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i in (0, 7))) for i in range(30)], "doc_id long, toxic int")
+    asked = [(100, "zvilexq"), (101, " ".join(words[:8]))]
+    out = {r["doc_id"]: r for r in toxicity(frame(spark, docs + asked), labels).collect()}
+    assert {v["example"] for v in out[100]["evidence"]} == {0, 7} and len(out[101]["evidence"]) == 16
+    assert out[100]["score"] > out[101]["score"]
+
+
+def test_search_settles_early_with_the_same_points(monkeypatch):
+    from sessionloom.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    idf = rng.uniform(0.1, 9, 300) ** 2
+    index = toxicity.Index.build(points(rng, 3000, 300), idf)
+    asked = [np.sort(rng.choice(300, size=8, replace=False)) for _ in range(50)]
+    whole = [index.nearest(t, np.ones(8, int), 16) for t in asked]
+    monkeypatch.setattr(toxicity, "FIRST", 8)
+    for t, (near, cos) in zip(asked, whole, strict=True):
+        again = index.nearest(t, np.ones(8, int), 16)
+        assert again[0].tolist() == near.tolist() and again[1] == pytest.approx(cos)
