@@ -2,12 +2,14 @@
 
 Everything is a DataFrame expression. Well-formed identifiers and key-like strings are the seeds. The words and
 signs around each occurrence are lexical patterns; patterns and instances (distinct strings) form a graph whose
-confidences are computed in rounds: a pattern is as sure as its instances are on average, an instance as sure as its
-best pattern. Occurrences of any string within a sure pattern are reported.
+confidences are computed in rounds until none changes: a pattern is as sure as its instances are on average, an instance
+as sure as its best pattern. Occurrences of any string within a sure pattern are reported.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.llm.common import stage, with_uid
@@ -31,8 +33,10 @@ KEYED = r"^[\p{L}_.-]{2,24}[=:]+(?=.)"
 
 # Shortest string that context can find, characters of context on each side.
 SHORTEST, AROUND = 6, 48
-# Rounds, distinct seeds that a pattern needs, confidence that makes a pattern or an instance count.
-ROUNDS, SUPPORT, SURE = 3, 3, 0.8
+# Distinct sure instances that a pattern needs, confidence that makes a pattern or an instance count.
+SUPPORT, SURE = 3, 0.8
+# Rounds end when no pattern's confidence moves by more than this; a warning is given if they have not after ROUNDS.
+SETTLED, ROUNDS = 1e-10, 100
 # Unseen instances that a pattern is doubted with.
 DOUBT = 0.5
 
@@ -126,29 +130,36 @@ def patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) of the sure patterns, from (pattern, instance, kind); kind is null but for seeds.
 
     Distinct edges are weighed, so copies of a text do not vote. Each round is two aggregates and two joins
-    over the edges; edges of patterns without enough seeds of a kind are left out at the start.
+    over the edges, with all instances learned so far as voters. Only patterns with too few instances of any kind,
+    seeds or not, are left out at the start: they can never count.
     """
-    distinct = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    enough = distinct.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(
-        F.col("seeds") >= SUPPORT).select("pattern").distinct()
-    graph = stage(distinct.join(enough, "pattern", "left_semi"), "graph")
-    size = graph.groupBy("pattern").agg(F.count("*").alias("n"))
+    distinct = stage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    size = stage(distinct.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "sizes")
+    graph = stage(distinct.join(size, "pattern", "left_semi"), "graph")
     seeds = graph.where("kind is not null").select("pattern", "instance", "kind").withColumn("confidence", F.lit(1.0))
     unknown = graph.where("kind is null").select("pattern", "instance")
     voters, sure = seeds, None
-    for i in range(rounds):
+    for _ in range(rounds):
         held = voters.groupBy("pattern", "kind").agg(
             F.sum("confidence").alias("mass"), F.count(F.when(F.col("confidence") >= SURE, 1)).alias("support"))
-        sure = (
+        before, sure = sure, (
             held.where(F.col("support") >= SUPPORT).join(size, "pattern")
             .withColumn("confidence", F.col("mass") / (F.col("n") + DOUBT)).where(F.col("confidence") >= SURE)
             .groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
             .select("pattern", "best.kind", "best.confidence"))
         sure = stage(sure, "patterns")
-        if i + 1 < rounds:
-            learned = unknown.join(sure, "pattern").groupBy("instance").agg(
-                F.max(F.struct("confidence", "kind")).alias("best"))
-            voters = seeds.union(unknown.join(learned, "instance").select("pattern", "instance", "best.kind", "best.confidence"))
+        if before is None:
+            moved = sure
+        else:
+            old = before.select("pattern", F.col("kind").alias("_kind"), F.col("confidence").alias("_confidence"))
+            same = F.col("kind").eqNullSafe(F.col("_kind")) & (F.abs(F.col("confidence") - F.col("_confidence")) <= SETTLED)
+            moved = sure.join(old, "pattern", "full").where(~F.coalesce(same, F.lit(False)))
+        if not moved.limit(1).count():
+            break
+        learned = unknown.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+        voters = seeds.union(unknown.join(learned, "instance").select("pattern", "instance", "best.kind", "best.confidence"))
+    else:
+        warnings.warn(f"patterns still change after {rounds} rounds", stacklevel=2)
     return sure
 
 

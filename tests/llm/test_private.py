@@ -119,3 +119,20 @@ def test_confidences_against_a_plain_graph(spark):
         assert got == {p: (k, round(c, 9)) for p, (c, k) in sure.items()} and got
     finally:
         private.SURE = old
+
+
+def test_learned_instances_induce_new_patterns_until_nothing_changes(spark):
+    """A chain: p0 has the seeds, each next pattern only instances that the one before teaches."""
+    from sessionloom.llm import private
+
+    rows = [("p0", i, "email") for i in range(60)]
+    for k in range(5):
+        rows += [(f"p{k}", 100 + 10 * k + j, None) for j in range(3)] + [(f"p{k + 1}", 100 + 10 * k + j, None) for j in range(3)]
+    rows += [("q", 200 + j, None) for j in range(9)] + [("q", 100, None)]
+    old, private.SURE, private.DOUBT = (private.SURE, private.DOUBT), 0.4, 0.1
+    try:
+        got = {r["pattern"]: r["kind"] for r in private.patterns(
+            spark.createDataFrame(rows, "pattern string, instance long, kind string")).collect()}
+    finally:
+        private.SURE, private.DOUBT = old
+    assert got == {f"p{k}": "email" for k in range(6)}
