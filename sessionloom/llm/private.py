@@ -25,14 +25,18 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9][0-9 -]*[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-# Strings that may be identifiers: a run without space or quotes that holds a digit.
-TOKEN = r"(?<![^\s\"'<>,;()\[\]])[^\s\"'<>,;()\[\]0-9]*+[0-9][^\s\"'<>,;()\[\]]*+"
+# Strings that may be identifiers: groups of digits or of an IBAN with single spaces (the first may be in brackets),
+# or a run without space or quotes that holds a digit.
+ENDED = r"(?=[\s\"'<>,;()\[\].:!?]|$)"
+DIGITS = r"[0-9]++(?:[./-][0-9]++)*+"
+GROUPS = rf"(?:\([0-9]++\)|{DIGITS})(?:[ ]{DIGITS}{ENDED})++|[A-Z]{{2}}[0-9]{{2}}(?:[ ][0-9A-Z]{{4}}{ENDED})++(?:[ ][0-9A-Z]{{1,3}}{ENDED})?+"
+TOKEN = rf"(?<![^\s\"'<>,;()\[\]])(?:{GROUPS}|[^\s\"'<>,;()\[\]0-9]*+[0-9][^\s\"'<>,;()\[\]]*+)"
 SECRET = r"^(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,})$"
 # A key with its sign at the start of a token.
 KEYED = r"^[\p{L}_.-]{2,24}[=:]+(?=.)"
 
-# Shortest string that context can find, characters of context on each side.
-SHORTEST, AROUND = 6, 48
+# Characters of context on each side.
+AROUND = 48
 # Distinct sure instances that a pattern needs, confidence that makes a pattern or an instance count.
 SUPPORT, SURE = 3, 0.8
 # Rounds end when no pattern's confidence moves by more than this; a warning is given if they have not after ROUNDS.
@@ -110,7 +114,7 @@ def occurrences(text: Column, base: Column) -> Column:
         return F.struct((x["start"] + key).alias("start"), (x["start"] + key + F.length(form)).alias("end"), form.alias("form"))
 
     tokens = F.when(text.rlike("[0-9]"), F.transform(spans_of(text, TOKEN), trimmed)).otherwise(F.expr(NONE))
-    free = F.filter(tokens, lambda x: (F.length(x["form"]) >= SHORTEST) & ~F.exists(
+    free = F.filter(tokens, lambda x: (x["form"] != "") & ~F.exists(
         base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.concat(
         F.transform(base, lambda b: _context(text, b, b["kind"])),

@@ -136,3 +136,19 @@ def test_learned_instances_induce_new_patterns_until_nothing_changes(spark):
     finally:
         private.SURE, private.DOUBT = old
     assert got == {f"p{k}": "email" for k in range(6)}
+
+
+def test_groups_and_short_strings_within_sure_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from sessionloom.llm.private import all_spans, joined, masked, private_spans
+
+    texts = [(i, f"call me at +1 (555) 010-99{i:02d} today") for i in range(30)]
+    texts += [(100, "call me at 020 7946 0958 today"), (101, "call me at (020) 7946 0958."), (102, "call me at 4711 today"),
+              (103, "call me at GB29 NWBK 6016 1331 9268 19 today"), (104, "we saw 12 3rd rows of 2019 at noon"), (105, "1 " * 20000)]
+    rows, _ = private_spans(frame(spark, texts), carry=("text",))
+    spans = all_spans(F.col("base"), F.col("found"))
+    out = {r["doc_id"]: r for r in rows.select("doc_id", joined(spans).alias("s"), masked(F.col("text"), spans).alias("m")).collect()}
+    assert out[100]["m"] == out[102]["m"] == out[103]["m"] == "call me at <PHONE> today"
+    assert out[101]["m"] == "call me at <PHONE>."
+    assert out[104]["s"] == out[105]["s"] == ""
