@@ -8,10 +8,15 @@ from dataclasses import dataclass, field
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+# Of these, a missing end tag takes the rest of the page with it; of the others only the tag is skipped.
+ENDLESS = frozenset(["script", "style"])
+# Elements that run on within a line, parts of formulas and drawings too.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split())
+    "strike strong sub sup time tt u var math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder "
+    "munderover mfenced mstyle mpadded mphantom mtable mtr mtd semantics svg g path circle rect line polyline polygon ellipse "
+    "text tspan defs use".split())
 # An opening tag on the left ends the open elements on the right.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -114,10 +119,8 @@ def parse(source: str | None) -> Page:
             continue
         rest = m.group(3) or m.group(6) or ""
         if tag in RAW:
-            if rest.endswith("/") and tag in ("svg", "math"):
-                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if tag in ENDLESS else at
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):

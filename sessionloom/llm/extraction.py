@@ -74,7 +74,7 @@ def features(page: Page, masked: bool = False) -> list[list[str]]:
             found.append("tag:" + ("div" if x.tag in SEMANTIC else x.tag))
         else:
             found.append("tag:" + ("furniture" if x.tag in FURNITURE_TAGS else x.tag))
-            found += ["name:" + name for name in x.names[:8] if name not in FURNITURE_NAMES]
+            found += ["name:" + name for name in x.names if name not in FURNITURE_NAMES]
             if furniture(x, inside[i]):
                 found.append("says:furniture")
             elif x.tag in CONTENT_TAGS or any(name in CONTENT_NAMES for name in x.names):

@@ -39,6 +39,19 @@ def test_reader_takes_broken_markup():
     assert [t for _, t in parse("a < b <x" + "<" * 50).blocks][0].startswith("a < b")
 
 
+def test_reader_keeps_formulas_and_what_follows_unclosed_elements():
+    page = parse("<p>where <math><mi>E</mi></math> is energy</p><noscript><p>plain text</p></noscript><template><p>held</p></template>")
+    assert [t for _, t in page.blocks] == ["where E is energy", "plain text", "held"]
+    for tag in ("svg", "math", "noscript", "template", "title", "textarea", "iframe"):
+        assert [t for _, t in parse(f"<p>one</p><{tag}><p>two</p>").blocks] == ["one", "two"]
+    assert [t for _, t in parse("<p>one</p><script>var x = 1; <p>two</p>").blocks] == ["one"]
+
+
+def test_all_names_of_an_element_are_seen():
+    page = parse(f"<div class='{' '.join('n' + c for c in 'abcdefghijk')}'>x</div>")
+    assert "name:nk" in features(page)[1]
+
+
 def article(h):
     m = re.search(r"<article>(.*?)(</article>|\Z)", h, re.S)
     parts = re.split(r"</?(?:p|h1)[^>]*>", m[1])
