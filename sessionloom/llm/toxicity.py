@@ -141,7 +141,8 @@ class Index:
         term = np.concatenate([np.asarray(t, dtype=np.int32) for t in points["terms"]]) if len(points) else np.zeros(0, np.int32)
         weight = np.concatenate(vectors) if len(points) else np.zeros(0, np.float32)
         order = np.argsort(term, kind="stable")
-        postings = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        del vectors
+        postings = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(idf)))))
         point = np.repeat(np.arange(len(points), dtype=np.int32), length)[order]
         most = np.zeros(len(idf))
         np.maximum.at(most, term, weight)
@@ -316,10 +317,10 @@ def train(
     z = F.abs(F.col("pos") / F.col("n") - base) * F.sqrt("n") / np.sqrt(base * (1 - base))
     tallies = sampled.select("_text", "_mark").mapInArrow(term_tallies, "term long, n long, pos long")
     held = (
-        tallies.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).select("term", z.alias("z")).toPandas())
-    terms = held["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        tallies.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).select("term", z.alias("z")).toArrow())
+    terms = held["term"].to_numpy().view(np.uint64)
     order = np.argsort(terms)
-    vocabulary, tied = Vocabulary(terms[order]), held["z"].to_numpy(dtype=float)[order]
+    vocabulary, tied = Vocabulary(terms[order]), held["z"].to_numpy()[order]
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,12 +335,10 @@ def train(
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(held, -1)), pa.array(np.append(found[held], texts_seen))], names=["t", "n"])
 
-    idf, total = np.zeros(len(vocabulary.terms)), 0
-    for r in docs.select(text_col).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        if r["t"] < 0:
-            total = r["n"]
-        else:
-            idf[r["t"]] = r["n"]
+    seen = docs.select(text_col).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    place, texts_with = seen["t"].to_numpy(), seen["n"].to_numpy()
+    idf, total = np.zeros(len(vocabulary.terms)), texts_with[place < 0].sum()
+    idf[place[place >= 0]] = texts_with[place >= 0]
     idf = (np.log((1 + total) / (1 + idf)) + 1) * (NEUTRAL + tied)
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,12 +351,13 @@ def train(
     points = (
         sampled.select(F.col("_id").cast("long").alias("_id"), "_text", "_mark")
         .mapInArrow(to_vectors, "_id long, _mark int, terms binary, counts binary").groupBy("terms", "counts")
-        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toPandas())
+        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toArrow().to_pandas())
     for c in ("terms", "counts"):
         points[c] = pd.Series([np.frombuffer(b, dtype=np.int32) for b in points[c]], index=points.index, dtype=object)
     empty = np.array([len(t) == 0 for t in points["terms"]], dtype=bool)
     bare, index = points[empty], Index.build(points[~empty], idf)
     bare_rate = (float(bare["pos"].sum()) + LEAN * base) / (float(bare["n"].sum()) + LEAN)
+    del points
     with_index = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
