@@ -8,6 +8,7 @@ weighed by similarity and tally; a logistic curve fitted on left-out votes turns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -78,6 +79,9 @@ class Vocabulary:
         lead = (terms >> self.shift).astype(np.int64)
         self.starts = np.searchsorted(lead, np.arange(2**bits + 1))
 
+    def __reduce__(self):
+        return Vocabulary, (self.terms,)
+
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 where it is no term."""
         lead = (hashes >> self.shift).astype(np.int64)
@@ -115,39 +119,56 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Points (distinct example vectors) by row, and each term's points."""
+    """Points (distinct example vectors) by row, and each term's points.
+
+    Only the points travel, packed; weights and each term's points are made where they are first asked for.
+    """
 
     idf: np.ndarray  # weight of each term
     row: np.ndarray  # bounds of each point's entries
     term: np.ndarray
-    weight: np.ndarray
+    count: np.ndarray
     n: np.ndarray
     pos: np.ndarray
     example: np.ndarray  # an id for each point, as evidence
-    postings: np.ndarray  # bounds of each term's points
-    point: np.ndarray
-    posted: np.ndarray  # weights, in the order of `point`
-    most: np.ndarray  # each term's largest weight
 
     @classmethod
     def build(cls, points: pd.DataFrame, idf: np.ndarray) -> Index:
         """Points in the order of their examples."""
         points = points.sort_values("example", ignore_index=True, kind="stable")
-        vectors = [
-            unit(np.asarray(t), np.asarray(c), idf).astype(np.float32)
-            for t, c in zip(points["terms"], points["counts"], strict=True)]
-        length = np.array([len(v) for v in vectors], dtype=np.int64)
-        row = np.concatenate(([0], np.cumsum(length)))
-        term = np.concatenate([np.asarray(t, dtype=np.int32) for t in points["terms"]]) if len(points) else np.zeros(0, np.int32)
-        weight = np.concatenate(vectors) if len(points) else np.zeros(0, np.float32)
-        order = np.argsort(term, kind="stable")
-        del vectors
-        postings = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(idf)))))
-        point = np.repeat(np.arange(len(points), dtype=np.int32), length)[order]
-        most = np.zeros(len(idf))
-        np.maximum.at(most, term, weight)
+        row = np.concatenate(([0], np.cumsum([len(t) for t in points["terms"]]))).astype(np.int64)
+        flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, dtype=np.int32) for x in points[c])])
         column = lambda c: points[c].to_numpy(dtype=np.int64) if len(points) else np.zeros(0, np.int64)
-        return cls(idf, row, term, weight, column("n"), column("pos"), column("example"), postings, point, weight[order], most)
+        return cls(idf, row, flat("terms"), flat("counts"), column("n"), column("pos"), column("example"))
+
+    def __getattr__(self, name: str):
+        """`weight` of each entry; `postings` (bounds of each term's points), `point`, `posted` (weights in the order of
+        `point`); `most`, each term's largest weight."""
+        if name not in ("weight", "postings", "point", "posted", "most") or "example" not in self.__dict__:
+            raise AttributeError(name)
+        length = np.diff(self.row)
+        weight = (1 + np.log(self.count)) * self.idf[self.term]
+        if len(length):
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, self.row[:-1])), length)
+        self.weight = weight.astype(np.float32)
+        order = np.argsort(self.term, kind="stable")
+        self.postings = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=len(self.idf)))))
+        self.point = np.repeat(np.arange(len(length), dtype=np.int32), length)[order]
+        self.posted = self.weight[order]
+        self.most = np.zeros(len(self.idf))
+        np.maximum.at(self.most, self.term, self.weight)
+        return self.__dict__[name]
+
+    def __getstate__(self) -> dict:
+        pack = lambda x: zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+        base = {k: self.__dict__[k] for k in ("idf", "row", "n", "pos", "example")}
+        return base | {"term": pack(np.diff(self.term, prepend=np.int32(0))), "count": pack(self.count)}
+
+    def __setstate__(self, state: dict) -> None:
+        entries = lambda x: np.ascontiguousarray(
+            np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        self.__dict__ |= state | {
+            "term": np.cumsum(entries(state["term"]), dtype=np.int32), "count": entries(state["count"])}
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(points, cosines) of the k nearest, by cosine, then by the points' order; only cosines above 0."""
@@ -376,6 +397,7 @@ def train(
             yield pd.DataFrame(rows, columns=["vote", "mark", "n"])
 
     held = spark.range(len(index.n)).mapInPandas(left_out, "vote double, mark int, n long").toPandas()
+    with_index.destroy()
     votes = np.append(held["vote"].to_numpy(dtype=float), [bare_rate, bare_rate])
     marks = np.append(held["mark"].to_numpy(dtype=float), [1.0, 0.0])
     weights = np.append(held["n"].to_numpy(dtype=float), [float(bare["pos"].sum()), float((bare["n"] - bare["pos"]).sum())])

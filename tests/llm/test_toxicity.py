@@ -106,3 +106,14 @@ def test_search_settles_early_with_the_same_points(monkeypatch):
     for t, (near, cos) in zip(asked, whole, strict=True):
         again = index.nearest(t, np.ones(8, int), 16)
         assert again[0].tolist() == near.tolist() and again[1] == pytest.approx(cos)
+
+
+def test_index_travels_whole():
+    import pickle
+
+    from sessionloom.llm.toxicity import Index
+
+    index = Index.build(points(np.random.default_rng(2), 200, 50), np.linspace(1, 3, 50))
+    again = pickle.loads(pickle.dumps(index))
+    for name in ("idf", "row", "term", "count", "n", "pos", "example", "weight", "postings", "point", "posted", "most"):
+        assert np.array_equal(getattr(index, name), getattr(again, name))
