@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.sources.staging import stage
 
-__all__ = ["connected", "drawn", "numbered", "stage", "with_uid"]
+__all__ = ["components", "connected", "drawn", "numbered", "stage", "with_uid"]
 
 
 def with_uid(df: DataFrame, label: str, name: str = "_uid") -> DataFrame:
@@ -82,3 +82,32 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not settle")
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
         links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each component of the undirected edges (a, b); nodes without edges are left out.
+
+    Contracts the graph round by round: every node takes its smallest neighbour, if that is smaller than itself,
+    chains of such choices are followed to their ends, and the edges are rewritten to the ends they join; equal ones
+    become one. A node that has a smaller neighbour is gone after the round, so the graph shrinks until no edge is left.
+    Only the smallest neighbour is ever needed, which is an aggregate with partial results, so a node with very many
+    edges is no group; joins put one row of a node table beside its edges.
+    """
+    left = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    named = stage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")), "nodes")
+    while left.limit(1).count():
+        # Every larger end has a smaller neighbour; b -> the smallest one.
+        up = stage(left.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("node"), "to"), "parents")
+        while True:
+            # Pointer jumping: the length of all chains halves each time.
+            ahead = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            up = stage(up.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "parents")
+            if not up.join(up.select(F.col("node").alias("to")), "to", "left_semi").limit(1).count():
+                break
+        named = stage(named.join(up.select(F.col("node").alias("root"), "to"), "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root")), "nodes")
+        a, b = (up.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        moved = left.join(a, "a", "left").join(b, "b", "left").select(
+            F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
+        left = stage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return named
