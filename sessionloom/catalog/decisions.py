@@ -21,7 +21,7 @@ from sessionloom.catalog.oracle import (
 )
 from sessionloom.catalog.registry import query
 from sessionloom.functions.probs import argmax, margin, mix, normalise
-from sessionloom.operators import bias_search, calibration, hierarchy, metrics, sweeps
+from sessionloom.operators import aggregates, bias_search, calibration, hierarchy, metrics, sweeps
 from sessionloom.operators.metrics import rounded
 from sessionloom.schema import GROUP_OF, GROUPS, LABELS, doubles
 from sessionloom.sources import derived
@@ -362,6 +362,25 @@ def sweep_candidate_blend(spark, folder):
     return sweeps.ranked(sweeps.candidate_blend(df, INSPECT, K), "macro_f1", ["gate", "alpha"])
 
 
+_INNER_LABEL = f"list_position({arr(INSPECT)}, y) - 1"
+
+
+@query("candidate_step_metrics", sql(SCORES, BLEND, f"""
+ci AS (SELECT step, {_INNER_LABEL} AS y, {amax('[' + ', '.join(f"raw[{i + 1}]" for i in INSPECT) + ']')} AS base, {amax('[' + ', '.join(f"c[{i + 1}]" for i in INSPECT) + ']')} AS ranker
+  FROM bl WHERE y IN {_IN} AND step BETWEEN 1 AND 6),
+cm AS (SELECT step, 'base' AS model, y, base AS pred, count(*) AS n FROM ci GROUP BY ALL UNION ALL SELECT step, 'ranker', y, ranker, count(*) FROM ci GROUP BY ALL)
+""", f1_ctes("cm", ["step", "model"]), f"""
+sm AS (SELECT step, model, sum(nt)::BIGINT AS rows, round(sum(f) / {D(len(INSPECT))}, 6) AS f, round(sum(tp) / sum(nt), 6) AS a FROM f1 GROUP BY step, model)
+""", select="""
+SELECT step, max(rows) AS rows, max(f) FILTER (model = 'base') AS base_internal_macro_f1, max(f) FILTER (model = 'ranker') AS ranker_macro_f1,
+  max(a) FILTER (model = 'base') AS base_internal_acc, max(a) FILTER (model = 'ranker') AS ranker_acc FROM sm GROUP BY step"""))
+def candidate_step_metrics(spark, folder):
+    """Base and ranker among the inspect classes, true inspect rows by step."""
+    df = decided(spark, folder).select(
+        "step", "y", hierarchy.inside(F.col("raw"), INSPECT).alias("inner"), hierarchy.inside(F.col("c"), INSPECT).alias("rank"))
+    return aggregates.inspect_step_metrics(df, INSPECT)
+
+
 @query("decision_stack", sql(SCORES, BLEND, _GATE, select=f"""
 SELECT id, domain, {LBL}[final + 1] AS action, vec_id AS row_no FROM fin"""))
 def decision_stack(spark, folder):
@@ -382,7 +401,7 @@ def join_submission_by_id(spark, folder):
     return fill_template(scores.select("id", F.col("vec_id").alias("row_no")), predicted)
 
 
-@query("report_calibration", sql(SCORES, BLEND, f"""
+@query("report_given_bias", sql(SCORES, BLEND, f"""
 w AS (SELECT unnest({DARR(bias_search.SHRINKS)}) AS shrink),
 r AS (SELECT domain, shrink, fold, y, list_transform(raw, lambda x, i: ln(least(greatest(x / list_sum(raw), 1e-9::DOUBLE), 1.0::DOUBLE)) + shrink * ([{', '.join(DARR(b) for b in FOLD_BIAS)}])[fold + 1][i]) AS m FROM bl CROSS JOIN w),
 pr2 AS (SELECT domain, shrink, fold, y, {amax('m')} AS pred FROM r),
@@ -393,7 +412,8 @@ bb AS (SELECT domain, avg(f) AS b FROM fb GROUP BY domain)
 """, select="""
 SELECT f1.domain, f1.shrink, sum(nt)::BIGINT AS rows, round(any_value(b), 6) AS anchor_macro_f1, round(avg(f), 6) AS macro_f1, round(avg(f) - any_value(b), 6) AS delta,
   round(sum(tp) / sum(nt), 6) AS accuracy FROM f1 JOIN bb ON bb.domain = f1.domain GROUP BY f1.domain, f1.shrink"""))
-def report_calibration(spark, folder):
+def report_given_bias(spark, folder):
+    """Scores of given bias vectors, one for each held-out fold, by domain and shrink factor."""
     from sessionloom.plans.decision import calibration_report
 
     df = decided(spark, folder)
@@ -401,6 +421,14 @@ def report_calibration(spark, folder):
     return calibration_report(df, "raw", F.get(table, F.col("fold")), bias_search.SHRINKS)
 
 
+@query("report_calibration")
+def report_calibration(spark, folder):
+    """Fitted calibration by domain: each shrink factor over held-out folds, and the biases to be used over all rows."""
+    from sessionloom.plans.decision import calibrate_domains
+
+    return calibrate_domains(decided(spark, folder), "raw", K).report
+
+
 @query("bias_cross_fit")
 def bias_cross_fit(spark, folder):
     """Shrink sweep over biases fitted without each row's fold, the accepted shrink, and rows changed."""

@@ -268,3 +268,10 @@ def split_stratified_group(spark, folder):
     return splits.stratified_group_kfold(
         derived.event_steps(spark, folder).withColumnRenamed("action", "label"), 5
     )
+
+
+@query("split_stratified_greedy")
+def split_stratified_greedy(spark, folder):
+    """Folds that balance every label, not only the dominant one of a session."""
+    return splits.stratified_group_greedy(
+        derived.event_steps(spark, folder).withColumnRenamed("action", "label"), 5, LABELS)

@@ -99,12 +99,13 @@ def agg_accuracy(spark, folder):
 @query("agg_subset_metrics", sql(SCORES, BLEND, f"""
 named AS (
   SELECT y, base AS pred, unnest(['src=' || domain, 'step_group=' || ({_BAND}),
-    CASE WHEN step <> 1 THEN 'step!=1' END, CASE WHEN y IN ({', '.join(map(str, INSPECT))}) THEN 'true_inspect4' END]) AS subset FROM bl),
+    CASE WHEN step <> 1 THEN 'step!=1' END, CASE WHEN y IN ({', '.join(map(str, INSPECT))}) THEN 'true_inspect4' END,
+    CASE WHEN y IN ({', '.join(map(str, INSPECT))}) AND step BETWEEN 1 AND 6 THEN 'inspect_step=' || step END]) AS subset FROM bl),
 conf AS (SELECT subset, y, pred, count(*) AS n FROM named WHERE subset IS NOT NULL GROUP BY ALL)
 """, f1_ctes("conf", ["subset"]), select=f"""
 SELECT subset, sum(nt)::BIGINT AS rows,
-  round(sum(CASE WHEN subset <> 'true_inspect4' OR label IN ({', '.join(map(str, INSPECT))}) THEN f END)
-    / CASE WHEN subset = 'true_inspect4' THEN {len(INSPECT)}.0::DOUBLE ELSE {K}.0::DOUBLE END, 6) AS macro_f1,
+  round(sum(CASE WHEN NOT contains(subset, 'inspect') OR label IN ({', '.join(map(str, INSPECT))}) THEN f END)
+    / CASE WHEN contains(subset, 'inspect') THEN {len(INSPECT)}.0::DOUBLE ELSE {K}.0::DOUBLE END, 6) AS macro_f1,
   round(sum(tp) / sum(nt), 6) AS accuracy
 FROM f1 GROUP BY subset"""))
 def agg_subset_metrics(spark, folder):

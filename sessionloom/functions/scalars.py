@@ -63,6 +63,8 @@ DEIXIS = ["다시", "아까", "방금", "그때", "이전", "위에", "이거",
 # Patterns of file tokens, quoted code and sentence ends.
 FILE_TOKEN = rf"[{WORD}./-]+\.[A-Za-z]{{1,5}}"
 BACKTICK = "`([^`]+)`"
+# The same tokens, tried only where a run of their characters begins or the last token ended: linear in a long run.
+_FILE_IN_RUN = rf"(?:(?<![{WORD}./-])|\G)" + FILE_TOKEN
 SENTENCE_END = "[.!?。！？]+"
 
 # Words that show an action in a rewrite (first rule set).
@@ -103,7 +105,19 @@ def deixis_terms(text: Column) -> Column:
 
 def tokens(text: Column, pattern: str, group: int = 0) -> Column:
     """Distinct matches, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(as_text(text), F.lit(pattern), F.lit(group))))
+    return F.sort_array(F.array_distinct(_matches(text, pattern, group)))
+
+
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """Matches in order. File tokens are looked for only in pieces between blanks that have a dot before a letter."""
+    if pattern != FILE_TOKEN:
+        return F.regexp_extract_all(as_text(text), F.lit(pattern), F.lit(group))
+    pieces = F.filter(F.split(as_text(text), " "), _may_hold_file)
+    return F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(_FILE_IN_RUN), F.lit(0))))
+
+
+def _may_hold_file(piece: Column) -> Column:
+    return F.contains(piece, F.lit(".")) & piece.rlike(r"\.[A-Za-z]")
 
 
 def file_tokens(text: Column) -> Column:
@@ -121,7 +135,7 @@ def missing_in(values: Column, text: Column) -> Column:
 
 def subset_kept(pattern: str, original: Column, paraphrase: Column, group: int = 0) -> Column:
     """Every token of the original is a token of the paraphrase."""
-    return F.size(F.array_except(tokens(original, pattern, group), tokens(paraphrase, pattern, group))) == 0
+    return F.size(F.array_except(_matches(original, pattern, group), _matches(paraphrase, pattern, group))) == 0
 
 
 def action_words_kept(action: Column, paraphrase: Column) -> Column:
@@ -142,9 +156,14 @@ def action_pattern_kept(action: Column, paraphrase: Column) -> Column:
 
 def sentences_masked(text: Column) -> Column:
     """Sentence count with dots in numbers and file tokens masked (second rule set)."""
-    masked = F.regexp_replace(as_text(text), r"(?<=\p{Nd})\.(?=\p{Nd})", "<DOT>")
-    masked = F.regexp_replace(masked, FILE_TOKEN, "<FILE>")
-    return F.size(F.filter(F.split(masked, SENTENCE_END), lambda p: F.regexp_replace(p, f"[{SPACE}]", "") != ""))
+
+    def mask(piece: Column) -> Column:
+        plain = F.regexp_replace(piece, r"(?<=\p{Nd})\.(?=\p{Nd})", "<DOT>")
+        return F.when(_may_hold_file(plain), F.regexp_replace(plain, _FILE_IN_RUN, "<FILE>")).otherwise(plain)
+
+    # Dots are masked piece by piece, since neither numbers nor file tokens hold blanks.
+    pieces = F.transform(F.split(as_text(text), " "), lambda p: F.when(F.contains(p, F.lit(".")), mask(p)).otherwise(p))
+    return F.size(F.filter(F.split(F.array_join(pieces, " "), SENTENCE_END), lambda p: p.rlike(f"[^{SPACE}]")))
 
 
 def sentences_protected(text: Column) -> Column:

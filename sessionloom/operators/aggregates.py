@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sessionloom.functions.probs import argmax
 from sessionloom.operators import metrics
 from sessionloom.sources.staging import stage
 
+# Steps that inspect rows are reported for.
+INSPECT_STEPS = 6
+
 
 def label_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -26,11 +30,12 @@ def confusion_table(conf: DataFrame, classes: int, labels: DataFrame) -> DataFra
 
 
 def subset_metrics(df: DataFrame, classes: int, inspect: Sequence[int]) -> DataFrame:
-    """The same metrics for each source, each step band, rows after step 1 and true inspect rows.
+    """The same metrics for each source, each step band, rows after step 1, true inspect rows and these by step 1..6.
 
     df: domain, step_group, step, y, pred. One count over the table, then count-table work.
     """
-    conf = df.groupBy("domain", "step_group", (F.col("step") != 1).alias("later"), "y", "pred").agg(
+    early = F.when(F.col("step").between(1, INSPECT_STEPS), F.col("step")).alias("early")
+    conf = df.groupBy("domain", "step_group", (F.col("step") != 1).alias("later"), early, "y", "pred").agg(
         F.count("*").alias("n")
     )
     is_inspect = F.col("y").isin(*inspect)
@@ -40,15 +45,17 @@ def subset_metrics(df: DataFrame, classes: int, inspect: Sequence[int]) -> DataF
             F.concat(F.lit("step_group="), "step_group"),
             F.when(F.col("later"), "step!=1"),
             F.when(is_inspect, "true_inspect4"),
+            F.when(is_inspect, F.concat(F.lit("inspect_step="), F.col("early").cast("string"))),
         )
     )
     sliced = conf.select(F.explode_outer(names).alias("subset"), "y", "pred", "n").groupBy("subset", "y", "pred").agg(
         F.sum("n").alias("n")
     )
     per = metrics.per_class(sliced, ["subset"])
-    # The inspect slice averages over its own labels; the others over all classes.
-    counted = F.when(F.col("subset") != "true_inspect4", F.col("f")).when(F.col("label").isin(*inspect), F.col("f"))
-    size = F.when(F.col("subset") == "true_inspect4", len(inspect)).otherwise(classes).cast("double")
+    # The inspect slices average over their own labels; the others over all classes.
+    own = (F.col("subset") == "true_inspect4") | F.col("subset").startswith("inspect_step=")
+    counted = F.when(~own, F.col("f")).when(F.col("label").isin(*inspect), F.col("f"))
+    size = F.when(own, len(inspect)).otherwise(classes).cast("double")
     return per.groupBy("subset").agg(
         F.sum("nt").alias("rows"),
         metrics.rounded(F.sum(counted) / F.max(size)).alias("macro_f1"),
@@ -56,6 +63,27 @@ def subset_metrics(df: DataFrame, classes: int, inspect: Sequence[int]) -> DataF
     )
 
 
+def inspect_step_metrics(df: DataFrame, inspect: Sequence[int]) -> DataFrame:
+    """(step, rows, macro-F1 and accuracy of base and ranker) of true inspect rows for each step 1..6.
+
+    df: step, y, base and ranker vectors over the inspect classes (`inner`, `rank`). Both choose among the inspect
+    classes alone. One count over (step, y, both choices), then count-table work; steps without rows are left out.
+    """
+    label = F.array_position(F.array(*[F.lit(int(i)) for i in inspect]), F.col("y")).cast("int") - 1
+    rows = df.where(F.col("y").isin(*inspect) & F.col("step").between(1, INSPECT_STEPS))
+    counts = stage(
+        rows.groupBy("step", label.alias("y"), argmax(F.col("inner")).alias("base"), argmax(F.col("rank")).alias("ranker"))
+        .agg(F.count("*").alias("n")), "inspect-steps")
+    models = F.explode_outer(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in ("base", "ranker")]))
+    conf = counts.select("step", "y", models.alias("m"), "n").groupBy("step", "m.model", "y", "m.pred").agg(F.sum("n").alias("n"))
+    per = metrics.per_class(conf, ["step", "model"]).groupBy("step", "model").agg(
+        F.sum("nt").alias("rows"), (F.sum("f") / F.lit(float(len(inspect)))).alias("f"), (F.sum("tp") / F.sum("nt")).alias("a"))
+    pick = lambda m, c: metrics.rounded(F.max(F.when(F.col("model") == m, F.col(c))))
+    return per.groupBy("step").agg(
+        F.max("rows").alias("rows"), pick("base", "f").alias("base_internal_macro_f1"), pick("ranker", "f").alias("ranker_macro_f1"),
+        pick("base", "a").alias("base_internal_acc"), pick("ranker", "a").alias("ranker_acc"))
+
+
 def epoch_summary(per_fold: DataFrame) -> DataFrame:
     """Mean, sample std, min, max per epoch, the best epoch, and mean / population std of fold bests.
 

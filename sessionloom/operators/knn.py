@@ -9,8 +9,9 @@ Search plan (exact, no candidate is dropped without proof):
    bounded size, so that no cluster, however large, is one task.
 3. A query first meets the block it lies in, which gives a lower bound of its k-th
    similarity. Clusters whose angle range cannot reach that bound are skipped.
-4. Remaining (query, block) meetings are an equi-join on block keys; each is one matrix
-   product that keeps k rows per query. The best k over all blocks remain.
+4. Remaining (query, block) meetings are counted by block. The queries of a block are dealt
+   to groups of bounded size, and the block goes to those groups alone; each meeting of a
+   group is one matrix product that keeps k rows per query. The best k over all blocks remain.
 
 Similarities are compared after rounding to 9 places, ties go to the smaller id.
 """
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionloom.functions.base import let
 from sessionloom.functions.probs import total
-from sessionloom.sources.staging import stage
+from sessionloom.sources.staging import small, stage
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 2048
+# Queries that meet a block in one product.
+GROUP_ROWS = 2048
 SIM_PLACES = 9
 SLACK = 1e-7
 
@@ -113,6 +116,22 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def grouped_meetings(routed: DataFrame, stored: DataFrame, group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the meetings with a group number: queries dealt to groups, blocks once for each of their groups.
+
+    routed: one row for each (query, block) meeting; stored: the rows of all blocks. Blocks that no query meets
+    are left out, and a block's rows are repeated ceil(meetings / group_rows) times, so what is shuffled grows with the
+    meetings that occur. The count table has a row for each block that is met.
+    """
+    load = stage(
+        routed.groupBy("home", "block").agg(F.ceil(F.count("*") / F.lit(group_rows or GROUP_ROWS)).cast("int").alias("_groups")), "knn-load")
+    queries = routed.join(small(load), ["home", "block"]).withColumn(
+        "grp", F.pmod(F.xxhash64("qkey"), F.col("_groups")).cast("int")).drop("_groups")
+    blocks = stored.join(small(load), ["home", "block"]).withColumn(
+        "grp", F.explode_outer(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    return queries, blocks
+
+
 def topk_other_folds(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, rank, nid, ny, sim): the k most similar rows of other folds for every row.
 
@@ -162,12 +181,9 @@ def topk_other_folds(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -
             "qkey string, fold int, vec array<float>, bound double, home int, block int",
         )
     )
-    # Queries meeting one block are cut into groups of bounded size; the block is repeated per group.
-    salts = max(1, math.ceil(n / block_rows))
-    routed = routed.withColumn("salt", F.pmod(F.xxhash64("qkey"), F.lit(salts)).cast("int"))
-    repeated = stored.withColumn("salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salts - 1))))
-    key = ["home", "block", "salt"]
-    others = routed.groupBy(*key).cogroup(repeated.groupBy(*key)).applyInPandas(_block_topk(k), found)
+    queries, corpus = grouped_meetings(stage(routed, "knn-routed"), stored)
+    key = ["home", "block", "grp"]
+    others = queries.groupBy(*key).cogroup(corpus.groupBy(*key)).applyInPandas(_block_topk(k), found)
     best = _best(own.unionByName(others.where(F.col("sim") >= -1.5)), k)
     named = keyed.select("id", F.concat_ws("/", "vkey", F.col("fold").cast("string")).alias("qkey"))
     return named.join(best, "qkey").select("id", "rank", "nid", "ny", "sim")

@@ -70,7 +70,7 @@ def check_v2(df: DataFrame) -> DataFrame:
         "len_ratio": S.length_ratio(o, p),
     })
     hard = _reasons(
-        empty=F.regexp_replace(p, f"[{SPACE}]", "") == "",
+        empty=~p.rlike(f"[^{SPACE}]"),
         same_text=p == o,
         control_char=p.rlike(r"[\n\r\t]"),
         deixis_lost=~F.col("deixis_kept"),
