@@ -12,7 +12,8 @@ vocabularies: their number bounds all tables of pair counts, however large the c
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -21,81 +22,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.llm.common import stage
-from sessionloom.llm.tokens import _byte_symbols
+from sessionloom.llm.tokens import PATTERN, _byte_symbols
 
 # Text bytes merged at once, tokens of a lane, and tokens looked at to find a lane's shared end.
-MERGE_BYTES, LANE, WINDOW = 2_000_000, 512, 64
+MERGE_BYTES, LANE, WINDOW = 1_000_000, 512, 64
+# Links of a batch that are counted or looked up at once.
+LINKS = 500_000
 
 
 class ByteLevel:
-    """A byte-level BPE file: token ids, and the bytes of each."""
+    """A byte-level BPE file: token ids, and the bytes of each.
+
+    The library named for such files encodes; where the vocabulary has the plain byte-level settings and its ids follow
+    the order of merges, the same merges run through tiktoken, if that is installed, at several times the speed.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = {c: b for b, c in _byte_symbols().items()}
-        vocab = spec["model"]["vocab"]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        size = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))], default=-1) + 1
+        model, added = spec["model"], spec.get("added_tokens", [])
+        special = {t["content"] for t in added}
+        size = max([*model["vocab"].values(), *(t["id"] for t in added)], default=-1) + 1
         self.bytes: list[bytes | None] = [None] * size
-        for token, i in vocab.items():
+        for token, i in model["vocab"].items():
             if token not in special:
                 self.bytes[i] = bytes(symbols[c] for c in token)
-        self.path, self._encode = path, None
+        pre = spec.get("pre_tokenizer") or {}
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        made, known = [model["vocab"][t] for t in joined], set(joined)
+        self.plain = (
+            pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+            and spec.get("normalizer") is None and not model.get("ignore_merges") and not model.get("dropout")
+            and made == sorted(set(made)) and all(
+                len(t) == 1 or t in known for t, i in model["vocab"].items() if self.bytes[i] is not None)
+        )
+        self.path, self._library, self._fast = path, None, None
 
     def __getstate__(self):
-        return {"path": self.path, "bytes": self.bytes, "_encode": None}
-
-    def ids(self, text: str) -> list[int]:
-        if self._encode is None:
-            self._encode = _byte_level_encoder(self.path, self.bytes)
-        return self._encode(text)
+        return self.__dict__ | {"_library": None, "_fast": None}
+
+    def ids(self, text: str) -> np.ndarray:
+        # Beyond this length tiktoken's pattern engine may give up on long runs of white space.
+        if self.plain and len(text) <= 200_000:
+            self._fast = self._fast or self._merges()
+            if self._fast:
+                return self._fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        self._library = self._library or self._load()
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+    def _merges(self):
+        try:
+            import tiktoken
+        except ImportError:
+            self.plain = False
+            return None
+        ranks = {b: i for i, b in enumerate(self.bytes) if b is not None}
+        return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _load(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-def _byte_level_encoder(path: str, entries: list[bytes | None]) -> Callable[[str], list[int]]:
-    """The library's encoder; the same merges run through tiktoken, if it takes them, at several times the speed.
-
-    It takes them where the vocabulary has the plain byte-level settings and its ids follow the order of merges.
-    """
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-
-    def plain(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    joined = [a + b for a, b in pairs]
-    made, known = [model["vocab"][t] for t in joined], set(joined)
-    usual = (
-        pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        and spec.get("normalizer") is None and not model.get("ignore_merges") and not model.get("dropout")
-        and made == sorted(set(made)) and all(
-            len(t) == 1 or t in known for t, i in model["vocab"].items() if entries[i] is not None)
-    )
-    if not usual:
-        return plain
-    try:
-        import tiktoken
-    except ImportError:
-        return plain
-    from sessionloom.llm.tokens import PATTERN
-
-    ranks = {b: i for i, b in enumerate(entries) if b is not None}
-    fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(text: str) -> list[int]:
-        # Beyond this length the fast one's pattern engine may give up on long runs of white space.
-        return fast.encode_ordinary(text) if len(text) <= 200_000 else plain(text)
-
-    return encode
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
 
 
 class Pieces:
@@ -124,8 +115,8 @@ class Pieces:
             self._model = sentencepiece.SentencePieceProcessor(model_file=self.path)
         return self._model
 
-    def ids(self, text: str) -> list[int]:
-        return self._load().encode(text, num_threads=1)
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self._load().encode(text, num_threads=1), dtype=np.int64)
 
 
 def vocabulary(path: str) -> ByteLevel | Pieces:
@@ -222,10 +213,10 @@ class Aligner:
         out = []
         for v, given in ((self.a, " " + text), (self.b, text)):
             ids = v.ids(given)
-            entries = [v.bytes[i] for i in ids]
+            entries = [v.bytes[i] for i in ids.tolist()]
             if None in entries or b"".join(entries) != whole:
                 return none
-            out.append(np.array(ids, dtype=np.int64))
+            out.append(ids)
         return out[0], out[1]
 
     def run(self, texts: list[str | None]) -> list[dict]:
@@ -321,12 +312,23 @@ def align(
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_a long, n_b long, {kinds}")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the lists of one column hold about LINKS values each."""
+    for batch in batches:
+        ends = batch.column(at).offsets.to_numpy()
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + LINKS, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def link_counts(aligned: DataFrame, possible: int) -> DataFrame:
     """(pair, count): how often each pair is linked in all rows. At most `possible` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(possible, dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             total += np.bincount(flat, minlength=possible)
         some = np.flatnonzero(total)
@@ -362,7 +364,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, marks = sent.value
-        for batch in batches:
+        for batch in sliced(batches, 3):
             lists = batch.column(3)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
