@@ -136,16 +136,39 @@ def route(pivots: np.ndarray, cells: dict[str, np.ndarray], width: int, first: b
     return run
 
 
-def top(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of each query's k best, ties by id, then by row."""
-    kth = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-    row, col = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
-    order = np.lexsort((uids[col], ids[col], -scores[row, col], row))
+def top(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of each query's k best, ties by id, then by row; `own` marks cells that don't count."""
+    lowest = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    held = np.where(own, lowest, scores)
+    at = max(0, held.shape[1] - k)
+    kth = np.partition(held, at, axis=1)[:, at]
+    row, col = np.nonzero((held >= kth[:, None]) & ~own)
+    # Whole numbers are ranked as such: beyond 2**53 neighbours would be one double. ~x turns their order round.
+    down = ~held[row, col] if held.dtype.kind == "i" else -held[row, col]
+    order = np.lexsort((uids[col], ids[col], down, row))
     row, col = row[order], col[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     return row[place < k], col[place < k]
 
 
+def products(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, values): exact inner products of whole numbers, and numbers in the same order that arrays can compare.
+
+    Doubles where all sums are below 2**53, 64-bit integers below 2**63, Python's own integers beyond.
+    """
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if largest < 2**53:
+        scores = q @ x.T
+        return scores, scores
+    if largest < 2**62:
+        scores = q.astype(np.int64) @ x.T.astype(np.int64)
+        return scores, scores
+    whole = lambda m: np.array([[int(v) for v in r] for r in m], dtype=object).reshape(m.shape)
+    scores = whole(q).dot(whole(x).T)
+    order = {v: i for i, v in enumerate(sorted(set(scores.ravel())))}
+    return np.array([order[v] for v in scores.ravel()], dtype=np.int64).reshape(scores.shape), scores
+
+
 def search(width: int, k: int):
     """Products of a query group with a cell: the k best of each query."""
 
@@ -154,25 +177,24 @@ def search(width: int, k: int):
             for r in batch.itertuples():
                 q = np.frombuffer(r.q_rows, dtype=np.float64).reshape(-1, width)
                 x = np.frombuffer(r.rows, dtype=np.float64).reshape(-1, width)
-                if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width >= 2**53:
-                    # Beyond whole numbers of a double: products of 64-bit integers.
-                    scores = q.astype(np.int64) @ x.T.astype(np.int64)
-                    exact = scores
-                    scores = scores.astype(np.float64)
-                else:
-                    exact = scores = q @ x.T
+                ranks, exact = products(q, x)
                 q_ids, q_uids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_uids, np.int64)
                 ids, uids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.uids, np.int64)
-                scores = np.where(q_uids[:, None] == uids[None, :], -np.inf, scores)
-                row, col = top(scores, ids, uids, k)
+                row, col = top(ranks, q_uids[:, None] == uids[None, :], ids, uids, k)
                 yield pd.DataFrame({
                     "grp": r.grp, "query_uid": q_uids[row], "query_id": q_ids[row], "vec_id": ids[col],
-                    "uid": uids[col], "score": exact[row, col].astype(np.int64),
+                    "uid": uids[col], "score": [_long(v) for v in exact[row, col].tolist()],
                 })
 
     return run
 
 
+def _long(score) -> int:
+    if not -(2**63) <= score < 2**63:
+        raise OverflowError("a score among the best does not fit in 64 bits")
+    return int(score)
+
+
 FOUND = "grp string, query_uid long, query_id long, vec_id long, uid long, score long"
 
 
@@ -190,7 +212,8 @@ def exact_top_k(
     Components become floor(scale * x). `is_query` marks the query rows; candidates are all rows but the
     query's own. Ties go to the smaller id. Vectors that are null, or hold null or non-finite components,
     and rows without an id take no part; vectors of unequal length meet as if padded with zeros. Repeated
-    ids are rows of their own. An empty table, or one without queries, gives no rows.
+    ids are rows of their own. An empty table, or one without queries, gives no rows. Scores are exact; one among the
+    best that a long can't hold is an error. Vectors whose scaled components leave the range of doubles take no part.
     """
     spark = vectors.sparkSession
     kind = vectors.select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_query"),

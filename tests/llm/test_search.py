@@ -51,3 +51,23 @@ def test_few_rows(spark):
     assert rows(exact_top_k(df, F.col("vec_id") % 50 == 0)) == [(0, 1, 1, 32768), (0, 2, 2, 0)]
     assert exact_top_k(df, F.col("vec_id") > 50).count() == 0
     assert exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_scores_beyond_whole_doubles(spark):
+    """Neighbouring scores above 2**53 are told apart, and sums are exact above 2**63 as long as the results fit."""
+    from pyspark.sql import functions as F
+
+    from sessionloom.llm.search import exact_top_k, products
+
+    rows_ = [(0, [2.0**29, 1.0])] + [(i, [2.0**29, float(i % 10)]) for i in range(1, 11)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    found = exact_top_k(df, F.col("vec_id") == 0, k=5, scale=1.0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(n + 1, 9 - n, 2**58 + 9 - n) for n in range(5)]
+    far = [(0, [2.0**40, 2.0**40, 1.0]), (1, [2.0**40, -(2.0**40), 3.0]), (2, [2.0**40, -(2.0**40), 4.0]), (3, [-(2.0**40), 2.0**40, 5.0])]
+    df = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+    found = exact_top_k(df, F.col("vec_id") == 0, k=2, scale=1.0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 3, 5), (2, 2, 4)]
+    import numpy as np
+
+    ranks, exact = products(np.array([[2.0**40]]), np.array([[2.0**40], [1.0], [-(2.0**40)]]))
+    assert exact.tolist() == [[2**80, 2**40, -(2**80)]] and ranks.tolist() == [[2, 1, 0]]
