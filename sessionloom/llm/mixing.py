@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.llm.common import numbered, stage
+from sessionloom.sources.staging import small
 
 # Documents of a source that one task rounds, and residuals that meet at each level of the tree.
 CHUNK = 1024
@@ -90,6 +91,23 @@ def _rounder(seed: int, last: bool):
     return run
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Adds _chunk, by a hash of _row (that of id and size) and, for rows that repeat it, of their number among these.
+
+    Equal rows are interchangeable, so which of them gets which number changes nothing; numbered, they go to as many
+    chunks as other rows do. They are numbered without gathering them in one task.
+    """
+    held = stage(rows.withColumn("_uid", F.monotonically_increasing_id()), "mix-rows")
+    again = stage(held.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row"), "mix-repeats")
+    if not again.limit(1).count():
+        return held.drop("_uid").withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_chunks")))
+    placed = stage(numbered(held.select("_row", "_uid").join(small(again), "_row"), [F.col("_row"), F.col("_uid")], "_at"), "mix-places")
+    first = placed.groupBy("_row").agg(F.min("_at").alias("_first"))
+    salts = placed.join(first, "_row").select("_uid", (F.col("_at") - F.col("_first")).alias("_salt"))
+    key = F.when(F.col("_salt") > 0, F.xxhash64("_row", "_salt")).otherwise(F.xxhash64("_row"))
+    return held.join(salts, "_uid", "left").withColumn("_chunk", F.pmod(key, F.col("_chunks"))).drop("_uid", "_salt")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = 7, carry: tuple[str, ...] = (),
@@ -114,8 +132,7 @@ def mix_sources(
     joined = narrow.join(known, same).drop(known["source"])
     hashed = F.xxhash64(F.col("_id").cast("string"), F.col("size"), F.lit(seed))
     start = stage(
-        joined.withColumn("_row", hashed)
-        .withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_chunks")))
+        _spread(joined.withColumn("_row", hashed))
         .withColumn("copies", F.floor("_rate").cast("long"))
         .withColumn("_p", F.when(F.col("size") > 0, F.col("_rate") - F.col("copies")).otherwise(0.0)),
         "chunks",
@@ -123,16 +140,18 @@ def mix_sources(
     plain = ["_id", "source", *[f"_carry_{c}" for c in carry], "size", "source_size", "target", "copies"]
     shape = start.select(*plain, "_row", "_chunk", "_p")
     chunks = max(1, start.agg(F.max("_chunks")).first()[0] or 1)
-    done, rows = [], shape
+    # Rows taken a whole number of times need no rounding.
+    part = "_p > 0 and _p < 1"
+    done, rows = [shape.where(f"not ({part})")], shape.where(part)
     while True:
         last = chunks == 1
         rounded = stage(
             rows.groupBy("source", "_chunk").applyInPandas(_rounder(seed, last), rows.schema),
             "rounded")
-        done.append(rounded.where("not (_p > 0 and _p < 1)"))
+        done.append(rounded.where(f"not ({part})"))
         if last:
             break
-        rows = rounded.where("_p > 0 and _p < 1").withColumn("_chunk", F.floor(F.col("_chunk") / CHUNK).cast("long"))
+        rows = rounded.where(part).withColumn("_chunk", F.floor(F.col("_chunk") / CHUNK).cast("long"))
         chunks = -(-chunks // CHUNK)
     out = done[0]
     for d in done[1:]:

@@ -125,3 +125,22 @@ def test_mixing_meets_targets_and_reruns_agree(spark, monkeypatch):
     assert mixing.mix_sources(df.limit(0)).count() == 0
     empty = mixing.mix_sources(df.where("text is null")).collect()
     assert [r["taken"] for r in empty] == [0]
+
+
+def test_mixing_deals_equal_rows_to_many_chunks(spark, monkeypatch):
+    """Rows that agree in id and size are spread like others, and the result does not depend on their order."""
+    from pyspark.sql import functions as F
+
+    from sessionloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    rows_ = [(None, "a b c", "s")] * 250 + [(i, "a b", "s") for i in range(100)] + [(i, "x y z w", "t") for i in range(200)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    shape = df.select(F.lit("s").alias("source"), F.lit(3).alias("size"), F.lit(7).alias("_chunks"), F.lit(5).alias("_row"))
+    spread = mixing._spread(shape).groupBy("_chunk").count().collect()
+    assert len(spread) == 7 and max(r["count"] for r in spread) < 2 * len(rows_) / 7
+    out = mixing.mix_sources(df)
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert abs(r["t"] - r["g"]) <= 4
+    key = lambda o: sorted(map(str, o.select("doc_id", "source", "copies").collect()))
+    assert key(out) == key(mixing.mix_sources(df.repartition(7)))
