@@ -11,7 +11,8 @@ one's documents. All stages but the last keep the columns of documents.
 5. mixing: each document with the number of `copies` that the mix takes of it; those taken no time go.
 
 A null text counts as empty and stays null. Rows are told apart by id and text; of rows equal in both one stays (all do
-where the text has no words). A null id sorts behind all others. Any table may be empty.
+where the text has no words). A null id sorts behind all others. Any table may be empty. Further columns of documents are
+carried through, whatever their names; a given column `copies` is replaced by that of the last stage.
 """
 
 from __future__ import annotations
@@ -38,54 +39,63 @@ def row_key() -> Column:
         F.lpad(F.hex(F.xxhash64("text", F.col("text").isNull())), 16, "0"))
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs (which has _key) whose key is not among `keys`.
+def _rows(docs: DataFrame) -> DataFrame:
+    """(_key, _row): each row as one struct, so that no name of its columns meets an inner one."""
+    return docs.select(row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose _key is not among `keys`.
 
     The keys are broadcast where they are few; else both sides are shuffled by Spark.
     """
-    return docs.join(small(stage(keys.select("_key").distinct(), "dropped")), "_key", "left_anti")
+    return rows.join(small(stage(keys.select("_key").distinct(), "dropped")), "_key", "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), learn=taught(F.col("doc_id")))
-    judged = scored(docs, model, name="_judged")
-    return judged.where(F.col("_judged.score") < TOXIC_FROM).drop("_judged")
+    judged = scored(_rows(docs), model, text_col="_row.text", name="_judged")
+    return judged.where(F.col("_judged.score") < TOXIC_FROM).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", row_key())
+    keyed = _rows(docs)
     found = stage(jaccard_components(
-        keyed.select("_key", "text"), SHINGLE_WORDS, SIMILAR_PERCENT, id_col="_key"), "components")
+        keyed.select("_key", F.col("_row.text").alias("text")), SHINGLE_WORDS, SIMILAR_PERCENT, id_col="_key"), "components")
     worded = found.where("n_shingles > 0")
     left = _without(keyed, worded.where("_key <> component_id"))
     # Rows that repeat id and text: rare, and the only ones whose columns are gathered.
     again = small(stage(worded.groupBy("_key").count().where("count > 1").select("_key"), "repeats"))
-    once = left.join(again, "_key", "left_anti")
-    rows = left.join(again, "_key", "left_semi")
-    first = rows.groupBy("_key").agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
-    return once.select(*docs.columns).unionByName(first.select("_row.*"))
+    once = left.join(again, "_key", "left_anti").select("_row")
+    first = left.join(again, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(first).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", row_key())
-    found = contamination(keyed.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key")
-    return _without(keyed, found.where("n_hit > 0")).select(*docs.columns)
+    keyed = _rows(docs)
+    found = contamination(
+        keyed.select("_key", F.col("_row.text").alias("text")), table(spark, sf_dir, "benchmark"), id_col="_key")
+    return _without(keyed, found.where("n_hit > 0")).select("_row.*")
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = private_spans(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    spans = all_spans(F.col("base"), F.col("found"))
-    clean = rows.withColumn("text", F.when(F.size("base") + F.size("found") == 0, F.col("text")).otherwise(
-        masked(F.col("text"), spans)))
-    length = F.when(F.size("base") + F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest")
+    rows, _ = private_spans(docs.select("doc_id", "text", rest), carry=("text", "_rest"))
+    found = F.size("base") + F.size("found") > 0
+    text = F.when(found, masked(F.col("text"), all_spans(F.col("base"), F.col("found")))).otherwise(F.col("text"))
+    clean = rows.select("doc_id", text.alias("text"), found.alias("_found"), "_rest")
+    length = F.when(F.col("_found"), F.length("text")).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": length}
+    return clean.select(*[own.get(c, F.col("_rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", row_key())
-    mixed = mix_sources(keyed.select("_key", "source", "text"), id_col="_key")
-    copies = mixed.groupBy("_key").agg(F.max("copies").alias("copies")).where("copies > 0")
-    return keyed.join(copies, "_key").select(*docs.columns, "copies")
+    keyed = _rows(docs)
+    mixed = mix_sources(
+        keyed.select("_key", F.col("_row.source").alias("source"), F.col("_row.text").alias("text")), id_col="_key")
+    copies = mixed.groupBy("_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != "copies"]
+    return keyed.join(copies, "_key").select(*kept, F.col("_copies").alias("copies"))
 
 
 STAGES = [

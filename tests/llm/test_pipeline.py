@@ -103,3 +103,22 @@ def test_run_equals_the_stages_and_takes_an_empty_table(spark, folder, tmp_path)
     for name, columns in (("documents", COLUMNS), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_inner_names_are_carried(spark, folder, tmp_path):
+    """Extra columns whose names the stages use themselves stay as they are; `copies` is the last stage's own."""
+    from pyspark.sql import functions as F
+
+    path, _ = folder
+    extra = ["base", "found", "_key", "_judged", "_row", "_rest", "_text", "_uid", "size", "a.b"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in extra],
+                       F.lit("given").alias("copies"))
+    names = docs.columns
+    for name, step in pipeline.STAGES:
+        step(spark, docs, path).write.parquet(f"{tmp_path}/{name}-wide")
+        docs = spark.read.parquet(f"{tmp_path}/{name}-wide")
+        assert sorted(docs.columns) == sorted(names)
+    rows = docs.collect()
+    assert rows and all(r["copies"] >= 1 for r in rows)
+    assert all(r[c] == f"{c}-{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in extra)
