@@ -11,6 +11,7 @@ from sessionloom.functions import events as E
 from sessionloom.functions.results import result_type
 from sessionloom.operators import keys
 from sessionloom.operators.ordered import last_items
+from sessionloom.schema import LABELS
 from sessionloom.sources import derived
 
 
@@ -30,6 +31,17 @@ def _ws():
     return _meta()["workspace"]
 
 
+def _acts(e):
+    return E.filled(e["name"])
+
+
+def _acts_n(e):
+    return _acts(e).cast("int")
+
+
+def _is_name(name):
+    return lambda e: (e["name"] == name).cast("int")
+
 
 def text(values, sep=" "):
     return F.array_join(values, sep)
@@ -38,11 +50,10 @@ def text(values, sep=" "):
 @query("seq_last_prev_action", sql(SESS, O.FEAT, select=f"""
 SELECT id, {O.nth_last('an', 1)} AS last_action, {O.nth_last('an', 2)} AS prev_action, len(an) AS n_actions FROM feat"""))
 def seq_last_prev_action(spark, folder):
-    rows = derived.sessions(spark, folder).select("id", E.action_names(_history()).alias("an"))
-    an = F.col("an")
+    rows = derived.session_steps(spark, folder, {"n": _acts_n}, tails={"acted": (_acts, 2)})
+    an = F.transform("acted", lambda e: e["name"])
     return rows.select(
-        "id", E.nth_last(an, 1).alias("last_action"), E.nth_last(an, 2).alias("prev_action"),
-        F.size(an).cast("long").alias("n_actions"),
+        "id", E.nth_last(an, 1).alias("last_action"), E.nth_last(an, 2).alias("prev_action"), F.col("n").cast("long").alias("n_actions"),
     )
 
 
@@ -71,9 +82,13 @@ def seq_action_ngrams(spark, folder):
 @query("seq_last_nonempty", sql(SESS, O.FEAT, select=f"""
 SELECT id, lr AS last_result, lu AS last_user, lus AS last_user_said, {O.last_args(180)} AS last_args FROM feat"""))
 def seq_last_nonempty(spark, folder):
-    return derived.sessions(spark, folder).select(
-        "id", E.last_result(_history()).alias("last_result"), E.last_user(_history()).alias("last_user"),
-        E.last_user(_history(), need_content=True).alias("last_user_said"), E.last_args(_history(), 180).alias("last_args"),
+    rows = derived.session_steps(spark, folder, newest={
+        "result": lambda e: E.filled(e["result_summary"]), "user": lambda e: e["role"] == "user",
+        "said": lambda e: (e["role"] == "user") & E.filled(e["content"]), "args": lambda e: _acts(e) & E.has_args(e["args"])})
+    of = lambda c: F.array(F.col(c))
+    return rows.select(
+        "id", E.last_result(of("result")).alias("last_result"), E.last_user(of("user")).alias("last_user"),
+        E.last_user(of("said"), need_content=True).alias("last_user_said"), E.last_args(of("args"), 180).alias("last_args"),
     )
 
 
@@ -103,8 +118,9 @@ def trace_lines(history, k=14):
 @query("seq_event_render", sql(SESS, select=f"""
 SELECT id, {join(O.event_lines(6), ' | ')} AS lines6, {join(_trace_sql(14), ' | ')} AS trace14 FROM sess"""))
 def seq_event_render(spark, folder):
-    return derived.sessions(spark, folder).select(
-        "id", text(E.event_lines(_history(), 6), " | ").alias("lines6"), text(trace_lines(_history()), " | ").alias("trace14")
+    rows = derived.session_steps(spark, folder, tails={"acted": (_acts, 14)})
+    return rows.select(
+        "id", text(E.event_lines(F.col("acted"), 6), " | ").alias("lines6"), text(trace_lines(F.col("acted")), " | ").alias("trace14")
     )
 
 
@@ -176,15 +192,19 @@ SELECT id, {O.sorted_counts('an')} AS counts, {O.USER_TURNS} AS user_turns, {O.F
   {O.count_of('an', 'apply_patch', 'edit_file', 'write_file')} AS patches, {O.count_of('an', 'run_tests')} AS tests,
   {O.failure_terms()} AS failure_terms, len(evs) AS history_len FROM feat"""))
 def seq_history_counters(spark, folder):
-    rows = derived.sessions(spark, folder).select("id", "history", E.action_names(_history()).alias("an"))
-    an = F.col("an")
+    named = {f"n_{name}": _is_name(name) for name in LABELS}
+    rows = derived.session_steps(
+        spark, folder,
+        named | {"users": lambda e: (e["role"] == "user").cast("int"), "failed": lambda e: E.failed(e["result_summary"]).cast("int"),
+                 "events": lambda e: F.lit(1)},
+        tails={"told": (lambda e: (e["role"] == "assistant_action") & (F.trim(e["result_summary"]) != ""), 8)})
+    shown = [F.when(F.col(f"n_{name}") > 0, F.concat(F.lit(f"{name}:"), F.col(f"n_{name}").cast("string"))) for name in sorted(LABELS)]
     n = lambda c: c.cast("long")
     return rows.select(
-        "id", E.sorted_counts(an).alias("counts"), n(E.user_turns(_history())).alias("user_turns"),
-        n(E.failed_results(_history())).alias("failed_results"),
-        n(E.count_of(an, "apply_patch", "edit_file", "write_file")).alias("patches"),
-        n(E.count_of(an, "run_tests")).alias("tests"), n(E.failure_terms(_history())).alias("failure_terms"),
-        n(F.size(_history())).alias("history_len"),
+        "id", F.concat_ws(" ", *shown).alias("counts"), n(F.col("users")).alias("user_turns"), n(F.col("failed")).alias("failed_results"),
+        n(F.col("n_apply_patch") + F.col("n_edit_file") + F.col("n_write_file")).alias("patches"),
+        n(F.col("n_run_tests")).alias("tests"), n(E.failure_terms(F.col("told"))).alias("failure_terms"),
+        n(F.col("events")).alias("history_len"),
     )
 
 

@@ -160,6 +160,38 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Turns of a bucket where a conversation is long enough to be cut.
+BUCKET_TURNS = 100_000
+
+
+def session_steps(
+    spark: SparkSession, folder: str, sums: dict | None = None, newest: dict | None = None, tails: dict | None = None,
+) -> DataFrame:
+    """One row per user turn with running values over its conversation, see operators.running; no history is copied.
+
+    Values are given as functions of the event column. The rows, ids and events are those of `sessions`.
+    """
+    from sessionloom.operators.running import running
+
+    turns = table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role",
+        F.when(
+            F.col("role") == "user",
+            F.concat("text", pick(PROMPT_TAILS, (F.col("conv_id") + F.col("turn")) % 6)),
+        ).otherwise(F.col("text")).alias("text"),
+    )
+    turns = turns.withColumn("event", _event(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")))
+    e = F.col("event")
+    rows = running(
+        turns, "conv_id", ["turn", "role", "text"], F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-1)).cast("int"),
+        {"_before": (F.col("role") == "assistant").cast("int")} | {n: f(e) for n, f in (sums or {}).items()},
+        {n: (t(e), e) for n, t in (newest or {}).items()}, {n: (t(e), e, k) for n, (t, k) in (tails or {}).items()},
+    ).where(F.col("role") == "user")
+    root = F.concat(F.lit("sess_"), domain_tag(F.col("conv_id")), F.lit("_"), F.col("conv_id").cast("string"))
+    made = rows.withColumn("id", F.concat(root, F.lit("-step_"), F.format_string("%02d", F.col("_before") + 1)))
+    return made.drop("_before", "event")
+
+
 def event_steps(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event: the previous 16 actions of its user and the very first one, step number, label and fold."""
     action = F.lit(None).cast("string")
