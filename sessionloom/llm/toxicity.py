@@ -16,6 +16,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.llm.common import drawn, stage
@@ -117,6 +118,35 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(length.sum()) + np.repeat(begin - ahead, length)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """32-bit integers, compressed by byte planes."""
+    x = np.ascontiguousarray(x, dtype=np.int32)
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T), 1)
+
+
+def pack_all(x: np.ndarray, entries: int = 1 << 20) -> list[bytes]:
+    """A long array in pieces, so that packing needs no second copy of it."""
+    return [pack(x[lo : lo + entries]) for lo in range(0, len(x), entries)]
+
+
+def opened_all(pieces: list[bytes], n: int) -> np.ndarray:
+    out, lo = np.zeros(n, dtype=np.int32), 0
+    for x in map(opened, pieces):
+        out[lo : lo + len(x)] = x
+        lo += len(x)
+    return out
+
+
+def steps(terms: np.ndarray) -> np.ndarray:
+    """Differences of ascending places, which pack better."""
+    return np.diff(np.asarray(terms), prepend=0)
+
+
+def opened(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 @dataclass
 class Index:
     """Points (distinct example vectors) by row, and each term's points.
@@ -135,11 +165,22 @@ class Index:
     @classmethod
     def build(cls, points: pd.DataFrame, idf: np.ndarray) -> Index:
         """Points in the order of their examples."""
-        points = points.sort_values("example", ignore_index=True, kind="stable")
-        row = np.concatenate(([0], np.cumsum([len(t) for t in points["terms"]]))).astype(np.int64)
-        flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, dtype=np.int32) for x in points[c])])
-        column = lambda c: points[c].to_numpy(dtype=np.int64) if len(points) else np.zeros(0, np.int64)
-        return cls(idf, row, flat("terms"), flat("counts"), column("n"), column("pos"), column("example"))
+        packed = {c: pa.array([pack(steps(x) if c == "terms" else np.asarray(x)) for x in points[c]], pa.binary())
+                  for c in ("terms", "counts")}
+        numbers = {c: pa.array(points[c].to_numpy(dtype=np.int64) if len(points) else [], pa.int64()) for c in ("n", "pos", "example")}
+        return cls.unpacked(pa.table(packed | numbers | {"size": pa.array([len(t) for t in points["terms"]], pa.int32())}), idf)
+
+    @classmethod
+    def unpacked(cls, points: pa.Table, idf: np.ndarray) -> Index:
+        """The same of points whose steps from term to term and counts came packed, with their `size`."""
+        points = points.sort_by("example")
+        row = np.concatenate(([0], np.cumsum(points["size"].to_numpy()))).astype(np.int64)
+        flat = {c: np.zeros(row[-1], dtype=np.int32) for c in ("terms", "counts")}
+        for c, out in flat.items():
+            for i, x in enumerate(points[c]):
+                out[row[i] : row[i + 1]] = opened(x.as_py()) if c == "counts" else np.cumsum(opened(x.as_py()))
+        column = lambda c: points[c].to_numpy().astype(np.int64)
+        return cls(idf, row, flat["terms"], flat["counts"], column("n"), column("pos"), column("example"))
 
     def __getattr__(self, name: str):
         """`weight` of each entry; `postings` (bounds of each term's points), `point`, `posted` (weights in the order of
@@ -147,28 +188,36 @@ class Index:
         if name not in ("weight", "postings", "point", "posted", "most") or "example" not in self.__dict__:
             raise AttributeError(name)
         length = np.diff(self.row)
-        weight = (1 + np.log(self.count)) * self.idf[self.term]
-        if len(length):
-            weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, self.row[:-1])), length)
-        self.weight = weight.astype(np.float32)
+        weight, lo = np.zeros(len(self.term), dtype=np.float32), 0
+        # A bounded number of entries at a time, as double precision takes several times the room.
+        while lo < len(length):
+            hi = max(lo + 1, int(np.searchsorted(self.row, self.row[lo] + (1 << 20), side="right")) - 1)
+            own = slice(self.row[lo], self.row[hi])
+            part = (1 + np.log(self.count[own])) * self.idf[self.term[own]]
+            part /= np.repeat(np.sqrt(np.add.reduceat(part**2, self.row[lo:hi] - self.row[lo])), length[lo:hi])
+            weight[own] = part
+            lo = hi
+        self.weight = weight
+        if self.__dict__.get("_received"):
+            del self.count  # a task needs the weights alone
         order = np.argsort(self.term, kind="stable")
         self.postings = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=len(self.idf)))))
-        self.point = np.repeat(np.arange(len(length), dtype=np.int32), length)[order]
-        self.posted = self.weight[order]
+        self.point, self.posted = np.zeros(len(order), dtype=np.int32), np.zeros(len(order), dtype=np.float32)
+        for lo in range(0, len(order), 1 << 20):
+            own = order[lo : lo + (1 << 20)]
+            self.point[lo : lo + len(own)] = np.searchsorted(self.row, own, side="right") - 1
+            self.posted[lo : lo + len(own)] = weight[own]
         self.most = np.zeros(len(self.idf))
         np.maximum.at(self.most, self.term, self.weight)
         return self.__dict__[name]
 
     def __getstate__(self) -> dict:
-        pack = lambda x: zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
         base = {k: self.__dict__[k] for k in ("idf", "row", "n", "pos", "example")}
-        return base | {"term": pack(np.diff(self.term, prepend=np.int32(0))), "count": pack(self.count)}
+        return base | {"term": pack_all(self.term), "count": pack_all(self.count)}
 
     def __setstate__(self, state: dict) -> None:
-        entries = lambda x: np.ascontiguousarray(
-            np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-        self.__dict__ |= state | {
-            "term": np.cumsum(entries(state["term"]), dtype=np.int32), "count": entries(state["count"])}
+        n = int(state["row"][-1])
+        self.__dict__ |= state | {c: opened_all(state[c], n) for c in ("term", "count")} | {"_received": True}
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(points, cosines) of the k nearest, by cosine, then by the points' order; only cosines above 0."""
@@ -342,6 +391,7 @@ def train(
     terms = held["term"].to_numpy().view(np.uint64)
     order = np.argsort(terms)
     vocabulary, tied = Vocabulary(terms[order]), held["z"].to_numpy()[order]
+    del held, terms, order  # the driver keeps what the model needs
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,23 +411,24 @@ def train(
     idf, total = np.zeros(len(vocabulary.terms)), texts_with[place < 0].sum()
     idf[place[place >= 0]] = texts_with[place >= 0]
     idf = (np.log((1 + total) / (1 + idf)) + 1) * (NEUTRAL + tied)
+    del seen, place, texts_with, tied
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [[x.astype(np.int32).tobytes() for x in p] for p in sent.value.vectors(batch.column(1))]
+            # Packed, as all points go to the driver once.
+            rows = [(pack(steps(t)), pack(n), len(t)) for t, n in sent.value.vectors(batch.column(1))]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))],
-                names=["_id", "_mark", "terms", "counts"])
+                [batch.column(0), batch.column(2), *made], names=["_id", "_mark", "terms", "counts", "size"])
 
     points = (
         sampled.select(F.col("_id").cast("long").alias("_id"), "_text", "_mark")
-        .mapInArrow(to_vectors, "_id long, _mark int, terms binary, counts binary").groupBy("terms", "counts")
-        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toArrow().to_pandas())
-    for c in ("terms", "counts"):
-        points[c] = pd.Series([np.frombuffer(b, dtype=np.int32) for b in points[c]], index=points.index, dtype=object)
-    empty = np.array([len(t) == 0 for t in points["terms"]], dtype=bool)
-    bare, index = points[empty], Index.build(points[~empty], idf)
-    bare_rate = (float(bare["pos"].sum()) + LEAN * base) / (float(bare["n"].sum()) + LEAN)
+        .mapInArrow(to_vectors, "_id long, _mark int, terms binary, counts binary, size int").groupBy("terms", "counts", "size")
+        .agg(F.count("*").alias("n"), F.sum("_mark").alias("pos"), F.min("_id").alias("example")).toArrow())
+    empty = pc.equal(points["size"], 0)
+    bare_n, bare_pos = (float(pc.sum(points[c].filter(empty)).as_py() or 0) for c in ("n", "pos"))
+    index = Index.unpacked(points.filter(pc.invert(empty)), idf)
+    bare_rate = (bare_pos + LEAN * base) / (bare_n + LEAN)
     del points
     with_index = spark.sparkContext.broadcast(index)
 
@@ -400,7 +451,7 @@ def train(
     with_index.destroy()
     votes = np.append(held["vote"].to_numpy(dtype=float), [bare_rate, bare_rate])
     marks = np.append(held["mark"].to_numpy(dtype=float), [1.0, 0.0])
-    weights = np.append(held["n"].to_numpy(dtype=float), [float(bare["pos"].sum()), float((bare["n"] - bare["pos"]).sum())])
+    weights = np.append(held["n"].to_numpy(dtype=float), [bare_pos, bare_n - bare_pos])
     slope, offset = fit_curve(np.clip(votes, 1e-6, 1 - 1e-6), marks, weights)
     return Model(vocabulary, index, base, bare_rate, slope, offset)
 
