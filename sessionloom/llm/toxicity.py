@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over an inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index.
 
 Terms are all words and word beginnings of 4 and 5 bytes of a bounded sample of labelled rows, none is cut. A term's
 inverse document frequency is multiplied by how far the sample ties the term to the label, so that terms that say
@@ -31,6 +31,8 @@ NEIGHBOURS, LEAN = 16, 1.0
 # Most frequent terms, multiplied as a dense matrix for so many texts together; postings of the others added up before
 # the first test whether the nearest points are settled; points scored in full then.
 HEAD, TOGETHER, FIRST, FULL = 1024, 64, 1 << 16, 64
+# Points of a block; each term has a largest weight for each block that holds it.
+BLOCK = 1024
 # Error that sums in single precision may have.
 SLACK = 1e-4
 
@@ -172,43 +174,85 @@ class Index:
 
     @classmethod
     def unpacked(cls, points: pa.Table, idf: np.ndarray) -> Index:
-        """The same of points whose steps from term to term and counts came packed, with their `size`."""
-        points = points.sort_by("example")
+        """The same of points whose steps from term to term and counts came packed, with their `size`.
+
+        Points are ordered by their heaviest term, then by example, so that points of a block are alike.
+        """
+        column = lambda c: points[c].to_numpy().astype(np.int64)
+        heaviest = np.zeros(len(points), dtype=np.int64)
+        for i, (t, n) in enumerate(zip(points["terms"], points["counts"], strict=True)):
+            at = np.cumsum(opened(t.as_py()))
+            heaviest[i] = at[np.argmax((1 + np.log(opened(n.as_py()))) * idf[at])]
+        points = points.take(pa.array(np.lexsort((column("example"), heaviest))))
         row = np.concatenate(([0], np.cumsum(points["size"].to_numpy()))).astype(np.int64)
         flat = {c: np.zeros(row[-1], dtype=np.int32) for c in ("terms", "counts")}
         for c, out in flat.items():
             for i, x in enumerate(points[c]):
                 out[row[i] : row[i + 1]] = opened(x.as_py()) if c == "counts" else np.cumsum(opened(x.as_py()))
-        column = lambda c: points[c].to_numpy().astype(np.int64)
         return cls(idf, row, flat["terms"], flat["counts"], column("n"), column("pos"), column("example"))
 
     def __getattr__(self, name: str):
-        """`weight` of each entry; `postings` (bounds of each term's points), `point`, `posted` (weights in the order of
-        `point`); `most`, each term's largest weight."""
-        if name not in ("weight", "postings", "point", "posted", "most") or "example" not in self.__dict__:
+        """`weight` of each entry; `place` (row of a frequent term in `dense`, -1: none) and `dense` (terms x points).
+
+        The other terms have postings, `point` and `posted` (its weight), by term and then by block of points. `postings`
+        bounds each term's blocks among `block`, `bound` (where its postings begin; one more at the end) and `most` (the
+        largest weight in the block). `loose` is each point's length without frequent terms.
+        """
+        made = ("weight", "place", "dense", "postings", "block", "bound", "most", "point", "posted", "loose")
+        if name not in made or "example" not in self.__dict__:
             raise AttributeError(name)
-        length = np.diff(self.row)
-        weight, lo = np.zeros(len(self.term), dtype=np.float32), 0
+        length, terms, points = np.diff(self.row), len(self.idf), len(self.n)
+        self.weight, lo = np.zeros(len(self.term), dtype=np.float32), 0
         # A bounded number of entries at a time, as double precision takes several times the room.
-        while lo < len(length):
+        while lo < points:
             hi = max(lo + 1, int(np.searchsorted(self.row, self.row[lo] + (1 << 20), side="right")) - 1)
             own = slice(self.row[lo], self.row[hi])
             part = (1 + np.log(self.count[own])) * self.idf[self.term[own]]
             part /= np.repeat(np.sqrt(np.add.reduceat(part**2, self.row[lo:hi] - self.row[lo])), length[lo:hi])
-            weight[own] = part
+            self.weight[own] = part
             lo = hi
-        self.weight = weight
         if self.__dict__.get("_received"):
             del self.count  # a task needs the weights alone
-        order = np.argsort(self.term, kind="stable")
-        self.postings = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=len(self.idf)))))
-        self.point, self.posted = np.zeros(len(order), dtype=np.int32), np.zeros(len(order), dtype=np.float32)
-        for lo in range(0, len(order), 1 << 20):
-            own = order[lo : lo + (1 << 20)]
-            self.point[lo : lo + len(own)] = np.searchsorted(self.row, own, side="right") - 1
-            self.posted[lo : lo + len(own)] = weight[own]
-        self.most = np.zeros(len(self.idf))
-        np.maximum.at(self.most, self.term, self.weight)
+        size = np.bincount(self.term, minlength=terms)
+        often = np.argsort(-size, kind="stable")[:HEAD]
+        self.place = np.full(terms, -1, dtype=np.int32)
+        self.place[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), points), dtype=np.float32)
+        size[often] = 0
+        blocks = range(0, points, BLOCK)
+        met = np.zeros(terms, dtype=np.int64)
+        for lo in blocks:
+            held = np.zeros(terms, dtype=bool)
+            held[self.term[self.row[lo] : self.row[min(points, lo + BLOCK)]]] = True
+            met += held
+        met[often] = 0
+        self.postings = np.concatenate(([0], np.cumsum(met)))
+        self.block, self.most = np.zeros(self.postings[-1], dtype=np.int32), np.zeros(self.postings[-1], dtype=np.float32)
+        self.bound = np.zeros(self.postings[-1] + 1, dtype=np.int64)
+        self.point = np.zeros(size.sum(), dtype=np.uint16 if points <= 1 << 16 else np.int32)
+        self.posted, self.loose = np.zeros(len(self.point), dtype=np.float32), np.zeros(points)
+        next_pair, next_posting = self.postings[:-1].copy(), np.cumsum(size) - size
+        for number, lo in enumerate(blocks):
+            hi = min(points, lo + BLOCK)
+            own = slice(self.row[lo], self.row[hi])
+            t, w, p = self.term[own], self.weight[own], np.repeat(np.arange(lo, hi), length[lo:hi])
+            at = self.place[t]
+            self.dense[at[at >= 0], p[at >= 0]] = w[at >= 0]
+            t, w, p = t[at < 0], w[at < 0], p[at < 0]
+            if not len(t):
+                continue
+            self.loose[lo:hi] = np.sqrt(np.bincount(p - lo, w.astype(float) ** 2, minlength=hi - lo))
+            order = np.argsort(t, kind="stable")
+            t, w, p = t[order], w[order], p[order]
+            first = np.flatnonzero(np.diff(t, prepend=-1))
+            each, n = t[first], np.diff(np.append(first, len(t)))
+            at = ranges(next_posting[each], n)
+            self.point[at], self.posted[at] = p, w
+            pair = next_pair[each]
+            self.block[pair], self.most[pair], self.bound[pair + 1] = number, np.maximum.reduceat(w, first), n
+            next_pair[each] += 1
+            next_posting[each] += n
+        np.cumsum(self.bound, out=self.bound)
         return self.__dict__[name]
 
     def __getstate__(self) -> dict:
@@ -226,22 +270,9 @@ class Index:
     def nearest_weighted(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_many([(terms, weights)], k)[0]
 
-    def head(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each term's row in the dense matrix (-1: none), and the matrix (terms x points) of the most frequent ones."""
-        if "_head" not in self.__dict__:
-            often = np.argsort(-np.diff(self.postings), kind="stable")[:HEAD]
-            place = np.full(len(self.idf), -1, dtype=np.int64)
-            place[often] = np.arange(len(often))
-            dense = np.zeros((len(often), len(self.n)), dtype=np.float32)
-            for i, t in enumerate(often):
-                own = slice(self.postings[t], self.postings[t + 1])
-                dense[i, self.point[own]] = self.posted[own]
-            self._head = place, dense
-        return self._head
-
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """`nearest_weighted` of each query."""
-        place, dense = self.head()
+        place, dense = self.place, self.dense
         share = np.zeros((len(queries), len(dense)), dtype=np.float32)
         for i, (terms, weights) in enumerate(queries):
             at = place[terms]
@@ -254,29 +285,55 @@ class Index:
     ) -> tuple[np.ndarray, np.ndarray]:
         """Adds the postings of the `left` terms to the scores, those that can add most first.
 
-        What the terms not yet read can add to any point is bounded by their largest weights and by their length in
-        the query. Reading ends once few points can still be among the k nearest; these are scored in full.
+        What the terms not yet read can add to a point is bounded by their largest weights in the point's block, and by
+        the lengths of what is left of the query and of the point. Blocks in which no point can still be among the k
+        nearest are not read on. Reading ends once few points can; these are scored in full.
         """
         if not len(terms) or not len(scores):
             return np.zeros(0, np.int64), np.zeros(0)
         t, w = terms[left], weights[left].astype(float)
-        gain = w * self.most[t]
+        begin, pairs = self.postings[t], self.postings[t + 1] - self.postings[t]
+        at = ranges(begin, pairs)
+        ahead = np.cumsum(pairs) - pairs
+        # Each term's blocks, terms that can add most first.
+        gain = w * np.maximum.reduceat(self.most[at], ahead) if len(t) else w
         order = np.argsort(-gain, kind="stable")
-        t, w, gain = t[order], w[order], gain[order]
-        rest = np.append(np.minimum(np.cumsum(gain[::-1]), np.sqrt(np.cumsum((w * w)[::-1])))[::-1], 0.0)
-        begin, end = self.postings[t], self.postings[t + 1]
-        length = end - begin
-        ends, last, done, step = np.cumsum(length), max(0, len(scores) - k), 0, FIRST
+        w, begin, pairs = w[order], begin[order], pairs[order]
+        at = ranges(begin, pairs)
+        ahead = np.append(0, np.cumsum(pairs))
+        block, share = self.block[at], np.repeat(w, pairs)
+        gain = share * self.most[at]
+        count = -(-len(scores) // BLOCK)
+        rest = np.bincount(block, gain, minlength=count)
+        length = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0.0))
+        ends = np.cumsum(self.bound[begin + pairs] - self.bound[begin])
+        starts, every = np.arange(0, len(scores), BLOCK), np.arange(len(scores)) // BLOCK
+        last, done, step = max(0, len(scores) - k), 0, FIRST
+        live = np.ones(count, dtype=bool)
         while True:
-            least = np.partition(scores, last)[last] - rest[done] - SLACK
-            if done == len(t) or (least > 0 and np.count_nonzero(scores >= least) <= max(FULL, 2 * k)):
+            least = np.partition(scores, last)[last]
+            able = scores + np.minimum(rest[every], length[done] * self.loose) >= least - SLACK
+            if least > 0:
+                live &= np.logical_or.reduceat(able, starts)
+            if done == len(w) or (least > 0 and np.count_nonzero(able) <= max(FULL, 2 * k)):
                 break
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, side="right")))
-            own = [slice(a, b) for a, b in zip(begin[done:upto].tolist(), end[done:upto].tolist(), strict=True)]
-            add = np.concatenate([self.posted[x] for x in own]) * np.repeat(w[done:upto], length[done:upto])
-            scores += np.bincount(np.concatenate([self.point[x] for x in own]), add, minlength=len(scores))
+            some = slice(ahead[done], ahead[upto])
+            rest -= np.bincount(block[some], gain[some], minlength=count)
+            if live.all():
+                own = [slice(a, b) for a, b in zip(
+                    self.bound[begin[done:upto]].tolist(), self.bound[begin[done:upto] + pairs[done:upto]].tolist(), strict=True)]
+                n = np.array([x.stop - x.start for x in own])
+                point, add = np.concatenate([self.point[x] for x in own]), np.concatenate([self.posted[x] for x in own])
+                scores += np.bincount(point, add * np.repeat(w[done:upto], n), minlength=len(scores))
+            else:
+                keep = live[block[some]]
+                read, n = at[some][keep], share[some][keep]
+                size = self.bound[read + 1] - self.bound[read]
+                own = ranges(self.bound[read], size)
+                scores += np.bincount(self.point[own], self.posted[own] * np.repeat(n, size), minlength=len(scores))
             done, step = upto, step * 2
-        points = np.flatnonzero((scores >= least) & (scores > 0))
+        points = np.flatnonzero(able & live[every] & ((scores > 0) | (done < len(w))))
         length = self.row[points + 1] - self.row[points]
         at = ranges(self.row[points], length)
         if "_query" not in self.__dict__:

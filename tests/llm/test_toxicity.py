@@ -117,3 +117,30 @@ def test_index_travels_whole():
     again = pickle.loads(pickle.dumps(index))
     for name in ("idf", "row", "term", "count", "n", "pos", "example", "weight", "postings", "point", "posted", "most"):
         assert np.array_equal(getattr(index, name), getattr(again, name))
+
+
+@pytest.mark.parametrize(("head", "block", "first"), [(0, 16, 8), (4, 16, 8), (4, 64, 1 << 16), (40, 1, 1)])
+def test_blocks_are_skipped_with_the_same_points(monkeypatch, head, block, first):
+    """Postings of rare terms, blocks of one to many points, against all cosines, ties and rows of one term included."""
+    from sessionloom.llm import toxicity
+
+    for name, value in (("HEAD", head), ("BLOCK", block), ("FIRST", first), ("FULL", 4)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(12)
+    idf = rng.uniform(0.1, 9, 200) ** 2
+    index = toxicity.Index.build(points(rng, 1500, 200), idf)
+    dense = np.zeros((len(index.n), 200))
+    for i in range(len(dense)):
+        own = slice(index.row[i], index.row[i + 1])
+        dense[i, index.term[own]] = index.weight[own]
+    for size in (1, 2, 8, 60):
+        for _ in range(10):
+            t = np.sort(rng.choice(np.unique(index.term), size=size, replace=False))
+            c = rng.integers(1, 4, size)
+            q = np.zeros(200)
+            q[t] = toxicity.unit(t, c, idf)
+            cos = np.round(dense @ q, 12)
+            want = [p for p in np.lexsort((np.arange(len(cos)), -cos))[:3] if cos[p] > 1e-12]
+            near, scores = index.nearest(t, c, 3)
+            assert near.tolist() == want
+            assert scores == pytest.approx(cos[want])
