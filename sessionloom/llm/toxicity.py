@@ -33,6 +33,8 @@ NEIGHBOURS, LEAN = 16, 1.0
 HEAD, TOGETHER, FIRST, FULL = 1024, 64, 1 << 16, 64
 # Points of a block; each term has a largest weight for each block that holds it.
 BLOCK = 1024
+# Blocks are skipped where no more than this share of them is asked for.
+SPARSE = 0.5
 # Error that sums in single precision may have.
 SLACK = 1e-4
 
@@ -320,14 +322,14 @@ class Index:
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, side="right")))
             some = slice(ahead[done], ahead[upto])
             rest -= np.bincount(block[some], gain[some], minlength=count)
-            if live.all():
+            keep = live[block[some]]
+            if np.count_nonzero(keep) > SPARSE * len(keep):  # whole terms are read faster than their blocks
                 own = [slice(a, b) for a, b in zip(
                     self.bound[begin[done:upto]].tolist(), self.bound[begin[done:upto] + pairs[done:upto]].tolist(), strict=True)]
                 n = np.array([x.stop - x.start for x in own])
                 point, add = np.concatenate([self.point[x] for x in own]), np.concatenate([self.posted[x] for x in own])
                 scores += np.bincount(point, add * np.repeat(w[done:upto], n), minlength=len(scores))
             else:
-                keep = live[block[some]]
                 read, n = at[some][keep], share[some][keep]
                 size = self.bound[read + 1] - self.bound[read]
                 own = ranges(self.bound[read], size)
