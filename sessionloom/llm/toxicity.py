@@ -133,8 +133,8 @@ def pack_all(x: np.ndarray, entries: int = 1 << 20) -> list[bytes]:
     return [pack(x[lo : lo + entries]) for lo in range(0, len(x), entries)]
 
 
-def opened_all(pieces: list[bytes], n: int) -> np.ndarray:
-    out, lo = np.zeros(n, dtype=np.int32), 0
+def opened_all(pieces: list[bytes], n: int, dtype: str) -> np.ndarray:
+    out, lo = np.zeros(n, dtype=dtype), 0
     for x in map(opened, pieces):
         out[lo : lo + len(x)] = x
         lo += len(x)
@@ -194,27 +194,26 @@ class Index:
         return cls(idf, row, flat["terms"], flat["counts"], column("n"), column("pos"), column("example"))
 
     def __getattr__(self, name: str):
-        """`weight` of each entry; `place` (row of a frequent term in `dense`, -1: none) and `dense` (terms x points).
+        """`norm`, each point's length before it is made 1; `place` (row of a frequent term in `dense`, -1: none) and `dense` (terms x points).
 
         The other terms have postings, `point` and `posted` (its weight), by term and then by block of points. `postings`
         bounds each term's blocks among `block`, `bound` (where its postings begin; one more at the end) and `most` (the
         largest weight in the block). `loose` is each point's length without frequent terms.
         """
-        made = ("weight", "place", "dense", "postings", "block", "bound", "most", "point", "posted", "loose")
+        if name == "weight" and "example" in self.__dict__:
+            return self.weights(0, len(self.n))
+        made = ("norm", "place", "dense", "postings", "block", "bound", "most", "point", "posted", "loose")
         if name not in made or "example" not in self.__dict__:
             raise AttributeError(name)
         length, terms, points = np.diff(self.row), len(self.idf), len(self.n)
-        self.weight, lo = np.zeros(len(self.term), dtype=np.float32), 0
+        self.norm, lo = np.zeros(points), 0
         # A bounded number of entries at a time, as double precision takes several times the room.
         while lo < points:
             hi = max(lo + 1, int(np.searchsorted(self.row, self.row[lo] + (1 << 20), side="right")) - 1)
             own = slice(self.row[lo], self.row[hi])
-            part = (1 + np.log(self.count[own])) * self.idf[self.term[own]]
-            part /= np.repeat(np.sqrt(np.add.reduceat(part**2, self.row[lo:hi] - self.row[lo])), length[lo:hi])
-            self.weight[own] = part
+            part = (1 + np.log(self.count[own], dtype=float)) * self.idf[self.term[own]]
+            self.norm[lo:hi] = np.sqrt(np.add.reduceat(part**2, self.row[lo:hi] - self.row[lo]))
             lo = hi
-        if self.__dict__.get("_received"):
-            del self.count  # a task needs the weights alone
         size = np.bincount(self.term, minlength=terms)
         often = np.argsort(-size, kind="stable")[:HEAD]
         self.place = np.full(terms, -1, dtype=np.int32)
@@ -229,15 +228,15 @@ class Index:
             met += held
         met[often] = 0
         self.postings = np.concatenate(([0], np.cumsum(met)))
-        self.block, self.most = np.zeros(self.postings[-1], dtype=np.int32), np.zeros(self.postings[-1], dtype=np.float32)
-        self.bound = np.zeros(self.postings[-1] + 1, dtype=np.int64)
+        self.block, self.most = np.zeros(self.postings[-1], dtype=np.uint16), np.zeros(self.postings[-1], dtype=np.float32)
+        self.bound = np.zeros(self.postings[-1] + 1, dtype=np.int32)  # entries are fewer than 2**31
         self.point = np.zeros(size.sum(), dtype=np.uint16 if points <= 1 << 16 else np.int32)
         self.posted, self.loose = np.zeros(len(self.point), dtype=np.float32), np.zeros(points)
         next_pair, next_posting = self.postings[:-1].copy(), np.cumsum(size) - size
         for number, lo in enumerate(blocks):
             hi = min(points, lo + BLOCK)
             own = slice(self.row[lo], self.row[hi])
-            t, w, p = self.term[own], self.weight[own], np.repeat(np.arange(lo, hi), length[lo:hi])
+            t, w, p = self.term[own], self.weights(lo, hi), np.repeat(np.arange(lo, hi), length[lo:hi])
             at = self.place[t]
             self.dense[at[at >= 0], p[at >= 0]] = w[at >= 0]
             t, w, p = t[at < 0], w[at < 0], p[at < 0]
@@ -257,13 +256,23 @@ class Index:
         np.cumsum(self.bound, out=self.bound)
         return self.__dict__[name]
 
+    def weights(self, lo: int, hi: int) -> np.ndarray:
+        """Weight of each entry of the points lo, .., hi - 1, a vector of length 1 for each."""
+        return self.weights_at(slice(self.row[lo], self.row[hi]), np.repeat(np.arange(lo, hi), np.diff(self.row[lo : hi + 1])))
+
+    def weights_at(self, entries: np.ndarray | slice, points: np.ndarray) -> np.ndarray:
+        part = (1 + np.log(self.count[entries], dtype=float)) * self.idf[self.term[entries]]
+        return (part / self.norm[points]).astype(np.float32)
+
     def __getstate__(self) -> dict:
         base = {k: self.__dict__[k] for k in ("idf", "row", "n", "pos", "example")}
-        return base | {"term": pack_all(self.term), "count": pack_all(self.count)}
+        narrow = np.min_scalar_type(int(self.count.max(initial=0)))
+        return base | {"term": pack_all(self.term), "count": pack_all(self.count), "narrow": narrow.str}
 
     def __setstate__(self, state: dict) -> None:
         n = int(state["row"][-1])
-        self.__dict__ |= state | {c: opened_all(state[c], n) for c in ("term", "count")} | {"_received": True}
+        kinds = {"term": "int32", "count": state.pop("narrow")}
+        self.__dict__ |= state | {c: opened_all(state.pop(c), n, kinds[c]) for c in kinds}
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(points, cosines) of the k nearest, by cosine, then by the points' order; only cosines above 0."""
@@ -341,7 +350,7 @@ class Index:
         if "_query" not in self.__dict__:
             self._query = np.zeros(len(self.idf))
         self._query[terms] = weights
-        part = self._query[self.term[at]] * self.weight[at]
+        part = self._query[self.term[at]] * self.weights_at(at, np.repeat(points, length))
         self._query[terms] = 0.0
         scores = np.bincount(np.repeat(np.arange(len(points)), length), part, minlength=len(points))
         # Sums of equal vectors may differ in their last bits.
@@ -498,8 +507,7 @@ def train(
             rows, ids = [], batch["id"].to_numpy()
             for lo in range(0, len(ids), TOGETHER):
                 some = ids[lo : lo + TOGETHER]
-                own = [slice(at.row[i], at.row[i + 1]) for i in some]
-                found = at.nearest_many([(at.term[x], at.weight[x]) for x in own], NEIGHBOURS)
+                found = at.nearest_many([(at.term[at.row[i] : at.row[i + 1]], at.weights(i, i + 1)) for i in some], NEIGHBOURS)
                 for i, (near, cos) in zip(some, found, strict=True):
                     for mark, count in ((1, at.pos[i]), (0, at.n[i] - at.pos[i])):
                         if count:
