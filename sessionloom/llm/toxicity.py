@@ -35,8 +35,10 @@ HEAD, TOGETHER, FIRST, FULL = 1024, 64, 1 << 16, 64
 BLOCK = 1024
 # Blocks are skipped where no more than this share of them is asked for.
 SPARSE = 0.5
-# Error that sums in single precision may have.
-SLACK = 1e-4
+# Frequent terms' weights are held as whole numbers of this part; two sums of at most HEAD of them, times weights of length
+# 1 at most, are wrong by sqrt(HEAD) / STEPS together. Single precision adds less than 1e-4.
+STEPS = 65535
+SLACK = 1e-4 + HEAD**0.5 / STEPS
 
 PREFIXES = (4, 5)
 
@@ -194,7 +196,8 @@ class Index:
         return cls(idf, row, flat["terms"], flat["counts"], column("n"), column("pos"), column("example"))
 
     def __getattr__(self, name: str):
-        """`norm`, each point's length before it is made 1; `place` (row of a frequent term in `dense`, -1: none) and `dense` (terms x points).
+        """`damped`, 1 + log of each small count; `norm`, each point's length before it is made 1; `place` (row of a
+        frequent term in `dense`, -1: none) and `dense` (terms x points, in steps).
 
         The other terms have postings, `point` and `posted` (its weight), by term and then by block of points. `postings`
         bounds each term's blocks among `block`, `bound` (where its postings begin; one more at the end) and `most` (the
@@ -202,23 +205,24 @@ class Index:
         """
         if name == "weight" and "example" in self.__dict__:
             return self.weights(0, len(self.n))
-        made = ("norm", "place", "dense", "postings", "block", "bound", "most", "point", "posted", "loose")
+        made = ("damped", "norm", "place", "dense", "postings", "block", "bound", "most", "point", "posted", "loose")
         if name not in made or "example" not in self.__dict__:
             raise AttributeError(name)
         length, terms, points = np.diff(self.row), len(self.idf), len(self.n)
+        self.damped = np.append(0.0, 1 + np.log(np.arange(1, 1 << 16)))
         self.norm, lo = np.zeros(points), 0
         # A bounded number of entries at a time, as double precision takes several times the room.
         while lo < points:
-            hi = max(lo + 1, int(np.searchsorted(self.row, self.row[lo] + (1 << 20), side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(self.row, self.row[lo] + (1 << 18), side="right")) - 1)
             own = slice(self.row[lo], self.row[hi])
-            part = (1 + np.log(self.count[own], dtype=float)) * self.idf[self.term[own]]
+            part = self.damp(self.count[own]) * self.idf[self.term[own]]
             self.norm[lo:hi] = np.sqrt(np.add.reduceat(part**2, self.row[lo:hi] - self.row[lo]))
             lo = hi
         size = np.bincount(self.term, minlength=terms)
         often = np.argsort(-size, kind="stable")[:HEAD]
         self.place = np.full(terms, -1, dtype=np.int32)
         self.place[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), points), dtype=np.float32)
+        self.dense = np.zeros((len(often), points), dtype=np.uint16)
         size[often] = 0
         blocks = range(0, points, BLOCK)
         met = np.zeros(terms, dtype=np.int64)
@@ -238,7 +242,7 @@ class Index:
             own = slice(self.row[lo], self.row[hi])
             t, w, p = self.term[own], self.weights(lo, hi), np.repeat(np.arange(lo, hi), length[lo:hi])
             at = self.place[t]
-            self.dense[at[at >= 0], p[at >= 0]] = w[at >= 0]
+            self.dense[at[at >= 0], p[at >= 0]] = np.rint(np.minimum(w[at >= 0], 1) * STEPS)
             t, w, p = t[at < 0], w[at < 0], p[at < 0]
             if not len(t):
                 continue
@@ -260,8 +264,14 @@ class Index:
         """Weight of each entry of the points lo, .., hi - 1, a vector of length 1 for each."""
         return self.weights_at(slice(self.row[lo], self.row[hi]), np.repeat(np.arange(lo, hi), np.diff(self.row[lo : hi + 1])))
 
+    def damp(self, counts: np.ndarray) -> np.ndarray:
+        out = self.damped.take(counts, mode="clip")
+        large = np.flatnonzero(counts >= len(self.damped))
+        out[large] = 1 + np.log(counts[large], dtype=float)
+        return out
+
     def weights_at(self, entries: np.ndarray | slice, points: np.ndarray) -> np.ndarray:
-        part = (1 + np.log(self.count[entries], dtype=float)) * self.idf[self.term[entries]]
+        part = self.damp(self.count[entries]) * self.idf[self.term[entries]]
         return (part / self.norm[points]).astype(np.float32)
 
     def __getstate__(self) -> dict:
@@ -287,8 +297,10 @@ class Index:
         share = np.zeros((len(queries), len(dense)), dtype=np.float32)
         for i, (terms, weights) in enumerate(queries):
             at = place[terms]
-            share[i, at[at >= 0]] = weights[at >= 0]
-        begun = share @ dense
+            share[i, at[at >= 0]] = weights[at >= 0] / STEPS
+        begun = np.zeros((len(queries), dense.shape[1]), dtype=np.float32)
+        for lo in range(0, dense.shape[1], 2 * BLOCK):
+            begun[:, lo : lo + 2 * BLOCK] = share @ dense[:, lo : lo + 2 * BLOCK].astype(np.float32)
         return [self.settled(t, w, k, begun[i].astype(float), place[t] < 0) for i, (t, w) in enumerate(queries)]
 
     def settled(

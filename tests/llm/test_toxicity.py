@@ -144,3 +144,16 @@ def test_blocks_are_skipped_with_the_same_points(monkeypatch, head, block, first
             near, scores = index.nearest(t, c, 3)
             assert near.tolist() == want
             assert scores == pytest.approx(cos[want])
+
+
+def test_very_frequent_words_in_a_text():
+    import pickle
+
+    from sessionloom.llm.toxicity import Index, unit
+
+    rows = pd.DataFrame({"terms": [[0, 1], [1, 2]], "counts": [[70_000, 1], [300, 2]], "n": [1, 1], "pos": [0, 1], "example": [0, 1]})
+    idf = np.array([1.0, 2.0, 3.0])
+    index = pickle.loads(pickle.dumps(Index.build(rows, idf)))
+    want = {e: unit(np.array(t), np.array(c), idf) for e, t, c in zip(rows["example"], rows["terms"], rows["counts"], strict=True)}
+    for i, e in enumerate(index.example):
+        assert index.weights(i, i + 1) == pytest.approx(want[e])
